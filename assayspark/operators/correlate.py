@@ -9,12 +9,11 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayspark.functions.columns import number
-from assayspark.plans.chunks import MAX_CHUNKS, ROWS_PER_CHUNK, find_cuts
+from assayspark.plans.chunks import ROWS_PER_CHUNK, bucket, find_cuts
 from assayspark.plans.gram import pairwise_moments
 
 WIDE = 16
@@ -59,19 +58,8 @@ def pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 # ------------------------------------------------------------------------- ranks
 
 
-def _isolating_splits(cuts: Sequence[float]) -> list[float]:
-    """Bucket edges that give every cut value a bucket of its own."""
-    edges = sorted({e for c in cuts for e in (c, float(np.nextafter(c, math.inf)))})
-    return [-math.inf, *edges, math.inf]
-
-
-def _bucket(df: DataFrame, column: str, splits: Sequence[float], name: str) -> DataFrame:
-    staged = Bucketizer(splits=list(splits), inputCol=column, outputCol=f"__{name}", handleInvalid="keep").transform(df)
-    return staged.withColumn(name, F.col(f"__{name}").cast("int")).drop(f"__{name}")
-
-
 def _single_valued(splits: Sequence[float]) -> list[int]:
-    return [i for i in range(1, len(splits) - 2) if splits[i + 1] == np.nextafter(splits[i], math.inf)]
+    return [i for i in range(1, len(splits) - 2) if splits[i + 1] == math.nextafter(splits[i], math.inf)]
 
 
 def average_rank(df: DataFrame, column: str, name: str, rows_per_chunk: int = ROWS_PER_CHUNK, salts: int = 64) -> DataFrame:
@@ -80,13 +68,13 @@ def average_rank(df: DataFrame, column: str, name: str, rows_per_chunk: int = RO
     A value that fills a bucket alone gets its rank from the bucket totals; its rows are
     salted, so a value held by a third of all rows is no hot spot.
     """
-    cuts = find_cuts(df, column, rows_per_chunk, MAX_CHUNKS)
-    if not cuts:
+    cuts = find_cuts(df, column, rows_per_chunk)
+    if not cuts.values:
         whole = Window.partitionBy(F.lit(0)).orderBy(column)
         upto = F.count(F.lit(1)).over(whole.rangeBetween(Window.unboundedPreceding, Window.currentRow))
         return df.withColumn(name, (F.rank().over(whole) + upto) / 2.0)
-    splits = _isolating_splits(cuts)
-    parts = _bucket(df, column, splits, "__b")
+    splits = cuts.splits(isolate=cuts.values)
+    parts = bucket(df, F.col(column), splits, "__b")
     alone = set(_single_valued(splits))
     sizes = dict(parts.groupBy("__b").count().collect())
     before, table = 0, []
@@ -149,7 +137,7 @@ def _order_score(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
     return score
 
 
-def _group_scores(points: DataFrame, keys: Sequence[str]) -> float:
+def _group_scores(points: DataFrame, *keys: str | Column) -> float:
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"s": [_order_score(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["w"].to_numpy(float))]})
 
@@ -157,29 +145,32 @@ def _group_scores(points: DataFrame, keys: Sequence[str]) -> float:
     return total or 0.0
 
 
-def _pair_score(points: DataFrame, strip_points: int) -> float:
+def _pair_score(points: DataFrame, n: int, strip_points: int) -> float:
     """Order score of (x, y, w) points: the bucket grid, plus strips, minus what both strips saw.
 
     Pairs in different x and y buckets are decided by the grid, which is again a set of points
     and is scored the same way. Pairs sharing a bucket are counted inside that strip.
     """
-    n = points.count()
     if n <= strip_points:
-        return _group_scores(points.withColumn("__all", F.lit(0)), ["__all"]) if n else 0.0
+        return _group_scores(points, F.lit(0).alias("all")) if n else 0.0
     rows = max(strip_points // 2, 1)
-    splits = {c: _isolating_splits(find_cuts(points, c, rows)) for c in ("x", "y")}
-    cut = _bucket(_bucket(points, "x", splits["x"], "bx"), "y", splits["y"], "by")
+    splits = {}
+    for c in ("x", "y"):
+        cuts = find_cuts(points, c, rows, total=n)
+        splits[c] = cuts.splits(isolate=cuts.values)
+    cut = bucket(bucket(points, F.col("x"), splits["x"], "bx"), F.col("y"), splits["y"], "by")
     open_x = ~F.col("bx").isin(_single_valued(splits["x"]))
     open_y = ~F.col("by").isin(_single_valued(splits["y"]))
     grid = cut.groupBy("bx", "by").agg(F.sum("w").alias("w")).select(
         F.col("bx").cast("double").alias("x"), F.col("by").cast("double").alias("y"), "w"
     )
-    if grid.count() >= n:
+    cells = grid.count()
+    if cells >= n:
         raise ValueError("more strips than points per strip; raise strip_points")
-    across = _pair_score(grid, strip_points)
-    in_x = _group_scores(cut.where(open_x), ["bx"])
-    in_y = _group_scores(cut.where(open_y), ["by"])
-    in_both = _group_scores(cut.where(open_x & open_y), ["bx", "by"])
+    across = _pair_score(grid, cells, strip_points)
+    in_x = _group_scores(cut.where(open_x), "bx")
+    in_y = _group_scores(cut.where(open_y), "by")
+    in_both = _group_scores(cut.where(open_x & open_y), "bx", "by")
     return across + in_x + in_y - in_both
 
 
@@ -190,14 +181,13 @@ def kendall_pair(df: DataFrame, a: str, b: str, strip_points: int = STRIP_POINTS
         .groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("w"))
     ).persist()
     try:
-        def tied(column: str) -> float:
-            held = points.groupBy(column).agg(F.sum("w").alias("w"))
-            return held.agg(F.sum(F.col("w") * (F.col("w") - 1) / 2)).first()[0] or 0.0
-
-        n = points.agg(F.sum("w")).first()[0] or 0.0
+        distinct, n = points.agg(F.count("w"), F.coalesce(F.sum("w"), F.lit(0.0))).first()
+        tied = F.sum(F.col("w") * (F.col("w") - 1) / 2)
+        ties = [points.groupBy(c).agg(F.sum("w").alias("w")).agg(tied.alias("t")) for c in ("x", "y")]
+        tx, ty = [row[0] or 0.0 for row in ties[0].unionAll(ties[1]).collect()]
         pairs = n * (n - 1) / 2
-        scale = math.sqrt(max(pairs - tied("x"), 0.0)) * math.sqrt(max(pairs - tied("y"), 0.0))
-        return _pair_score(points, strip_points) / scale if scale > 0 else None
+        scale = math.sqrt(max(pairs - tx, 0.0)) * math.sqrt(max(pairs - ty, 0.0))
+        return _pair_score(points, distinct, strip_points) / scale if scale > 0 else None
     finally:
         points.unpersist()
 

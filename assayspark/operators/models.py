@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayspark.operators.prepare import Scaler, fit_scaler
+from assayspark.plans.layout import spread
 
 PREDICTION = "prediction"
 NORMAL_SOLVER_LIMIT = 4096
@@ -148,16 +149,16 @@ def fit_svr(
     variant approaches the kernel solution as ``map_size`` grows.
     """
     scaler = fit_scaler(train, features)
-    data = _prepared(train, features, target, scaler).persist()
+    data = spread(_prepared(train, features, target, scaler)).persist()
     mapping = None
     if kernel == "rbf":
         scale = 1.0 / len(features) if gamma == "scale" else float(gamma)
         mapping = FourierMap.draw(len(features), map_size, scale, seed)
     width = (map_size if mapping is not None else len(features)) + 1
     weights = np.zeros(width)
-    start, spread = data.agg(F.avg("__label"), F.stddev_pop("__label")).first()
+    start, deviation = data.agg(F.avg("__label"), F.stddev_pop("__label")).first()
     weights[-1] = start or 0.0
-    floor = max(1e-3 * (spread or 1.0), 1e-9)
+    floor = max(1e-3 * (deviation or 1.0), 1e-9)
     losses: list[float] = []
     best = weights
     try:

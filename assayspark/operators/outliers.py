@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayspark.functions.columns import any_of
+from assayspark.plans.layout import spread
 from assayspark.plans.quantiles import exact_quantiles
 
 FLAG = "is_outlier"
@@ -138,22 +139,23 @@ def fit_isolation_forest(
     sample_size: int = 256,
     seed: int = 70,
 ) -> IsolationForest:
-    """Grow trees on independent hashed samples; only sampled rows are shuffled.
+    """Grow trees on hashed samples; only sampled rows are shuffled.
 
-    Each row hashes itself against every tree and is repeated only for the trees that draw it,
-    so the input is never multiplied by the number of trees. ``key`` should identify a row.
+    A table with enough rows gives every tree its own rows: one hash decides whether a row is
+    drawn at all and another by which tree, so the input is never multiplied by the number of
+    trees. Only a small table offers each row to all trees. ``key`` should identify a row.
     """
     rows = complete(df, columns)
     total = rows.count()
-    share = min(1.0, (sample_size + 8.0 * math.sqrt(sample_size)) / max(total, 1))
-    span = 1 << 40
-    cut = span if share >= 1.0 else max(int(share * span), 1)
-    draw = F.filter(
-        F.sequence(F.lit(0), F.lit(trees - 1)),
-        lambda t: F.pmod(F.xxhash64(F.lit(seed), t, *[F.col(k) for k in key]), F.lit(span)) < F.lit(cut),
-    )
-    drawn = rows.select(*key, *[F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(columns)],
-                        F.explode(draw).alias("tree"))
+    wanted = sample_size + 8.0 * math.sqrt(sample_size)
+    inputs = [F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(columns)]
+    if total > wanted * trees:
+        span = 1 << 40
+        cut = F.lit(max(int(wanted * trees / total * span), 1))
+        drawn = rows.where(F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(span)) < cut).select(
+            *key, *inputs, F.pmod(F.xxhash64(F.lit(seed + 2), *key), F.lit(trees)).cast("int").alias("tree"))
+    else:
+        drawn = rows.select(*key, *inputs, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
     order = Window.partitionBy("tree").orderBy(F.xxhash64(F.lit(seed + 1), "tree", *key), *key)
     sample = drawn.withColumn("__rn", F.row_number().over(order)).where(F.col("__rn") <= sample_size)
     names = [f"__x{i}" for i in range(len(columns))]
@@ -228,6 +230,6 @@ def flag_isolated(
 ) -> DataFrame:
     """Score rows and flag the most isolated share of them."""
     forest = fit_isolation_forest(df, key, columns, trees, sample_size, seed)
-    scored = forest.score(complete(df, columns)).persist()
+    scored = forest.score(spread(complete(df, columns))).persist()
     cut = exact_quantiles(scored, ["score"], [1.0 - contamination])["score"][0]
     return scored.withColumn(FLAG, F.col("score") > F.lit(cut))

@@ -3,13 +3,15 @@
 A plain window sends all rows of a key to a single task. Here the ordering column
 is cut into chunks at approximate quantiles; the window runs inside (key, chunk), and
 what the earlier chunks contribute arrives from a table with one row per (key, chunk).
-Up to ``rows_per_chunk`` rows in total there is one chunk and the plan is the plain
-window.
+A value that is so frequent that it fills a chunk alone is cut further by the second
+ordering column. Up to ``rows_per_chunk`` rows in total there is one chunk and the plan is
+the plain window.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -22,50 +24,84 @@ from assayspark.plans.joins import null_safe
 
 ROWS_PER_CHUNK = 2_000_000
 MAX_CHUNKS = 10_000
-_CHUNK = "__chunk"
+
+
+def can_be_cut(df: DataFrame, column: str) -> bool:
+    kinds = (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType)
+    return isinstance(df.schema[column].dataType, kinds)
 
 
 def as_ordinal(df: DataFrame, column: str) -> Column:
     """Numeric image of an ordering column that keeps its order; null sorts first."""
     dtype = df.schema[column].dataType
+    if not can_be_cut(df, column):
+        raise TypeError(f"{column}: cannot cut an ordering of type {dtype.simpleString()}")
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         image = F.unix_micros(F.col(column).cast("timestamp")).cast("double")
     elif isinstance(dtype, T.DateType):
         image = F.unix_date(F.col(column)).cast("double")
-    elif isinstance(dtype, T.NumericType):
-        image = F.col(column).cast("double")
     else:
-        raise TypeError(f"{column}: cannot cut an ordering of type {dtype.simpleString()}")
+        image = F.col(column).cast("double")
     return F.coalesce(image, F.lit(-math.inf))
 
 
+@dataclass(frozen=True)
+class Cuts:
+    """Increasing cut points; the frequent ones stand for values that fill a chunk alone."""
+
+    values: tuple[float, ...] = ()
+    frequent: tuple[float, ...] = ()
+
+    def splits(self, isolate: Sequence[float] | None = None) -> list[float]:
+        """Bucket edges; isolated values get a bucket [v, next double after v)."""
+        alone = self.frequent if isolate is None else isolate
+        edges = {*self.values, *(math.nextafter(v, math.inf) for v in alone)}
+        return [-math.inf, *sorted(edges), math.inf]
+
+
 def find_cuts(
     df: DataFrame,
     column: str,
     rows_per_chunk: int = ROWS_PER_CHUNK,
     max_chunks: int = MAX_CHUNKS,
-) -> list[float]:
-    """Increasing cut points that give about ``rows_per_chunk`` rows between neighbours."""
+    total: int | None = None,
+) -> Cuts:
+    """Cut points that give about ``rows_per_chunk`` rows between neighbours."""
     ordinal = as_ordinal(df, column)
-    total = df.select(ordinal.alias("v")).count()
+    if total is None:
+        total = df.select(ordinal.alias("v")).count()
     chunks = min(math.ceil(total / rows_per_chunk), max_chunks) if total else 1
     if chunks <= 1:
-        return []
+        return Cuts()
     shares = [i / chunks for i in range(1, chunks)]
     row = df.agg(F.percentile_approx(ordinal, shares, max(10_000, 20 * chunks)).alias("cuts")).first()
-    return sorted({float(v) for v in row["cuts"] if math.isfinite(v)})
+    seen = Counter(float(v) for v in row["cuts"] if math.isfinite(v))
+    return Cuts(tuple(sorted(seen)), tuple(sorted(v for v, times in seen.items() if times > 1)))
 
 
-def with_chunk(df: DataFrame, column: str, cuts: Sequence[float], name: str = _CHUNK) -> DataFrame:
-    """Add the chunk number; it grows with ``column`` and equal values share a chunk."""
-    if not cuts:
-        return df.withColumn(name, F.lit(0))
-    staged = df.withColumn("__ordinal", as_ordinal(df, column))
-    splits = [-math.inf, *cuts, math.inf]
-    bucketed = Bucketizer(
-        splits=splits, inputCol="__ordinal", outputCol="__bucket", handleInvalid="keep"
+def bucket(df: DataFrame, value: Column, splits: Sequence[float], name: str) -> DataFrame:
+    """Add the number of the half-open interval a value lies in."""
+    staged = df.withColumn(f"{name}_v", value)
+    found = Bucketizer(
+        splits=list(splits), inputCol=f"{name}_v", outputCol=f"{name}_b", handleInvalid="keep"
     ).transform(staged)
-    return bucketed.withColumn(name, F.col("__bucket").cast("int")).drop("__ordinal", "__bucket")
+    return found.withColumn(name, F.col(f"{name}_b").cast("int")).drop(f"{name}_v", f"{name}_b")
+
+
+def with_chunks(df: DataFrame, order: Sequence[str], rows_per_chunk: int) -> tuple[DataFrame, list[str]]:
+    """Add chunk columns whose order agrees with ``order``; none when one chunk is enough."""
+    first = find_cuts(df, order[0], rows_per_chunk)
+    if not first.values:
+        return df, []
+    ordinal = as_ordinal(df, order[0])
+    parts = bucket(df, ordinal, first.splits(), "__chunk0")
+    if not first.frequent or len(order) < 2 or not can_be_cut(df, order[1]):
+        return parts, ["__chunk0"]
+    crowded = ordinal.isin(*first.frequent)
+    second = find_cuts(df.where(crowded), order[1], rows_per_chunk)
+    parts = bucket(parts, as_ordinal(df, order[1]), second.splits(), "__within")
+    parts = parts.withColumn("__chunk1", F.when(crowded, F.col("__within")).otherwise(0)).drop("__within")
+    return parts, ["__chunk0", "__chunk1"]
 
 
 @dataclass(frozen=True)
@@ -77,33 +113,32 @@ class Running:
     column: Column | None = None
     inclusive: bool = True
 
-
-def _total(spec: Running, order: Column) -> Column:
-    if spec.kind == "count":
-        return F.count(F.lit(1))
-    if spec.kind == "last":
-        return F.max_by(spec.column, F.when(spec.column.isNotNull(), order))
-    return {"sum": F.sum, "max": F.max, "min": F.min}[spec.kind](spec.column)
-
-
-def _over(spec: Running, window, column: Column | None) -> Column:
-    if spec.kind == "count":
-        value = F.count(F.lit(1)) if column is None else F.sum(column)
-    elif spec.kind == "last":
-        value = F.last(column, ignorenulls=True)
-    else:
-        value = {"sum": F.sum, "max": F.max, "min": F.min}[spec.kind](column)
-    return value.over(window)
-
-
-def _merge(spec: Running, before: Column, inside: Column) -> Column:
-    if spec.kind == "count":
-        return (F.coalesce(before, F.lit(0)) + F.coalesce(inside, F.lit(0))).cast("bigint")
-    if spec.kind == "sum":
-        return F.when(before.isNull(), inside).when(inside.isNull(), before).otherwise(before + inside)
-    if spec.kind == "last":
-        return F.coalesce(inside, before)
-    return F.greatest(before, inside) if spec.kind == "max" else F.least(before, inside)
+    def over(self, window, column: Column | None) -> Column:
+        if self.kind == "count":
+            value = F.count(F.lit(1)) if column is None else F.sum(column)
+        elif self.kind == "last":
+            value = F.last(column, ignorenulls=True)
+        else:
+            value = {"sum": F.sum, "max": F.max, "min": F.min}[self.kind](column)
+        return value.over(window)
+
+    def total(self, order: Column, descending: bool) -> Column:
+        """What a whole chunk contributes to the chunks after it."""
+        if self.kind == "count":
+            return F.count(F.lit(1))
+        if self.kind == "last":
+            pick = F.min_by if descending else F.max_by
+            return pick(self.column, F.when(self.column.isNotNull(), order))
+        return {"sum": F.sum, "max": F.max, "min": F.min}[self.kind](self.column)
+
+    def merge(self, before: Column, inside: Column) -> Column:
+        if self.kind == "count":
+            return (F.coalesce(before, F.lit(0)) + F.coalesce(inside, F.lit(0))).cast("bigint")
+        if self.kind == "sum":
+            return F.when(before.isNull(), inside).when(inside.isNull(), before).otherwise(before + inside)
+        if self.kind == "last":
+            return F.coalesce(inside, before)
+        return F.greatest(before, inside) if self.kind == "max" else F.least(before, inside)
 
 
 def running(
@@ -116,7 +151,7 @@ def running(
 ) -> DataFrame:
     """Add running values per key in the given order, split into chunks when long.
 
-    Only the first order column must be numeric or temporal; the others break ties.
+    The first order column must be numeric or temporal; the others break ties.
     """
     def sort(columns: Sequence[str]) -> list[Column]:
         return [F.col(c).desc() if descending else F.col(c).asc() for c in columns]
@@ -124,46 +159,30 @@ def running(
     def frame(window, inclusive: bool):
         return window.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
 
-    cuts = find_cuts(df, order[0], rows_per_chunk)
-    if not cuts:
-        base = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-        base = base.orderBy(*sort(order))
-        return df.select(
-            "*",
-            *[_finish(s, _over(s, frame(base, s.inclusive), s.column)).alias(s.name) for s in specs],
-        )
+    def partition(*columns: str):
+        return Window.partitionBy(*columns) if columns else Window.partitionBy(F.lit(0))
+
+    parts, chunk = with_chunks(df, order, rows_per_chunk)
+    inner = partition(*keys, *chunk).orderBy(*sort(order))
+    if not chunk:
+        return df.select("*", *[
+            s.merge(F.lit(None), s.over(frame(inner, s.inclusive), s.column)).alias(s.name) for s in specs
+        ])
 
-    parts = with_chunk(df, order[0], cuts)
     ordering = F.struct(*[F.col(c) for c in order])
-    totals = parts.groupBy(*keys, _CHUNK).agg(*[
-        (_reversed_last(s, ordering) if descending and s.kind == "last" else _total(s, ordering)).alias(f"__t_{s.name}")
-        for s in specs
+    totals = parts.groupBy(*keys, *chunk).agg(*[
+        s.total(ordering, descending).alias(f"__t_{s.name}") for s in specs
     ])
-    between = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    earlier = frame(between.orderBy(F.col(_CHUNK).desc() if descending else F.col(_CHUNK).asc()), False)
+    earlier = frame(partition(*keys).orderBy(*sort(chunk)), False)
     offsets = totals.select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-        F.col(_CHUNK).alias("__c"),
-        *[_over(s, earlier, F.col(f"__t_{s.name}")).alias(f"__b_{s.name}") for s in specs],
+        *[F.col(k).alias(f"__k{i}") for i, k in enumerate([*keys, *chunk])],
+        *[s.over(earlier, F.col(f"__t_{s.name}")).alias(f"__b_{s.name}") for s in specs],
     )
-    pairs = [(k, f"__k{i}") for i, k in enumerate(keys)] + [(_CHUNK, "__c")]
+    pairs = [(k, f"__k{i}") for i, k in enumerate([*keys, *chunk])]
     joined = parts.join(offsets, null_safe(parts, offsets, pairs), "left")
-    inner = Window.partitionBy(*keys, _CHUNK).orderBy(*sort(order))
-    return joined.select(
-        *df.columns,
-        *[
-            _merge(s, F.col(f"__b_{s.name}"), _over(s, frame(inner, s.inclusive), s.column)).alias(s.name)
-            for s in specs
-        ],
-    )
-
-
-def _finish(spec: Running, value: Column) -> Column:
-    return value.cast("bigint") if spec.kind == "count" else value
-
-
-def _reversed_last(spec: Running, order: Column) -> Column:
-    return F.min_by(spec.column, F.when(spec.column.isNotNull(), order))
+    return joined.select(*df.columns, *[
+        s.merge(F.col(f"__b_{s.name}"), s.over(frame(inner, s.inclusive), s.column)).alias(s.name) for s in specs
+    ])
 
 
 def row_position(

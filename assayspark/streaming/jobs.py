@@ -17,13 +17,15 @@ from assayspark.operators.runlog import COMPLETE
 from assayspark.plans.workspace import fresh_path
 
 
-def read_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    """Parquet files as a stream; the schema comes from the files that are there."""
-    schema = spark.read.parquet(path).schema
-    reader = spark.readStream.schema(schema)
+def read_stream(
+    spark: SparkSession, folder: str, names: str = "*.parquet", files_per_batch: int | None = None
+) -> DataFrame:
+    """Parquet files of a folder as a stream; the schema comes from the files that are there."""
+    schema = spark.read.option("pathGlobFilter", names).parquet(folder).schema
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", names)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path)
+    return reader.parquet(folder)
 
 
 def append_to_files(stream: DataFrame, out: str, checkpoint: str) -> None:
