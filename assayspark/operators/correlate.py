@@ -24,6 +24,12 @@ def _finite(r: Column) -> Column:
     return F.coalesce(F.nanvl(r, F.lit(None)), F.lit(0.0))
 
 
+def _corr(a: Column, b: Column) -> Column:
+    """Correlation over the complete pairs, null for a constant side (``corr`` raises there)."""
+    spread = F.stddev_pop(F.when(b.isNotNull(), a)) * F.stddev_pop(F.when(a.isNotNull(), b))
+    return F.try_divide(F.covar_pop(a, b), spread)
+
+
 def _long(row: DataFrame, pairs: Sequence[tuple[str, str]], names: Sequence[str]) -> DataFrame:
     entries = [
         F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), _finite(F.col(n)).alias("r"))
@@ -42,7 +48,7 @@ def pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     pairs = list(combinations(columns, 2))
     if len(columns) <= WIDE:
         names = [f"r{i}" for i in range(len(pairs))]
-        row = values.agg(*[F.corr(a, b).alias(n) for (a, b), n in zip(pairs, names)])
+        row = values.agg(*[_corr(F.col(a), F.col(b)).alias(n) for (a, b), n in zip(pairs, names)])
         return _long(row, pairs, names)
     centre = values.agg(*[F.avg(c) for c in columns]).first()
     m = pairwise_moments(values, columns, [v if v is not None else 0.0 for v in centre])
@@ -236,6 +242,6 @@ def top_with_target(df: DataFrame, columns: Sequence[str], target: str, k: int =
     """Columns with the largest absolute correlation with the target."""
     y = number(target)
     names = [f"r{i}" for i in range(len(columns))]
-    row = df.agg(*[F.corr(number(c), y).alias(n) for c, n in zip(columns, names)])
+    row = df.agg(*[_corr(number(c), y).alias(n) for c, n in zip(columns, names)])
     entries = [F.struct(F.lit(c).alias("column"), F.abs(_finite(F.col(n))).alias("abs_corr")) for c, n in zip(columns, names)]
     return row.select(F.inline(F.array(*entries))).orderBy(F.col("abs_corr").desc(), "column").limit(k)

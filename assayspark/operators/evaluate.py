@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayspark.operators.models import PREDICTION, fit_model, with_residual
-from assayspark.plans.chunks import ROWS_PER_CHUNK, row_position
+from assayspark.plans.chunks import ROWS_PER_CHUNK, rows_at
 from assayspark.plans.gram import grouped_gram
 
 # Order of the models and splits in a report.
@@ -159,8 +159,7 @@ def downsample(
     """Every ceil(n / limit)-th point in key order, all of them when there are few."""
     total = df.count()
     step = max(1, -(-total // limit))
-    placed = row_position(df, [], key, "__at", rows_per_chunk=rows_per_chunk)
-    return placed.where((F.col("__at") - 1) % F.lit(step) == 0).orderBy(*key).limit(limit).drop("__at")
+    return rows_at(df, key, range(1, total + 1, step), rows_per_chunk)
 
 
 def extent(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -99,7 +99,7 @@ def outlier_summary(flagged: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total"),
         F.count_if(FLAG).alias("n_outliers"),
         F.count_if(~F.col(FLAG)).alias("n_normal"),
-        F.round(F.lit(100.0) * F.count_if(FLAG) / F.count(F.lit(1)), 1).alias("ratio_pct"),
+        F.round(F.try_divide(F.lit(100.0) * F.count_if(FLAG), F.count(F.lit(1))), 1).alias("ratio_pct"),
     )
 
 

@@ -59,7 +59,7 @@ class RangeScaler:
     high: float
 
     def to_unit(self, value: Column) -> Column:
-        return F.lit(2.0) * (value - F.lit(self.low)) / F.lit(self.high - self.low) - 1
+        return F.try_divide(F.lit(2.0) * (value - F.lit(self.low)), F.lit(self.high - self.low)) - 1
 
     def from_unit(self, value: Column) -> Column:
         return value * F.lit((self.high - self.low) / 2) + F.lit((self.high + self.low) / 2)

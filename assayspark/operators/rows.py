@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -10,8 +11,11 @@ from pyspark.sql import functions as F
 
 from assayspark.operators.filters import keyword_any
 from assayspark.operators.query import clamp
+from assayspark.plans.chunks import as_ordinal, can_be_cut, rows_at
 from assayspark.plans.joins import broadcast_if_small, null_safe
 
+DEEP_OFFSET = 50_000
+
 
 def update_rows(df: DataFrame, edits: DataFrame, key: Sequence[str]) -> DataFrame:
     """Set columns of the rows an edit names; null in an edit leaves the value alone.
@@ -96,12 +100,29 @@ def page_rows(
     descending: bool = False,
     keyword: str = "",
     max_size: int = 200,
+    deep: int = DEEP_OFFSET,
 ) -> DataFrame:
-    """Rows of one page in a total order, missing values last."""
+    """Rows of one page in a total order, missing values last.
+
+    Near the front this is a top-k. A page far behind would drag all rows before it into one
+    task; it is found by counting instead, as long as sort and key columns can be cut.
+    """
     size = clamp(size, 1, max_size)
     found = keyword_any(df, keyword)
     sort = sort if sort in df.columns else None
-    return found.orderBy(*_ordering(sort, descending, key)).offset((max(1, page) - 1) * size).limit(size)
+    ordering, offset = _ordering(sort, descending, key), (max(1, page) - 1) * size
+    columns = [c for c in (sort, *key) if c]
+    if offset <= deep or not all(can_be_cut(df, c) for c in columns):
+        return found.orderBy(*ordering).offset(offset).limit(size)
+    images = {f"__o{i}": _image(df, c, descending and c == sort) for i, c in enumerate(dict.fromkeys(columns))}
+    wanted = range(offset + 1, offset + size + 1)
+    return rows_at(found.withColumns(images), list(images), wanted).orderBy(*ordering).select(*df.columns)
+
+
+def _image(df: DataFrame, column: str, descending: bool) -> Column:
+    """Ascending stand-in for an ordering column, missing values last."""
+    value = F.when(F.col(column).isNotNull(), as_ordinal(df, column))
+    return F.coalesce(-value if descending else value, F.lit(math.inf))
 
 
 def fetch_page(df: DataFrame, key: Sequence[str], keyword: str = "", **choice) -> Page:

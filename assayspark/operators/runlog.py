@@ -140,7 +140,7 @@ def tail(df: DataFrame, series: Sequence[str], order: Sequence[str], n: int = 50
 
 def progress(epoch: Column, total: Column) -> Column:
     """Percent of the epochs done."""
-    return F.lit(100.0) * epoch / total
+    return F.try_divide(F.lit(100.0) * epoch, total)
 
 
 # -------------------------------------------------------------------- task status
