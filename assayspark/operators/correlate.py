@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from assayspark.functions.columns import number
 from assayspark.plans.chunks import ROWS_PER_CHUNK, bucket, find_cuts
 from assayspark.plans.gram import pairwise_moments
+from assayspark.plans.layout import spread
 
 WIDE = 16
 STRIP_POINTS = 500_000
@@ -26,8 +27,8 @@ def _finite(r: Column) -> Column:
 
 def _corr(a: Column, b: Column) -> Column:
     """Correlation over the complete pairs, null for a constant side (``corr`` raises there)."""
-    spread = F.stddev_pop(F.when(b.isNotNull(), a)) * F.stddev_pop(F.when(a.isNotNull(), b))
-    return F.try_divide(F.covar_pop(a, b), spread)
+    scale = F.stddev_pop(F.when(b.isNotNull(), a)) * F.stddev_pop(F.when(a.isNotNull(), b))
+    return F.try_divide(F.covar_pop(a, b), scale)
 
 
 def _long(row: DataFrame, pairs: Sequence[tuple[str, str]], names: Sequence[str]) -> DataFrame:
@@ -41,19 +42,27 @@ def _long(row: DataFrame, pairs: Sequence[tuple[str, str]], names: Sequence[str]
 def pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson r over the rows where both columns are present; undefined values become 0.
 
-    A few columns need one JVM aggregate. Many columns use per-task cross products, because
-    thousands of aggregates in one plan neither compile nor fit a code-generated stage.
+    A few complete columns need one JVM aggregate. With missing values or many columns the
+    cross products are summed per task, because each pair then has its own rows and thousands
+    of aggregates in one plan neither compile nor fit a code-generated stage.
     """
     values = df.select(*[number(c).alias(c) for c in columns])
-    pairs = list(combinations(columns, 2))
-    if len(columns) <= WIDE:
+    k = len(columns)
+    seen = values.agg(
+        *[F.avg(c) for c in columns], *[F.count_if(F.col(c).isNull()) for c in columns],
+        *[F.min(c) < F.max(c) for c in columns],
+    ).first()
+    centre, holes, varies = seen[:k], seen[k:2 * k], dict(zip(columns, seen[2 * k:]))
+    if k <= WIDE and not any(holes):
+        pairs = list(combinations(columns, 2))
         names = [f"r{i}" for i in range(len(pairs))]
-        row = values.agg(*[_corr(F.col(a), F.col(b)).alias(n) for (a, b), n in zip(pairs, names)])
+        row = values.agg(*[
+            (F.corr(a, b) if varies[a] and varies[b] else F.max(F.lit(0.0))).alias(n) for (a, b), n in zip(pairs, names)
+        ])
         return _long(row, pairs, names)
-    centre = values.agg(*[F.avg(c) for c in columns]).first()
-    m = pairwise_moments(values, columns, [v if v is not None else 0.0 for v in centre])
-    spread = (F.col("n") * F.col("sxx") - F.col("sx") ** 2) * (F.col("n") * F.col("syy") - F.col("sy") ** 2)
-    r = F.when(spread > 0, (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(spread))
+    m = pairwise_moments(spread(values), columns, [v if v is not None else 0.0 for v in centre])
+    scatter = (F.col("n") * F.col("sxx") - F.col("sx") ** 2) * (F.col("n") * F.col("syy") - F.col("sy") ** 2)
+    r = F.when(scatter > 0, (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(scatter))
     labels = F.array(*[F.lit(c) for c in columns])
     return m.select(
         F.element_at(labels, F.col("i") + 1).alias("a"), F.element_at(labels, F.col("j") + 1).alias("b"),

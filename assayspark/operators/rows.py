@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from assayspark.operators.filters import keyword_any
 from assayspark.operators.query import clamp
 from assayspark.plans.chunks import as_ordinal, can_be_cut, rows_at
-from assayspark.plans.joins import broadcast_if_small, null_safe
+from assayspark.plans.joins import broadcast_if_small
 
 DEEP_OFFSET = 50_000
 
@@ -50,21 +50,17 @@ def upsert_settings(
     order: Sequence[str],
     defaults: DataFrame | None = None,
 ) -> DataFrame:
-    """Latest value per key over stored and changed rows, laid over the defaults."""
-    both = stored.unionByName(changes)
-    rest = [c for c in both.columns if c not in key]
-    newest = both.groupBy(*key).agg(
-        F.max_by(F.struct(*rest), F.struct(*[F.col(c) for c in order])).alias("__row")
-    ).select(*key, "__row.*")
-    if defaults is None:
-        return newest
-    base = defaults.select(*[F.col(k).alias(f"__d_{k}") for k in key], F.col(value).alias("__default"))
-    merged = newest.join(base, null_safe(newest, base, [(k, f"__d_{k}") for k in key]), "full_outer")
-    return merged.select(
-        *[F.coalesce(F.col(k), F.col(f"__d_{k}")).alias(k) for k in key],
-        F.coalesce(F.col(value), F.col("__default")).alias(value),
-        *[c for c in rest if c != value],
-    )
+    """Latest value per key over stored and changed rows, laid over the defaults.
+
+    Defaults take part as the oldest rows, so there is one aggregation and no join.
+    """
+    rows = stored.unionByName(changes).withColumn("__tier", F.lit(1))
+    if defaults is not None:
+        oldest = defaults.select(*key, value, F.lit(0).alias("__tier"))
+        rows = rows.unionByName(oldest, allowMissingColumns=True)
+    rest = [c for c in stored.columns if c not in key]
+    age = F.struct("__tier", *order)
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), age).alias("__row")).select(*key, "__row.*")
 
 
 def nullify_owner(dependents: DataFrame, owners: DataFrame, owner: str, owner_key: str) -> DataFrame:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayspark.plans.chunks import ROWS_PER_CHUNK, Running, running
-from assayspark.plans.joins import broadcast_if_small, null_safe
 
 # Names under which a metric may be stored.
 METRIC_ALIASES = {
@@ -42,36 +41,42 @@ def append_records(records: DataFrame, path: str) -> None:
 # ------------------------------------------------------------------------ metrics
 
 
-def _object(text: Column) -> Column:
-    return F.when(text.startswith("{"), text)
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and use it several times."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _at(text: Column, path: str) -> Column:
-    return F.get_json_object(text, path)
+def _fields(text: Column) -> Column:
+    """Top-level fields of a JSON object as text; null when the text is no object."""
+    return F.when(text.startswith("{"), F.from_json(text, "map<string,string>"))
+
+
+def _best_model(top: Column) -> Column:
+    """Fields of the model named best, else of the first model with a score."""
+    def choose(models: Column) -> Column:
+        scored = F.filter(models, lambda m: m["r2"].isNotNull())
+        named = F.filter(scored, lambda m: m["model"] == top["best"])
+        return F.coalesce(F.get(named, F.lit(0)), F.get(scored, F.lit(0)))
+
+    return _once(F.from_json(top["models"], "array<map<string,string>>"), choose)
 
 
 def metric_bag(metrics: Column) -> Column:
-    """JSON object that holds the metrics to show: test part, detail, best model or the whole."""
-    detail = _object(_at(metrics, "$.detail"))
-    has_r2 = _at(metrics, "$.detail.r2").isNotNull() | _at(metrics, "$.detail.R2_value").isNotNull()
-    models = F.from_json(_at(metrics, "$.models"), "array<string>")
-    scored = F.filter(models, lambda m: _at(m, "$.r2").isNotNull())
-    named = F.filter(scored, lambda m: _at(m, "$.model") == _at(metrics, "$.best"))
-    return F.coalesce(
-        _object(_at(metrics, "$.test")),
-        _object(_at(metrics, "$.detail.test")),
-        F.when(has_r2, detail),
-        F.get(named, F.lit(0)),
-        F.get(scored, F.lit(0)),
-        metrics,
-    )
+    """Fields that hold the metrics to show: test part, detail, best model or the whole."""
+    def from_detail(detail: Column) -> Column:
+        scored = detail["r2"].isNotNull() | detail["R2_value"].isNotNull()
+        return F.coalesce(_fields(detail["test"]), F.when(scored, detail))
+
+    def from_top(top: Column) -> Column:
+        return F.coalesce(_fields(top["test"]), _once(_fields(top["detail"]), from_detail), _best_model(top), top)
+
+    return _once(_fields(metrics), from_top)
 
 
 def metric_value(metrics: Column, metric: str, aliases: Sequence[str] | None = None) -> Column:
     """One metric as a number; null when it is absent or no number."""
-    bag = metric_bag(metrics)
     names = aliases or METRIC_ALIASES.get(metric, (metric,))
-    return F.coalesce(*[_at(bag, f"$.{n}") for n in names]).try_cast("double")
+    return _once(metric_bag(metrics), lambda bag: F.coalesce(*[bag[n] for n in names])).try_cast("double")
 
 
 def fill_labels(
@@ -119,12 +124,13 @@ def early_stop(
     )
 
 
-def evaluation_points(df: DataFrame, run: Sequence[str], epoch: str, every: int = 10) -> DataFrame:
+def evaluation_points(
+    df: DataFrame, run: Sequence[str], epoch: str, every: int = 10, rows_per_chunk: int = ROWS_PER_CHUNK
+) -> DataFrame:
     """Every tenth epoch and the last one of each run."""
-    last = df.groupBy(*run).agg(F.max(epoch).alias("__last"))
-    ends = broadcast_if_small(last.select(*[F.col(k).alias(f"__r{i}") for i, k in enumerate(run)], "__last"))
-    joined = df.join(ends, null_safe(df, ends, [(k, f"__r{i}") for i, k in enumerate(run)]))
-    return joined.where((F.col(epoch) % every == 0) | (F.col(epoch) == F.col("__last"))).select(*df.columns)
+    last = Running("__last", "max", F.col(epoch))  # from the end, the first row has the maximum
+    ended = running(df, run, [epoch], [last], descending=True, rows_per_chunk=rows_per_chunk)
+    return ended.where((F.col(epoch) % every == 0) | (F.col(epoch) == F.col("__last"))).drop("__last")
 
 
 def epoch_loss(df: DataFrame, by: Sequence[str], loss: str, name: str = "loss") -> DataFrame:

@@ -21,10 +21,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assayspark.plans.joins import null_safe
-
 ROWS_PER_CHUNK = 2_000_000
 MAX_CHUNKS = 10_000
+SAMPLE_PER_CHUNK = 200
 
 
 def can_be_cut(df: DataFrame, column: str) -> bool:
@@ -67,7 +66,11 @@ def find_cuts(
     max_chunks: int = MAX_CHUNKS,
     total: int | None = None,
 ) -> Cuts:
-    """Cut points that give about ``rows_per_chunk`` rows between neighbours."""
+    """Cut points that give about ``rows_per_chunk`` rows between neighbours.
+
+    They come from a sample of a size that depends on the number of chunks only. Where the
+    cuts lie changes the balance of the chunks, never a result.
+    """
     ordinal = as_ordinal(df, column)
     if total is None:
         total = df.select(ordinal.alias("v")).count()
@@ -75,8 +78,12 @@ def find_cuts(
     if chunks <= 1:
         return Cuts()
     shares = [i / chunks for i in range(1, chunks)]
-    row = df.agg(F.percentile_approx(ordinal, shares, max(10_000, 20 * chunks)).alias("cuts")).first()
-    seen = Counter(float(v) for v in row["cuts"] if math.isfinite(v))
+    sampled = df.select(ordinal.alias("v")).where(F.col("v") > -math.inf)
+    fraction = SAMPLE_PER_CHUNK * chunks / total
+    if fraction < 1.0:
+        sampled = sampled.sample(fraction, seed=chunks)
+    row = sampled.agg(F.percentile("v", F.array(*[F.lit(s) for s in shares])).alias("cuts")).first()
+    seen = Counter(float(v) for v in row["cuts"] or () if math.isfinite(v))
     return Cuts(tuple(sorted(seen)), tuple(sorted(v for v, times in seen.items() if times > 1)))
 
 
@@ -114,32 +121,32 @@ class Running:
     column: Column | None = None
     inclusive: bool = True
 
-    def over(self, window, column: Column | None) -> Column:
-        if self.kind == "count":
-            value = F.count(F.lit(1)) if column is None else F.sum(column)
-        elif self.kind == "last":
-            value = F.last(column, ignorenulls=True)
-        else:
-            value = {"sum": F.sum, "max": F.max, "min": F.min}[self.kind](column)
-        return value.over(window)
+    @property
+    def part(self) -> Column:
+        """What a row contributes."""
+        return F.lit(1).cast("bigint") if self.kind == "count" else self.column
 
     def total(self, order: Column, descending: bool) -> Column:
         """What a whole chunk contributes to the chunks after it."""
-        if self.kind == "count":
-            return F.count(F.lit(1))
         if self.kind == "last":
             pick = F.min_by if descending else F.max_by
             return pick(self.column, F.when(self.column.isNotNull(), order))
-        return {"sum": F.sum, "max": F.max, "min": F.min}[self.kind](self.column)
+        return self._gather(self.part)
+
+    def over(self, window, column: str) -> Column:
+        """The running value of contributions in a window."""
+        end = 0 if self.inclusive else -1
+        value = self._gather(F.col(column)).over(window.rowsBetween(Window.unboundedPreceding, end))
+        return F.coalesce(value, F.lit(0)) if self.kind == "count" else value
+
+    def before(self, window, column: str) -> Column:
+        """The contributions of all earlier rows."""
+        return self._gather(F.col(column)).over(window.rowsBetween(Window.unboundedPreceding, -1))
 
-    def merge(self, before: Column, inside: Column) -> Column:
-        if self.kind == "count":
-            return (F.coalesce(before, F.lit(0)) + F.coalesce(inside, F.lit(0))).cast("bigint")
-        if self.kind == "sum":
-            return F.when(before.isNull(), inside).when(inside.isNull(), before).otherwise(before + inside)
+    def _gather(self, column: Column) -> Column:
         if self.kind == "last":
-            return F.coalesce(inside, before)
-        return F.greatest(before, inside) if self.kind == "max" else F.least(before, inside)
+            return F.last(column, ignorenulls=True)
+        return {"count": F.sum, "sum": F.sum, "max": F.max, "min": F.min}[self.kind](column)
 
 
 def running(
@@ -152,38 +159,32 @@ def running(
 ) -> DataFrame:
     """Add running values per key in the given order, split into chunks when long.
 
-    The first order column must be numeric or temporal; the others break ties.
+    The first order column must be numeric or temporal; the others break ties. Every (key,
+    chunk) gets one head row that carries what the earlier chunks add up to; it sorts first,
+    so one window and one shuffle of the rows do the whole work, without a join.
     """
     def sort(columns: Sequence[str]) -> list[Column]:
         return [F.col(c).desc() if descending else F.col(c).asc() for c in columns]
 
-    def frame(window, inclusive: bool):
-        return window.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-
     def partition(*columns: str):
         return Window.partitionBy(*columns) if columns else Window.partitionBy(F.lit(0))
 
+    names = [f"__p{i}" for i in range(len(specs))]
     parts, chunk = with_chunks(df, order, rows_per_chunk)
-    inner = partition(*keys, *chunk).orderBy(*sort(order))
-    if not chunk:
-        return df.select("*", *[
-            s.merge(F.lit(None), s.over(frame(inner, s.inclusive), s.column)).alias(s.name) for s in specs
+    rows = parts.select("*", F.lit(1).alias("__row"), *[s.part.alias(n) for s, n in zip(specs, names)])
+    if chunk:
+        ordering = F.struct(*[F.col(c) for c in order])
+        totals = parts.groupBy(*keys, *chunk).agg(*[
+            s.total(ordering, descending).alias(n) for s, n in zip(specs, names)
         ])
-
-    ordering = F.struct(*[F.col(c) for c in order])
-    totals = parts.groupBy(*keys, *chunk).agg(*[
-        s.total(ordering, descending).alias(f"__t_{s.name}") for s in specs
-    ])
-    earlier = frame(partition(*keys).orderBy(*sort(chunk)), False)
-    offsets = totals.select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate([*keys, *chunk])],
-        *[s.over(earlier, F.col(f"__t_{s.name}")).alias(f"__b_{s.name}") for s in specs],
-    )
-    pairs = [(k, f"__k{i}") for i, k in enumerate([*keys, *chunk])]
-    joined = parts.join(offsets, null_safe(parts, offsets, pairs), "left")
-    return joined.select(*df.columns, *[
-        s.merge(F.col(f"__b_{s.name}"), s.over(frame(inner, s.inclusive), s.column)).alias(s.name) for s in specs
-    ])
+        earlier = partition(*keys).orderBy(*sort(chunk))
+        heads = totals.select(
+            *keys, *chunk, F.lit(0).alias("__row"), *[s.before(earlier, n).alias(n) for s, n in zip(specs, names)]
+        )
+        rows = rows.unionByName(heads, allowMissingColumns=True)
+    window = partition(*keys, *chunk).orderBy("__row", *sort(order))
+    done = rows.select(*df.columns, "__row", *[s.over(window, n).alias(s.name) for s, n in zip(specs, names)])
+    return done.where(F.col("__row") == 1).drop("__row")
 
 
 def row_position(

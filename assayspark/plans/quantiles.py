@@ -2,9 +2,10 @@
 
 ``percentile`` keeps every distinct value of a column in one aggregation buffer. That is
 fine for small inputs and is used as it is there. Beyond a budget the wanted order
-statistics are first bracketed with a quantile sketch and the brackets are verified by
-counting, pass after pass, until few enough rows lie strictly inside. The result is exact
-in both cases; every pass is one aggregation of the whole table with a small state.
+statistics are first bracketed by values from a sample and the brackets are verified by
+counting all rows, pass after pass, until few enough rows lie strictly inside. The result
+is exact in both cases; the state of every pass stays within the budget, whatever the size
+of the table or the number of its tasks.
 """
 
 from __future__ import annotations
@@ -16,12 +17,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayspark.functions.columns import number
+from assayspark.functions.columns import any_of, number
 from assayspark.plans.chunks import ROWS_PER_CHUNK, Running, running
 from assayspark.plans.joins import broadcast_if_small, null_safe
 
-VALUE_BUDGET = 4_000_000
-SKETCH_ACCURACY = 20_000
+VALUE_BUDGET = 400_000
+SAMPLE_VALUES = 100_000
 
 
 @dataclass
@@ -92,53 +93,94 @@ def _strictly_inside(value: Column, b: _Bracket) -> Column:
 def _locate(df: DataFrame, values: dict[str, Column], brackets: list[_Bracket], per_bracket: int) -> None:
     """Narrow all brackets together, then read off the order statistics."""
     pending = [b for b in brackets if b.inside > per_bracket]
+    boost = 1
     while pending:
-        sketches = []
-        for i, b in enumerate(pending):
-            local = (b.rank - b.at_or_below_low + 0.5) / b.inside
-            slack = 2.0 / SKETCH_ACCURACY
-            edges = [max(local - slack, 0.0), min(local + slack, 1.0)]
-            sketches.append(F.percentile_approx(
-                F.when(_strictly_inside(values[b.column], b), values[b.column]), edges, SKETCH_ACCURACY
-            ).alias(f"s{i}"))
-        guess = df.agg(*sketches).first()
-        checks = []
-        for i, b in enumerate(pending):
-            low, high = guess[i]
-            v = values[b.column]
-            checks += [
-                F.count_if(v < low).alias(f"a{i}"),
-                F.count_if(v <= low).alias(f"b{i}"),
-                F.count_if(v < high).alias(f"c{i}"),
-                F.count_if(v <= high).alias(f"d{i}"),
-            ]
-        seen = df.agg(*checks).first()
-        for i, b in enumerate(pending):
-            low, high = guess[i]
-            below_low, upto_low, below_high, upto_high = seen[4 * i: 4 * i + 4]
-            upper = b.at_or_below_low + b.inside
-            if below_low <= b.rank < upto_low:
-                b.value = low
-            elif below_high <= b.rank < upto_high:
-                b.value = high
-            elif b.rank < below_low:
-                b.high, b.inside = low, below_low - b.at_or_below_low
-            elif b.rank >= upto_high:
-                b.low, b.at_or_below_low, b.inside = high, upto_high, upper - upto_high
-            else:
-                b.low, b.high = low, high
-                b.at_or_below_low, b.inside = upto_low, below_high - upto_low
+        edges = _sample_edges(df, values, pending, boost)
+        if not edges:
+            boost *= 10
+            continue
+        counts = _count_edges(df, values, {(b.column, e) for b in pending for e in edges.get(id(b), ())})
+        for b in pending:
+            if id(b) in edges:
+                low, high = edges[id(b)]
+                _narrow(b, low, *counts[(b.column, low)], high, *counts[(b.column, high)])
         pending = [b for b in pending if b.value is None and b.inside > per_bracket]
+    _read_off(df, values, [b for b in brackets if b.value is None])
 
-    open_brackets = [b for b in brackets if b.value is None]
+
+def _sample_edges(
+    df: DataFrame, values: dict[str, Column], pending: list[_Bracket], boost: int
+) -> dict[int, tuple[float, float]]:
+    """Two values close around each wanted rank, guessed from a sample of its bracket.
+
+    Brackets over the same range share a sample. A bad guess costs a pass, never the result.
+    """
+    ranges: dict[tuple[str, float, float], list[_Bracket]] = {}
+    for b in pending:
+        ranges.setdefault((b.column, b.low, b.high), []).append(b)
+    size = max(SAMPLE_VALUES // len(ranges), 500) * boost
+    names = {c: f"__v{i}" for i, c in enumerate(values)}
+    drawn = df.select(*[values[c].alias(n) for c, n in names.items()], F.rand(size).alias("__u"))
+    samples, tests = [], []
+    for i, members in enumerate(ranges.values()):
+        shares = []
+        for b in members:
+            local = round((b.rank - b.at_or_below_low + 0.5) / b.inside, 6)  # neighbours share edges
+            slack = 4.0 * math.sqrt(local * (1.0 - local) / size) + 4.0 / size
+            shares += [max(local - slack, 0.0), min(local + slack, 1.0)]
+        value = F.col(names[members[0].column])
+        taken = _strictly_inside(value, members[0]) & (F.col("__u") < min(size / members[0].inside, 1.0))
+        tests.append(taken)
+        samples.append(F.percentile(F.when(taken, value), F.array(*[F.lit(s) for s in shares])).alias(f"s{i}"))
+    guess = drawn.where(any_of(tests)).agg(*samples).first()
+    return {
+        id(b): (guess[i][2 * j], guess[i][2 * j + 1])
+        for i, members in enumerate(ranges.values()) if guess[i] is not None for j, b in enumerate(members)
+    }
+
+
+def _count_edges(
+    df: DataFrame, values: dict[str, Column], edges: set[tuple[str, float]]
+) -> dict[tuple[str, float], tuple[int, int]]:
+    """Rows below and rows up to each edge."""
+    ordered = sorted(edges)
+    checks = [
+        check for i, (c, e) in enumerate(ordered)
+        for check in (F.count_if(values[c] < e).alias(f"b{i}"), F.count_if(values[c] <= e).alias(f"u{i}"))
+    ]
+    seen = df.agg(*checks).first()
+    return {edge: (seen[2 * i], seen[2 * i + 1]) for i, edge in enumerate(ordered)}
+
+
+def _narrow(
+    b: _Bracket, low: float, below_low: int, upto_low: int, high: float, below_high: int, upto_high: int
+) -> None:
+    """Keep the part of the bracket that the counts prove to hold the rank."""
+    upper = b.at_or_below_low + b.inside
+    if below_low <= b.rank < upto_low:
+        b.value = low
+    elif below_high <= b.rank < upto_high:
+        b.value = high
+    elif b.rank < below_low:
+        b.high, b.inside = low, below_low - b.at_or_below_low
+    elif b.rank >= upto_high:
+        b.low, b.at_or_below_low, b.inside = high, upto_high, upper - upto_high
+    else:
+        b.low, b.high = low, high
+        b.at_or_below_low, b.inside = upto_low, below_high - upto_low
+
+
+def _read_off(df: DataFrame, values: dict[str, Column], open_brackets: list[_Bracket]) -> None:
+    """Exact order statistics from the few rows strictly inside each bracket."""
     if not open_brackets:
         return
-    finals = []
+    finals, tests = [], []
     for i, b in enumerate(open_brackets):
         share = (b.rank - b.at_or_below_low) / (b.inside - 1) if b.inside > 1 else 0.0
         v = values[b.column]
-        finals.append(F.percentile(F.when(_strictly_inside(v, b), v), min(share, 1.0)).alias(f"f{i}"))
-    row = df.agg(*finals).first()
+        tests.append(_strictly_inside(v, b))
+        finals.append(F.percentile(F.when(tests[-1], v), min(share, 1.0)).alias(f"f{i}"))
+    row = df.where(any_of(tests)).agg(*finals).first()
     for i, b in enumerate(open_brackets):
         b.value = row[i]
 
