@@ -112,13 +112,13 @@ def rl_td_huber(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("rl_priority_update", f"""
 SELECT e.event_id, {r('''coalesce(CASE WHEN t.td IS NOT NULL THEN greatest(abs(t.td), 0.000001) + 0.000001 END, CASE WHEN e.event_type = 'signup' THEN NULL ELSE e.value END,
-  (SELECT max(value) FROM events WHERE event_type <> 'signup') + 0.000001)''', 'value')}
+  (SELECT max(value) FROM events WHERE event_type <> 'signup') + 0.000001)''', 'value', 8)}
 FROM events e LEFT JOIN (SELECT * FROM {_TD_SQL} WHERE event_id IN (SELECT event_id FROM {_DRAW_SQL})) t ON e.event_id = t.event_id""")
 def rl_priority_update(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "events").select(
         "event_id", F.when(F.col("event_type") != "signup", F.col("value")).alias("value"))
     sampled = _td(spark, sf).join(_draw(spark, sf).select("event_id"), "event_id", "left_semi")
-    return round_all(experience.priority_update(events, sampled, ["event_id"], "value", "td"), "value")
+    return round_all(experience.priority_update(events, sampled, ["event_id"], "value", "td"), "value", digits=8)
 
 
 # ------------------------------------------------------------------------ run logs

@@ -22,8 +22,8 @@ CAPACITY = 100_000
 
 
 def _clipped(reward: Column) -> Column:
-    low, high = REWARD_RANGE
-    return F.least(F.greatest(reward, F.lit(low)), F.lit(high))
+    low, high = REWARD_RANGE  # greatest and least skip nulls, so a missing reward is kept apart
+    return F.when(reward.isNotNull(), F.least(F.greatest(reward, F.lit(low)), F.lit(high)))
 
 
 def _segments(error: Column) -> Column:
@@ -105,7 +105,8 @@ def priority_update(
     df: DataFrame, errors: DataFrame, key: Sequence[str], priority: str, td: str, epsilon: float = EPSILON
 ) -> DataFrame:
     """Sampled rows get max(|td|, eps) + eps, rows without priority the highest one plus eps."""
-    fresh = errors.select(*key, (F.greatest(F.abs(F.col(td)), F.lit(epsilon)) + F.lit(epsilon)).alias("__fresh"))
+    size = F.when(F.col(td).isNotNull(), F.greatest(F.abs(F.col(td)), F.lit(epsilon)) + F.lit(epsilon))
+    fresh = errors.select(*key, size.alias("__fresh"))
     joined = df.join(broadcast_if_small(fresh), list(key), "left")
     top = df.agg(F.max(priority)).first()[0]
     newest = F.lit((1.0 if top is None else float(top)) + epsilon)

@@ -178,7 +178,7 @@ def postprocess(df: DataFrame, clipped: Sequence[str], features: Sequence[str] =
     def shaped(field: T.StructField) -> Column:
         c = F.col(field.name)
         if field.name in clipped:
-            c = F.greatest(c, F.lit(0.0))
+            c = F.when(c.isNotNull(), F.greatest(c, F.lit(0.0)))
         return F.round(c, digits).alias(field.name) if field.name in (*clipped, *features) else c
 
     return df.select(*[shaped(f) for f in df.schema.fields])

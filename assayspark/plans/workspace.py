@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+_private: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -17,9 +18,9 @@ def shared_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {SETTING} to a folder that all executors can reach")
-    root = tempfile.mkdtemp(prefix="assayspark-")
-    spark.conf.set(SETTING, root)
-    return root
+    if not _private:
+        _private.append(tempfile.mkdtemp(prefix="assayspark-"))
+    return _private[0]
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

@@ -104,6 +104,8 @@ def test_polynomial_terms(spark):
 def test_postprocess(spark):
     out = prepare.postprocess(spark.createDataFrame([(-1.0, -1.23456)], "s double, f double"), ["s"], ["f"]).first()
     assert tuple(out) == (0.0, -1.2346)
+    kept = prepare.postprocess(spark.createDataFrame([(None,)], "s double"), ["s"]).first()
+    assert kept["s"] is None
 
 
 @pytest.mark.parametrize("name", ["LinearRegression", "LR", "unknown"])
