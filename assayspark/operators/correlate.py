@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
 
@@ -48,8 +49,8 @@ def pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """
     values = df.select(*[number(c).alias(c) for c in columns])
     k = len(columns)
-    seen = values.agg(
-        *[F.avg(c) for c in columns], *[F.count_if(F.col(c).isNull()) for c in columns],
+    rows, *seen = values.agg(
+        F.count(F.lit(1)), *[F.avg(c) for c in columns], *[F.count_if(F.col(c).isNull()) for c in columns],
         *[F.min(c) < F.max(c) for c in columns],
     ).first()
     centre, holes, varies = seen[:k], seen[k:2 * k], dict(zip(columns, seen[2 * k:]))
@@ -60,7 +61,7 @@ def pearson(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             (F.corr(a, b) if varies[a] and varies[b] else F.max(F.lit(0.0))).alias(n) for (a, b), n in zip(pairs, names)
         ])
         return _long(row, pairs, names)
-    m = pairwise_moments(spread(values), columns, [v if v is not None else 0.0 for v in centre])
+    m = pairwise_moments(spread(values, rows), columns, [v if v is not None else 0.0 for v in centre])
     scatter = (F.col("n") * F.col("sxx") - F.col("sx") ** 2) * (F.col("n") * F.col("syy") - F.col("sy") ** 2)
     r = F.when(scatter > 0, (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(scatter))
     labels = F.array(*[F.lit(c) for c in columns])
@@ -77,51 +78,72 @@ def _single_valued(splits: Sequence[float]) -> list[int]:
     return [i for i in range(1, len(splits) - 2) if splits[i + 1] == math.nextafter(splits[i], math.inf)]
 
 
-def average_rank(df: DataFrame, column: str, name: str, rows_per_chunk: int = ROWS_PER_CHUNK, salts: int = 64) -> DataFrame:
-    """Average rank of a column without null values, by one shuffle into value buckets.
+@dataclass(frozen=True)
+class Ranking:
+    """Value buckets of one column: edges, and per bucket the rows before it and in it."""
 
-    A value that fills a bucket alone gets its rank from the bucket totals; its rows are
-    salted, so a value held by a third of all rows is no hot spot.
-    """
-    cuts = find_cuts(df, column, rows_per_chunk)
+    column: str
+    splits: tuple[float, ...]
+    buckets: tuple[tuple[int, int, int, bool], ...]
+
+    def transform(self, df: DataFrame, name: str, salts: int = 64) -> DataFrame:
+        """Add the average rank with one shuffle into the value buckets.
+
+        A value that fills a bucket alone gets its rank from the bucket totals; its rows are
+        salted, so a value held by a third of all rows is no hot spot.
+        """
+        if not self.buckets:
+            whole = Window.partitionBy(F.lit(0)).orderBy(self.column)
+            return df.withColumn(name, _mean_place(whole))
+        offsets = df.sparkSession.createDataFrame(
+            list(self.buckets), "__b int, __before long, __size long, __alone boolean")
+        placed = bucket(df, F.col(self.column), self.splits, "__b").join(F.broadcast(offsets), "__b")
+        salt = F.when(F.col("__alone"), F.pmod(F.xxhash64(*df.columns), F.lit(salts))).otherwise(0)
+        inner = Window.partitionBy("__b", "__salt").orderBy(self.column)
+        local = F.when(F.col("__alone"), (F.col("__size") + 1) / 2.0).otherwise(_mean_place(inner))
+        return placed.withColumn("__salt", salt).select(*df.columns, (F.col("__before") + local).alias(name))
+
+
+def _mean_place(window) -> Column:
+    upto = F.count(F.lit(1)).over(window.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return (F.rank().over(window) + upto) / 2.0
+
+
+def fit_ranking(
+    df: DataFrame, column: str, rows_per_chunk: int = ROWS_PER_CHUNK, total: int | None = None
+) -> Ranking:
+    """Buckets for ranking a column without null values; no buckets when one task can rank it."""
+    cuts = find_cuts(df, column, rows_per_chunk, total=total)
     if not cuts.values:
-        whole = Window.partitionBy(F.lit(0)).orderBy(column)
-        upto = F.count(F.lit(1)).over(whole.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-        return df.withColumn(name, (F.rank().over(whole) + upto) / 2.0)
+        return Ranking(column, (), ())
     splits = cuts.splits(isolate=cuts.values)
-    parts = bucket(df, F.col(column), splits, "__b")
     alone = set(_single_valued(splits))
-    sizes = dict(parts.groupBy("__b").count().collect())
-    before, table = 0, []
+    found = bucket(df.select(column), F.col(column), splits, "__b").groupBy("__b").count()
+    sizes = {row["__b"]: row["count"] for row in found.collect()}
+    before, buckets = 0, []
     for b in range(len(splits) - 1):
-        table.append((b, before, sizes.get(b, 0), b in alone))
+        buckets.append((b, before, sizes.get(b, 0), b in alone))
         before += sizes.get(b, 0)
-    offsets = df.sparkSession.createDataFrame(table, "__b int, __before long, __size long, __alone boolean")
-    placed = parts.join(F.broadcast(offsets), "__b")
-    salt = F.when(F.col("__alone"), F.pmod(F.xxhash64(*df.columns), F.lit(salts))).otherwise(0)
-    inner = Window.partitionBy("__b", "__salt").orderBy(column)
-    upto = F.count(F.lit(1)).over(inner.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    local = F.when(F.col("__alone"), (F.col("__size") + 1) / 2.0).otherwise((F.rank().over(inner) + upto) / 2.0)
-    return placed.withColumn("__salt", salt).select(*df.columns, (F.col("__before") + local).alias(name))
+    return Ranking(column, tuple(splits), tuple(buckets))
 
 
 def spearman(df: DataFrame, columns: Sequence[str], rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """Pearson r of average ranks, each pair over its own complete rows."""
     values = df.select(*[number(c).alias(c) for c in columns])
-    holes = values.agg(*[F.count_if(F.col(c).isNull()) for c in columns]).first()
+    total, *holes = values.agg(F.count(F.lit(1)), *[F.count_if(F.col(c).isNull()) for c in columns]).first()
     if not any(holes):
-        return pearson(_ranked(values, columns, rows_per_chunk), columns)
+        return pearson(_ranked(values, columns, rows_per_chunk, total), columns)
     parts = []
     for a, b in combinations(columns, 2):
         both = values.select(a, b).dropna()
-        parts.append(pearson(_ranked(both, [a, b], rows_per_chunk), [a, b]))
+        parts.append(pearson(_ranked(both, [a, b], rows_per_chunk, both.count()), [a, b]))
     return reduce(DataFrame.unionByName, parts)
 
 
-def _ranked(values: DataFrame, columns: Sequence[str], rows_per_chunk: int) -> DataFrame:
+def _ranked(values: DataFrame, columns: Sequence[str], rows_per_chunk: int, total: int) -> DataFrame:
     ranked = values
     for i, c in enumerate(columns):
-        ranked = average_rank(ranked, c, f"__rank{i}", rows_per_chunk)
+        ranked = fit_ranking(values, c, rows_per_chunk, total).transform(ranked, f"__rank{i}")
     return ranked.select(*[F.col(f"__rank{i}").alias(c) for i, c in enumerate(columns)])
 
 

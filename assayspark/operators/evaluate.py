@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from assayspark.operators.models import PREDICTION, fit_model, with_residual
 from assayspark.plans.chunks import ROWS_PER_CHUNK, rows_at
 from assayspark.plans.gram import grouped_gram
+from assayspark.plans.layout import spread
 
 # Order of the models and splits in a report.
 MODEL_ORDER = ("DDPG", "LR", "PR", "SVR")
@@ -67,7 +68,8 @@ def compare_models(
     split: str = "split",
 ) -> DataFrame:
     """Fit the models on the train rows and score both splits; a failing one yields its error."""
-    held = rows.select(*features, target, split).persist()
+    source = rows.select(*features, target, split).persist()
+    held = spread(source, source.count()).persist()
     scored = []
     try:
         for name in models:
@@ -80,6 +82,7 @@ def compare_models(
                 scored.append((name, None, None, None, None, None, None, str(problem).splitlines()[0]))
     finally:
         held.unpersist()
+        source.unpersist()
     schema = f"model string, {split} string, n bigint, rmse double, mae double, r2 double, mape double, error string"
     return rows.sparkSession.createDataFrame(scored, schema)
 

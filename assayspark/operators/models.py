@@ -149,14 +149,15 @@ def fit_svr(
     variant approaches the kernel solution as ``map_size`` grows.
     """
     scaler = fit_scaler(train, features)
-    data = spread(_prepared(train, features, target, scaler)).persist()
+    source = _prepared(train, features, target, scaler).persist()
+    count, start, deviation = source.agg(F.count(F.lit(1)), F.avg("__label"), F.stddev_pop("__label")).first()
+    data = spread(source, count).persist()
     mapping = None
     if kernel == "rbf":
         scale = 1.0 / len(features) if gamma == "scale" else float(gamma)
         mapping = FourierMap.draw(len(features), map_size, scale, seed)
     width = (map_size if mapping is not None else len(features)) + 1
     weights = np.zeros(width)
-    start, deviation = data.agg(F.avg("__label"), F.stddev_pop("__label")).first()
     weights[-1] = start or 0.0
     floor = max(1e-3 * (deviation or 1.0), 1e-9)
     losses: list[float] = []
@@ -175,6 +176,7 @@ def fit_svr(
             weights = np.linalg.lstsq(penalty + C * normal, C * right, rcond=None)[0]
     finally:
         data.unpersist()
+        source.unpersist()
     return FittedSvr(tuple(features), scaler, best, mapping, tuple(losses))
 
 

@@ -113,20 +113,19 @@ class IsolationForest:
     columns: tuple[str, ...]
     trees: tuple[dict[str, np.ndarray], ...]
     sample_size: int
+    rows: int
 
     def score(self, df: DataFrame, name: str = "score") -> DataFrame:
         """Add the anomaly score in (0, 1); higher is more isolated."""
-        trees, size = self.trees, self.sample_size
-        shared = df.sparkSession.sparkContext.broadcast(trees)
+        if not self.trees:
+            return df.withColumn(name, F.lit(None).cast("double"))
+        shared = df.sparkSession.sparkContext.broadcast(_Grove.plant(self.trees))
+        scale = max(_expected_depth(self.sample_size), 1e-12) * len(self.trees)
 
         @F.pandas_udf("double")
         def isolation(*series: pd.Series) -> pd.Series:
             x = np.column_stack([s.to_numpy(float) for s in series])
-            depth = np.zeros(len(x))
-            for tree in shared.value:
-                depth += _path_length(tree, x)
-            scale = max(_expected_depth(size), 1e-12) * max(len(shared.value), 1)
-            return pd.Series(np.power(2.0, -depth / scale))
+            return pd.Series(np.power(2.0, -shared.value.depth(x) / scale))
 
         return df.withColumn(name, isolation(*[F.col(c).cast("double") for c in self.columns]))
 
@@ -172,7 +171,7 @@ def fit_isolation_forest(
         {c: part.sort_values("node")[c].to_numpy() for c in ("feature", "cut", "left", "right", "size", "depth")}
         for _, part in grown.groupby("tree")
     )
-    return IsolationForest(tuple(columns), built, min(sample_size, max(total, 1)))
+    return IsolationForest(tuple(columns), built, min(sample_size, max(total, 1)), total)
 
 
 def _expected_depth(n: float | np.ndarray) -> float | np.ndarray:
@@ -206,17 +205,38 @@ def _grow_tree(x: np.ndarray, sample_size: int, rng: np.random.Generator) -> lis
     return [tuple(n) for n in nodes]
 
 
-def _path_length(tree: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
-    at = np.zeros(len(x), dtype=int)
-    while True:
-        feature = tree["feature"][at]
-        moving = np.flatnonzero(feature >= 0)
-        if not len(moving):
-            break
-        here = at[moving]
-        goes_left = x[moving, feature[moving]] <= tree["cut"][here]
-        at[moving] = np.where(goes_left, tree["left"][here], tree["right"][here])
-    return tree["depth"][at] + _expected_depth(tree["size"][at])
+@dataclass(frozen=True)
+class _Grove:
+    """All trees in one set of arrays; a leaf points to itself, so every row walks alike."""
+
+    roots: np.ndarray
+    feature: np.ndarray
+    cut: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    length: np.ndarray
+    steps: int
+
+    @staticmethod
+    def plant(trees: Sequence[dict[str, np.ndarray]]) -> _Grove:
+        sizes = [len(t["feature"]) for t in trees]
+        roots = np.cumsum([0, *sizes[:-1]])
+        joined = {c: np.concatenate([t[c] for t in trees]) for c in trees[0]}
+        offset = np.repeat(roots, sizes)
+        leaf, here = joined["feature"] < 0, np.arange(sum(sizes))
+        return _Grove(
+            roots, np.where(leaf, 0, joined["feature"]), joined["cut"],
+            np.where(leaf, here, joined["left"] + offset), np.where(leaf, here, joined["right"] + offset),
+            joined["depth"] + _expected_depth(joined["size"]), int(joined["depth"].max()),
+        )
+
+    def depth(self, x: np.ndarray) -> np.ndarray:
+        """Sum of the path lengths of each row over all trees."""
+        at = np.broadcast_to(self.roots, (len(x), len(self.roots)))
+        row = np.arange(len(x))[:, None]
+        for _ in range(self.steps):
+            at = np.where(x[row, self.feature[at]] <= self.cut[at], self.left[at], self.right[at])
+        return self.length[at].sum(axis=1)
 
 
 def flag_isolated(
@@ -230,6 +250,6 @@ def flag_isolated(
 ) -> DataFrame:
     """Score rows and flag the most isolated share of them."""
     forest = fit_isolation_forest(df, key, columns, trees, sample_size, seed)
-    scored = forest.score(spread(complete(df, columns))).persist()
+    scored = forest.score(spread(complete(df, columns), forest.rows)).persist()
     cut = exact_quantiles(scored, ["score"], [1.0 - contamination])["score"][0]
     return scored.withColumn(FLAG, F.col("score") > F.lit(cut))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ROWS_PER_CHUNK = 2_000_000
+ROWS_PER_CHUNK = 1_000_000
 MAX_CHUNKS = 10_000
 SAMPLE_PER_CHUNK = 200
 

@@ -49,7 +49,7 @@ def test_pearson_with_missing_values(spark, data):
 def test_average_rank(spark, data, per_chunk):
     df = spark.createDataFrame(data).repartition(4)
     for c in ("x", "y", "hot", "flat"):
-        out = correlate.average_rank(df, c, "rk", per_chunk).toPandas()
+        out = correlate.fit_ranking(df, c, per_chunk).transform(df, "rk").toPandas()
         np.testing.assert_allclose(out["rk"], out[c].rank().to_numpy())
 
 
