@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from assayspark.functions.columns import uniform
 from assayspark.plans.chunks import ROWS_PER_CHUNK, row_position
-from assayspark.plans.joins import broadcast_if_small
+from assayspark.plans.joins import broadcast_if_small, has_more_than
 
 # Fixed values: (error limit, height) of the reward segments, penalty slope and clip range.
 REWARD_SEGMENTS = ((0.05, 5.0), (0.1, 3.0), (0.2, 2.0), (0.5, 1.0))
@@ -73,7 +73,7 @@ def priority_sample(df: DataFrame, probability: str, key: Sequence[str], batch:
     u is hashed from the key, so the plan is a per-task top-k followed by a small merge.
     """
     tickets = df.withColumn("__ticket", F.log(uniform(seed, *key)) / F.col(probability))
-    if df.limit(batch).count() < batch:
+    if not has_more_than(df, batch - 1):
         return df.where(F.lit(False))
     return tickets.orderBy(F.col("__ticket").desc(), *key).limit(batch).drop("__ticket")
 

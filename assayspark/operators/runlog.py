@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayspark.plans.chunks import ROWS_PER_CHUNK, Running, running
+from assayspark.plans.chunks import ROWS_PER_CHUNK, Running, fit_chunks, running
 
 # Names under which a metric may be stored.
 METRIC_ALIASES = {
@@ -107,14 +107,14 @@ def early_stop(
     rows_per_chunk: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
     """Per run the first evaluation after ``patience`` ones in a row without improvement."""
-    first = order[0]
+    first, cut = order[0], fit_chunks(df, order, rows_per_chunk)
     seen = running(df, run, order, [
         Running("__before", "max", F.col(score), inclusive=False),
         Running("__n", "count"),
-    ], rows_per_chunk=rows_per_chunk)
+    ], chunking=cut)
     better = F.col(score).isNotNull() & (F.col("__before").isNull() | (F.col(score) > F.col("__before")))
     marked = seen.withColumn("__mark", F.when(better, F.col("__n")))
-    waited = running(marked, run, order, [Running("__last", "max", F.col("__mark"))], rows_per_chunk=rows_per_chunk)
+    waited = running(marked, run, order, [Running("__last", "max", F.col("__mark"))], chunking=cut)
     idle = F.col("__n") - F.coalesce("__last", F.lit(0))
     hit = idle >= patience
     return waited.groupBy(*run).agg(

@@ -96,20 +96,34 @@ def bucket(df: DataFrame, value: Column, splits: Sequence[float], name: str) ->
     return found.withColumn(name, F.col(f"{name}_b").cast("int")).drop(f"{name}_v", f"{name}_b")
 
 
-def with_chunks(df: DataFrame, order: Sequence[str], rows_per_chunk: int) -> tuple[DataFrame, list[str]]:
-    """Add chunk columns whose order agrees with ``order``; none when one chunk is enough."""
+@dataclass(frozen=True)
+class Chunking:
+    """Where an ordering is cut; the second column is only cut inside frequent values."""
+
+    order: tuple[str, ...]
+    first: Cuts = Cuts()
+    second: Cuts = Cuts()
+
+    def transform(self, df: DataFrame) -> tuple[DataFrame, list[str]]:
+        """Add chunk columns whose order agrees with the ordering; none when there is one chunk."""
+        if not self.first.values:
+            return df, []
+        ordinal = as_ordinal(df, self.order[0])
+        parts = bucket(df, ordinal, self.first.splits(), "__chunk0")
+        if not self.second.values:
+            return parts, ["__chunk0"]
+        parts = bucket(parts, as_ordinal(df, self.order[1]), self.second.splits(), "__within")
+        crowded = F.when(ordinal.isin(*self.first.frequent), F.col("__within")).otherwise(0)
+        return parts.withColumn("__chunk1", crowded).drop("__within"), ["__chunk0", "__chunk1"]
+
+
+def fit_chunks(df: DataFrame, order: Sequence[str], rows_per_chunk: int = ROWS_PER_CHUNK) -> Chunking:
+    """Find the cuts once; several running values over the same ordering share them."""
     first = find_cuts(df, order[0], rows_per_chunk)
-    if not first.values:
-        return df, []
-    ordinal = as_ordinal(df, order[0])
-    parts = bucket(df, ordinal, first.splits(), "__chunk0")
     if not first.frequent or len(order) < 2 or not can_be_cut(df, order[1]):
-        return parts, ["__chunk0"]
-    crowded = ordinal.isin(*first.frequent)
-    second = find_cuts(df.where(crowded), order[1], rows_per_chunk)
-    parts = bucket(parts, as_ordinal(df, order[1]), second.splits(), "__within")
-    parts = parts.withColumn("__chunk1", F.when(crowded, F.col("__within")).otherwise(0)).drop("__within")
-    return parts, ["__chunk0", "__chunk1"]
+        return Chunking(tuple(order), first)
+    crowded = df.where(as_ordinal(df, order[0]).isin(*first.frequent))
+    return Chunking(tuple(order), first, find_cuts(crowded, order[1], rows_per_chunk))
 
 
 @dataclass(frozen=True)
@@ -156,6 +170,7 @@ def running(
     specs: Sequence[Running],
     descending: bool = False,
     rows_per_chunk: int = ROWS_PER_CHUNK,
+    chunking: Chunking | None = None,
 ) -> DataFrame:
     """Add running values per key in the given order, split into chunks when long.
 
@@ -170,7 +185,7 @@ def running(
         return Window.partitionBy(*columns) if columns else Window.partitionBy(F.lit(0))
 
     names = [f"__p{i}" for i in range(len(specs))]
-    parts, chunk = with_chunks(df, order, rows_per_chunk)
+    parts, chunk = (chunking or fit_chunks(df, order, rows_per_chunk)).transform(df)
     rows = parts.select("*", F.lit(1).alias("__row"), *[s.part.alias(n) for s, n in zip(specs, names)])
     if chunk:
         ordering = F.struct(*[F.col(c) for c in order])
@@ -208,7 +223,7 @@ def rows_at(
     and sorted, the others are read and dropped.
     """
     wanted = sorted(set(positions))
-    parts, chunk = with_chunks(df, order, rows_per_chunk)
+    parts, chunk = fit_chunks(df, order, rows_per_chunk).transform(df)
     if not chunk:
         parts, chunk = parts.withColumn("__chunk0", F.lit(0)), ["__chunk0"]
     sizes = sorted(tuple(row) for row in parts.groupBy(*chunk).count().collect())

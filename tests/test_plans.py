@@ -59,7 +59,7 @@ def test_running_values(spark, skewed, per_chunk, descending):
 
 def test_chunks_split_a_frequent_value_by_the_second_column(spark, skewed):
     df = frame(spark, skewed, SCHEMA)
-    parts, names = chunks.with_chunks(df, ["t", "id"], 40)
+    parts, names = chunks.fit_chunks(df, ["t", "id"], 40).transform(df)
     assert names == ["__chunk0", "__chunk1"]
     biggest = parts.groupBy(*names).count().agg(F.max("count")).first()[0]
     assert biggest < 150
