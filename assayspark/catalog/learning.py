@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -342,6 +339,3 @@ SELECT source, count(*) AS n, {r("avg(CASE WHEN price BETWEEN 1000 AND 90000 THE
 def aug_fidelity(spark: SparkSession, sf: str) -> DataFrame:
     made = augment.fidelity(_combined(spark, sf), ["price"], band=(1000.0, 90000.0))
     return round_all(round_all(made, "mean", "std", digits=4), "valid_share")
-
-
-__all__ = ["np", "reduce"]

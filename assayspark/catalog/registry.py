@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayspark.functions.columns import hash_below
+from assayspark.functions.columns import hash_below, wall_micros
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -91,7 +91,7 @@ HISTORY_SQL = """(SELECT event_id AS id, user_id, 'user_' || user_id AS username
 
 def micros(column: str, name: str) -> Column:
     """Timestamp as whole microseconds, the same in every engine."""
-    return F.unix_micros(F.col(column).cast("timestamp")).alias(name)
+    return wall_micros(column).alias(name)
 
 
 def split_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

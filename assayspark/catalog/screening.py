@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayspark.catalog.registry import LINE_KEY, LINE_KEY_SQL, LINE_NUMBERS, query, r, round_all, rounded, table
+from assayspark.catalog.registry import LINE_KEY, LINE_KEY_SQL, LINE_NUMBERS, query, r, round_all, table
 from assayspark.operators import correlate, outliers, profile
 
 _STATS = {
@@ -207,6 +207,3 @@ def cor_strength(spark: SparkSession, sf: str) -> DataFrame:
 def cor_top_target(spark: SparkSession, sf: str) -> DataFrame:
     columns = [c for c in _NET_COLUMNS if c != "l_extendedprice"]
     return round_all(correlate.top_with_target(_net(spark, sf), columns, "l_extendedprice"), "abs_corr")
-
-
-__all__ = ["rounded"]

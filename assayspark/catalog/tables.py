@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayspark.catalog.registry import (
-    HISTORY_SQL, LINE_KEY, LINE_KEY_SQL, PREDICTIONS_SQL, history, query, r, round_all, rounded,
+    HISTORY_SQL, PREDICTIONS_SQL, history, query, r, round_all, rounded,
     split_predictions, table,
 )
 from assayspark.operators import evaluate, models
@@ -162,6 +162,3 @@ def snk_history_export(spark: SparkSession, sf: str) -> DataFrame:
     path = sinks.write_history(rows, fresh_path(spark, "history") + ".csv")
     stored = spark.read.option("header", True).option("escape", "\\").schema(rows.schema).csv(path)
     return stored.na.fill("")
-
-
-__all__ = ["LINE_KEY", "LINE_KEY_SQL"]

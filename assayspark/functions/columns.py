@@ -38,6 +38,13 @@ def nan_to_null(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     ])
 
 
+def wall_micros(column: Column | str) -> Column:
+    """Microseconds since 1970 of a timestamp's wall clock; no session time zone is involved."""
+    c = F.col(column) if isinstance(column, str) else column
+    minutes = (F.unix_date(c.cast("date")).cast("bigint") * 24 + F.hour(c)) * 60 + F.minute(c)
+    return minutes * 60_000_000 + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
+
+
 def any_of(conditions: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False)) if conditions else F.lit(False)
 

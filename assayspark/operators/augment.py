@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayspark.functions.columns import normal
-from assayspark.operators.profile import profile_columns
 from assayspark.plans.gram import grouped_gram
 
 
@@ -102,6 +101,3 @@ def fidelity(
         for i, c in enumerate(columns)
     ]
     return row.select(source, "n", "valid_share", F.inline(F.array(*entries)))
-
-
-__all__ = ["JointShape", "combine", "fidelity", "fit_joint", "generate", "name_rows", "profile_columns"]

@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assayspark.functions.columns import wall_micros
+
 ROWS_PER_CHUNK = 1_000_000
 MAX_CHUNKS = 10_000
 SAMPLE_PER_CHUNK = 200
@@ -36,8 +38,10 @@ def as_ordinal(df: DataFrame, column: str) -> Column:
     dtype = df.schema[column].dataType
     if not can_be_cut(df, column):
         raise TypeError(f"{column}: cannot cut an ordering of type {dtype.simpleString()}")
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        image = F.unix_micros(F.col(column).cast("timestamp")).cast("double")
+    if isinstance(dtype, T.TimestampNTZType):
+        image = wall_micros(column).cast("double")
+    elif isinstance(dtype, T.TimestampType):
+        image = F.unix_micros(F.col(column)).cast("double")
     elif isinstance(dtype, T.DateType):
         image = F.unix_date(F.col(column)).cast("double")
     else:

@@ -112,3 +112,10 @@ def test_group_of_nulls_keeps_its_row(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", None)], "k string, v double")
     out = {r["k"]: r["m"] for r in quantiles.group_quantiles(df, ["k"], "v", [0.5], ["m"]).collect()}
     assert out == {"a": 1.0, "b": None}
+
+
+def test_timestamps_keep_their_order_without_a_time_zone(spark):
+    df = spark.sql("""SELECT * FROM VALUES (TIMESTAMP_NTZ'2024-03-10 02:30:00.000001'), (TIMESTAMP_NTZ'2024-03-10 03:00:00'),
+      (TIMESTAMP_NTZ'1969-12-31 23:59:59.5'), (CAST(NULL AS TIMESTAMP_NTZ)) AS t(ts)""")
+    got = [r[0] for r in df.select(chunks.as_ordinal(df, "ts")).collect()]
+    assert got == [1710037800000001.0, 1710039600000000.0, -500000.0, -math.inf]
