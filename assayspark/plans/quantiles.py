@@ -32,8 +32,8 @@ class _Bracket:
     column: str
     rank: int
     total: int
-    low: float = -math.inf
-    high: float = math.inf
+    low: float | None = None
+    high: float | None = None
     at_or_below_low: int = 0
     inside: int = 0
     value: float | None = None
@@ -76,16 +76,16 @@ def exact_quantiles(
             place = p * (totals[c] - 1)
             low = wanted[(c, math.floor(place))].value
             high = wanted[(c, math.ceil(place))].value
-            picked.append(low + (high - low) * (place - math.floor(place)))
+            picked.append(low if low == high else low + (high - low) * (place - math.floor(place)))
         result[c] = picked
     return result
 
 
 def _strictly_inside(value: Column, b: _Bracket) -> Column:
     condition = value.isNotNull()
-    if math.isfinite(b.low):
+    if b.low is not None:
         condition = condition & (value > b.low)
-    if math.isfinite(b.high):
+    if b.high is not None:
         condition = condition & (value < b.high)
     return condition
 
@@ -115,7 +115,7 @@ def _sample_edges(
 
     Brackets over the same range share a sample. A bad guess costs a pass, never the result.
     """
-    ranges: dict[tuple[str, float, float], list[_Bracket]] = {}
+    ranges: dict[tuple[str, float | None, float | None], list[_Bracket]] = {}
     for b in pending:
         ranges.setdefault((b.column, b.low, b.high), []).append(b)
     size = max(SAMPLE_VALUES // len(ranges), 500) * boost

@@ -119,3 +119,12 @@ def test_timestamps_keep_their_order_without_a_time_zone(spark):
       (TIMESTAMP_NTZ'1969-12-31 23:59:59.5'), (CAST(NULL AS TIMESTAMP_NTZ)) AS t(ts)""")
     got = [r[0] for r in df.select(chunks.as_ordinal(df, "ts")).collect()]
     assert got == [1710037800000001.0, 1710039600000000.0, -500000.0, -math.inf]
+
+
+def test_exact_quantiles_with_infinite_values(spark):
+    values = [math.inf] * 300 + [-math.inf] * 200 + [float(i) for i in range(1000)]
+    df = spark.createDataFrame([(v,) for v in values], "a double").repartition(4)
+    ordered = sorted(values)
+    ranks = [100, 250, 700, 1150, 1400]
+    got = quantiles.exact_quantiles(df, ["a"], [k / 1499 for k in ranks], budget=50)["a"]
+    assert got == pytest.approx([ordered[k] for k in ranks])
