@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayspark.functions.columns import hash_below, wall_micros
+from assayspark.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,7 +24,11 @@ SEED = 70
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query and, where SQL can say it, its counterpart."""
     def keep(function: Query) -> Query:
-        QUERIES[name] = function
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return function(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return function
