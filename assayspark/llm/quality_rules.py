@@ -92,12 +92,11 @@ def limits(cells: DataFrame) -> DataFrame:
             *[F.max(F.when(F.col("share") == s, F.col("limit"))).alias(f"{s}{level}") for s in SHARES],
         ))
     everything, by_lang, by_source = levels
-    joined = (
-        by_source.alias("s").join(by_lang.alias("l"), F.col("s.lang").eqNullSafe(F.col("l.lang")))
-        .join(everything.alias("e"), F.col("e.rows0").isNotNull())
-    )
+    overall = everything.first().asDict()  # one row: the limits over all documents
+    joined = by_source.alias("s").join(by_lang.alias("l"), F.col("s.lang").eqNullSafe(F.col("l.lang")))
     pick = lambda s: (
-        F.when(F.col("rows2") >= MIN_ROWS, F.col(f"{s}2")).when(F.col("rows1") >= MIN_ROWS, F.col(f"{s}1")).otherwise(F.col(f"{s}0"))
+        F.when(F.col("rows2") >= MIN_ROWS, F.col(f"{s}2")).when(F.col("rows1") >= MIN_ROWS, F.col(f"{s}1"))
+        .otherwise(F.lit(overall.get(f"{s}0")).cast("double"))
     )
     return joined.select(F.col("s.lang").alias("lang"), F.col("s.source").alias("source"), *[pick(s).alias(s) for s in SHARES])
 
