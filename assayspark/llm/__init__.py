@@ -1,6 +1,17 @@
 """Operators for preparing training corpora; nothing else in the library imports this package."""
 
-from assayspark.llm import decontaminate, near_duplicates, packing, pii, quality_rules, token_counts  # noqa: F401
+from assayspark.llm import (  # noqa: F401
+    decontaminate,
+    html_text,
+    language_id,
+    near_duplicates,
+    packing,
+    pii,
+    quality_model,
+    quality_rules,
+    token_counts,
+    url_filter,
+)
 from assayspark.llm.shared import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
