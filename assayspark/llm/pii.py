@@ -106,32 +106,50 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", name(s), s["start"], s["end"])), ",")
 
 
+def blanked(text: Column, spans: Column) -> Column:
+    """The text with blanks in place of every span, of the same length."""
+    def step(state: Column, s: Column) -> Column:
+        start = F.greatest(s["start"], state["at"])
+        new = F.array(F.substring(text, state["at"] + 1, start - state["at"]), F.repeat(F.lit(" "), s["end"] - start))
+        return F.when(s["end"] <= state["at"], state).otherwise(F.struct(s["end"].alias("at"), F.concat(state["out"], new).alias("out")))
+
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(
+        spans, first, step,
+        lambda state: F.concat(F.array_join(state["out"], ""), F.substring(text, state["at"] + 1, F.char_length(text))))
+
+
 def near_terms(found: DataFrame) -> DataFrame:
     """(key, body, entity, term, start, end) of the words next to each base span.
 
-    ``found`` has key, text and spans. A word cut off by the edge of its window is left out, and so
-    is one that is part of a base span.
+    ``found`` has key, text and spans. Base spans count as blank. A word cut off by the edge of its
+    window is left out. Only the windows leave the row of the text, never the text itself.
     """
-    s = F.col("span")
-    rows = found.where(F.size("spans") > 0).select("key", F.xxhash64("text").alias("body"), "text", "spans", F.explode("spans").alias("span"))
-    left = F.greatest(s["start"] - NEAR, F.lit(0))
-    sides = F.array(
-        F.struct(left.alias("from"), F.substring("text", left + 1, s["start"] - left).alias("part"), (left > 0).alias("cut_left"),
-                 F.lit(False).alias("cut_right")),
-        F.struct(s["end"].alias("from"), F.substring("text", s["end"] + 1, F.lit(NEAR)).alias("part"), F.lit(False).alias("cut_left"),
-                 F.lit(True).alias("cut_right")),
-    )
-    entity = F.xxhash64(s["kind"], fold(F.substring("text", s["start"] + 1, s["end"] - s["start"])))
-    rows = rows.select("key", "body", "spans", entity.alias("entity"), F.explode(sides).alias("side"))
+    rows = found.where(F.size("spans") > 0)
+    # one-element generators keep the optimiser from working the arrays out again for every use
+    rows = rows.select("key", "text", F.explode(F.array("spans")).alias("spans"))
+    rows = rows.select("key", "text", "spans", F.explode(F.array(blanked(F.col("text"), F.col("spans")))).alias("plain"))
+
+    def windows(s: Column) -> Column:
+        entity = F.xxhash64(s["kind"], fold(F.substring("text", s["start"] + 1, s["end"] - s["start"])))
+        left = F.greatest(s["start"] - NEAR, F.lit(0))
+        before = F.struct(
+            entity.alias("entity"), left.alias("from"), F.substring("plain", left + 1, s["start"] - left).alias("part"),
+            (left > 0).alias("cut_left"), F.lit(False).alias("cut_right"))
+        after = F.struct(
+            entity.alias("entity"), s["end"].alias("from"), F.substring("plain", s["end"] + 1, F.lit(NEAR)).alias("part"),
+            F.lit(False).alias("cut_left"), F.lit(True).alias("cut_right"))
+        return F.array(before, after)
+
+    rows = rows.select("key", F.xxhash64("text").alias("body"), F.flatten(F.transform("spans", windows)).alias("windows"))
+    rows = rows.select("key", "body", F.explode("windows").alias("side"))
     part = F.col("side.part")
-    rows = rows.select("key", "body", "spans", "entity", "side", F.explode(places(part, WORD, lambda m: F.lit(True), KINDS.index("term"))).alias("w"))
+    rows = rows.select("key", "body", "side", F.explode(places(part, WORD, lambda m: F.lit(True), KINDS.index("term"))).alias("w"))
     whole = ~(F.col("side.cut_left") & (F.col("w.start") == 0)) & ~(F.col("side.cut_right") & (F.col("w.end") == NEAR))
     start, end = F.col("side.from") + F.col("w.start"), F.col("side.from") + F.col("w.end")
-    rows = rows.where(whole).select(
-        "key", "body", "spans", "entity", fold(F.substring(part, F.col("w.start") + 1, F.col("w.end") - F.col("w.start"))).alias("term"),
+    return rows.where(whole).select(
+        "key", "body", "side.entity", fold(F.substring(part, F.col("w.start") + 1, F.col("w.end") - F.col("w.start"))).alias("term"),
         start.alias("start"), end.alias("end"))
-    clear = ~F.exists("spans", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
-    return rows.where(clear).select("key", "body", "entity", "term", "start", "end")
 
 
 def disclosing(near: DataFrame, docs: DataFrame, text: str, n: int, limit: float = LIMIT, support: int = SUPPORT) -> DataFrame:
