@@ -34,7 +34,7 @@ LENGTH = 1024
 END = 2
 SHARE = 50_000
 VOCABULARY = "byte_bpe_50k.json"
-BLOCK_CHARS = 600_000
+BLOCK_CHARS = 1_200_000
 
 
 class DocumentEncoder:
@@ -45,8 +45,8 @@ class DocumentEncoder:
         self.specials = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.book = pc.PieceBook(self._encode)
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and the bounds of each text."""
@@ -57,8 +57,7 @@ class DocumentEncoder:
             special = np.array([c[2] for c in cut])
             parts = [c[1] for c in cut]
         found = pc.cut(parts, spaces=True)
-        index, values = self.book.look_up(found)
-        ids, lengths = pc.gather(index, values)
+        ids, lengths = self.book.gather(self.book.look_up(found))
         row = np.repeat(found.row, lengths)
         if owner is not None:
             at = np.flatnonzero(special >= 0)

@@ -11,6 +11,7 @@ import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -37,16 +38,16 @@ def classes() -> np.ndarray:
 
 @dataclass
 class Cut:
-    """Pieces of a block: piece i is codes[start[i]:end[i]] of text row[i]."""
+    """Pieces of a block: piece i is joined[start[i]:end[i]] and belongs to text row[i]."""
 
-    codes: np.ndarray
+    joined: str
     start: np.ndarray
     end: np.ndarray
     row: np.ndarray
     hash: np.ndarray
 
     def text(self, i: int) -> str:
-        return self.codes[self.start[i] : self.end[i]].tobytes().decode("utf-32-le", "surrogatepass")
+        return self.joined[self.start[i] : self.end[i]]
 
 
 def cut(texts: list[str], spaces: bool) -> Cut:
@@ -58,12 +59,13 @@ def cut(texts: list[str], spaces: bool) -> Cut:
     piece is a piece of its own.
     """
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
-    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    joined = "".join(texts)
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     bounds = np.concatenate([[0], np.cumsum(lengths)])
     n = len(codes)
     if not n:
         none = np.zeros(0, dtype=np.int64)
-        return Cut(codes, none, none, none, none.view(np.uint64))
+        return Cut(joined, none, none, none, none.view(np.uint64))
     kind = classes()[codes]
     edge = np.zeros(n + 1, dtype=bool)
     edge[bounds] = True
@@ -95,49 +97,60 @@ def cut(texts: list[str], spaces: bool) -> Cut:
         first, end = first[ink], end[ink]
     row = np.searchsorted(bounds, first, side="right") - 1
     table = mix(codes.astype(np.uint64), 31)
-    return Cut(codes, first, end, row, PrefixHash(table).of(first, end))
+    return Cut(joined, first, end, row, PrefixHash(table).of(first, end))
 
 
 class PieceBook:
-    """What is known of the pieces met so far, as rows of one growing array; forgotten when large."""
+    """Values of the pieces met so far, one after the other in one array; forgotten when there are many.
 
-    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], most: int = 400_000):
+    The value of piece i is ``flat[bounds[i] : bounds[i + 1]]``.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 400_000):
         self.encode, self.most = encode, most
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[int, int] = {}
-        self.values: list[np.ndarray] = []
-        self.lengths: list[int] = []
-
-    def look_up(self, found: Cut) -> tuple[np.ndarray, list[np.ndarray]]:
-        """For each piece the index of its value; the values."""
+        self.flat = np.zeros(1 << 16, dtype=np.uint32)
+        self.bounds = np.zeros(1, dtype=np.int64)
+
+    def _add(self, values: list[list[int]]) -> None:
+        sizes = np.fromiter(map(len, values), dtype=np.int64, count=len(values))
+        used, more = int(self.bounds[-1]), int(sizes.sum())
+        if used + more > len(self.flat):
+            self.flat = np.concatenate([self.flat[:used], np.zeros(max(used, more), dtype=np.uint32)])
+        self.flat[used : used + more] = np.fromiter(chain.from_iterable(values), dtype=np.uint32, count=more)
+        self.bounds = np.concatenate([self.bounds, used + np.cumsum(sizes)])
+
+    def look_up(self, found: Cut) -> np.ndarray:
+        """For each piece the number of its value."""
         if len(self.known) > self.most:
             self.clear()
         codes, uniques = pd.factorize(found.hash)
-        first = np.zeros(len(uniques), dtype=np.int64)
-        first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-        known = self.known
         names = uniques.tolist()
-        new = [i for i, h in enumerate(names) if h not in known]
-        for i, value in zip(new, self.encode([found.text(int(first[i])) for i in new]) if new else [], strict=True):
-            known[names[i]] = len(self.values)
-            self.values.append(value)
-        place = np.fromiter((known[h] for h in names), dtype=np.int64, count=len(names))
-        return place[codes], self.values
-
-
-def gather(index: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The values of the indices one after the other, and the length of each."""
-    used, inverse = np.unique(index, return_inverse=True)
-    own = [values[i] for i in used.tolist()]
-    sizes = np.array([len(v) for v in own], dtype=np.int64)
-    flat = np.concatenate(own) if own else np.zeros(0, dtype=np.uint32)
-    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else sizes
-    lengths = sizes[inverse]
-    total = int(lengths.sum())
-    out = np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(begin[inverse], lengths)
-    return flat[out], lengths
+        place = np.fromiter(map(self.known.get, names, repeat(-1)), dtype=np.int64, count=len(names))
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            first = np.zeros(len(uniques), dtype=np.int64)
+            first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+            at = first[new]
+            cuts = zip(found.start[at].tolist(), found.end[at].tolist(), strict=True)
+            place[new] = len(self.bounds) - 1 + np.arange(len(new))
+            self._add(self.encode([found.joined[a:b] for a, b in cuts]))
+            self.known.update(zip(uniques[new].tolist(), place[new].tolist(), strict=True))
+        return place[codes]
+
+    def gather(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of the numbers one after the other, and the length of each."""
+        begin = self.bounds[index]
+        lengths = self.bounds[index + 1] - begin
+        shift = begin - (np.cumsum(lengths) - lengths)
+        return self.flat[np.arange(int(lengths.sum())) + np.repeat(shift, lengths)], lengths
+
+    def last(self, index: np.ndarray) -> np.ndarray:
+        """The last number of each value."""
+        return self.flat[self.bounds[index + 1] - 1]
 
 
 def split_specials(text: str, specials: dict[str, int]) -> Iterator[tuple[str, int]]:

@@ -33,7 +33,7 @@ from assayspark.llm.shared import append_columns, query, table
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
-BLOCK_CHARS = 600_000
+BLOCK_CHARS = 1_200_000
 PIECES = 300_000
 
 
@@ -103,7 +103,7 @@ class PrefixCounter:
             self.valid[(last, token)] = known
         return known
 
-    def piece(self, piece: str) -> np.ndarray:
+    def piece(self, piece: str) -> list[int]:
         """Tokens of each prefix of one piece, by code points."""
         raw = piece.encode("utf-8", "surrogatepass")
         s = raw.decode("latin-1").translate(self.letters)
@@ -128,31 +128,29 @@ class PrefixCounter:
                             out.append(count[q] + 1)
                             break
         if len(piece) == 3 and piece[0] == "'" and piece[1:] in pc.CLITICS:
-            out[1] = out[0] + int(self.piece(piece[1])[-1])  # half a clitic is an apostrophe and a letter
-        return np.array(out, dtype=np.uint32)
+            out[1] = out[0] + self.piece(piece[1])[-1]  # half a clitic is an apostrophe and a letter
+        return out
 
-    def _cut(self, texts: list[str]) -> tuple[pc.Cut, np.ndarray, np.ndarray, list[np.ndarray], list[str]]:
-        """Pieces of the texts between special strings, owner and specials of each part, values and parts."""
+    def _cut(self, texts: list[str]) -> tuple[pc.Cut, np.ndarray, np.ndarray, list[str]]:
+        """Pieces of the texts between special strings, their numbers, owner and special of each part, and the parts."""
         if any(s in t for t in texts for s in self.specials):
             parts = [(i, p, special) for i, t in enumerate(texts) for p, special in pc.split_specials(t, self.specials)]
         else:
             parts = [(i, t, -1) for i, t in enumerate(texts)]
         own = [normalised(p) for _, p, _ in parts]
         found = pc.cut(own, spaces=False)
-        index, values = self.book.look_up(found)
-        return found, index, np.array([[i, s] for i, _, s in parts], dtype=np.int64).reshape(-1, 2), values, own
+        index = self.book.look_up(found)
+        return found, index, np.array([[i, s] for i, _, s in parts], dtype=np.int64).reshape(-1, 2), own
 
     def counts(self, texts: list[str]) -> np.ndarray:
         """Tokens of each whole text."""
-        found, index, parts, values, _ = self._cut(texts)
-        used, inverse = np.unique(index, return_inverse=True)
-        ends = np.array([values[i][-1] for i in used.tolist()], dtype=np.int64)
-        out = np.bincount(parts[found.row, 0], weights=ends[inverse], minlength=len(texts)) if len(index) else np.zeros(len(texts))
+        found, index, parts, _ = self._cut(texts)
+        out = np.bincount(parts[found.row, 0], weights=self.book.last(index), minlength=len(texts)) if len(index) else np.zeros(len(texts))
         return (out + np.bincount(parts[:, 0], weights=parts[:, 1] >= 0, minlength=len(texts))).astype(np.int64)
 
     def prefixes(self, text: str) -> np.ndarray:
         """Tokens of the first 0, 1, 2 ... code points of the normalised text; a special string counts at its end."""
-        found, index, parts, values, own = self._cut([text])
+        found, index, parts, own = self._cut([text])
         out, base = [np.zeros(1, dtype=np.int64)], 0
         for k, (part, special) in enumerate(zip(own, parts[:, 1].tolist(), strict=True)):
             if special >= 0:
@@ -167,7 +165,7 @@ class PrefixCounter:
                     before = steps[a - 1] if a else 0
                     if a and before == 0:
                         before = steps[:a].max()
-                    steps[a:b] = before + values[index[i]]
+                    steps[a:b] = before + self.book.gather(index[i : i + 1])[0].astype(np.int64)
                 steps = base + np.maximum.accumulate(steps)
             if len(steps):
                 base = int(steps[-1])
