@@ -273,25 +273,33 @@ def log_latest_n(spark: SparkSession, sf: str) -> DataFrame:
 # ----------------------------------------------------------------------- streaming
 
 
+def _arriving(spark: SparkSession, sf: str) -> DataFrame:
+    """The events as a stream of at least four batches, each with events of all times."""
+    folder = fresh_path(spark, "arriving")
+    table(spark, sf, "events").repartition(4, "event_id").write.parquet(folder)
+    return jobs.read_stream(spark, folder, files_per_batch=1)
+
+
 @query("stm_latest_status", """
 SELECT user_id, event_id, event_type, value FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events
   WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 6 HOUR) WHERE rn = 1""")
 def stm_latest_status(spark: SparkSession, sf: str) -> DataFrame:
     out, state = jobs.stream_paths(spark, "status")
-    stream = jobs.read_stream(spark, sf, "events.parquet").select("user_id", "event_id", "event_type", "value", "ts")
-    jobs.latest_status(stream, ["user_id"], "ts", ["ts", "event_id"], out, state)
+    stream = _arriving(spark, sf).select("user_id", "event_id", "event_type", "value", "ts")
+    jobs.latest_status(stream, ["user_id"], ["ts", "event_id"], out, state)
     found = jobs.read_latest(spark, out, ["user_id"], "ts", ["ts", "event_id"], 6)
     return found.select("user_id", "event_id", "event_type", "value")
 
 
-@query("stm_complete_once", f"SELECT DISTINCT user_id FROM events WHERE {_DONE_SQL}")
+@query("stm_complete_once", f"""
+SELECT user_id, event_id, event_type FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE {_DONE_SQL}) WHERE rn = 1""")
 def stm_complete_once(spark: SparkSession, sf: str) -> DataFrame:
     out, state = jobs.stream_paths(spark, "complete")
-    stream = jobs.read_stream(spark, sf, "events.parquet")
-    once = jobs.complete_once(stream, ["user_id"], "ts", "event_type", ("purchase", "signup"))
-    jobs.append_to_files(once.select("user_id"), out, state)
-    return spark.read.parquet(out)
+    stream = _arriving(spark, sf).select("user_id", "event_id", "event_type", "ts")
+    jobs.complete_once(stream, ["user_id"], ["ts", "event_id"], "event_type", out, state, ("purchase", "signup"))
+    return jobs.read_first(spark, out, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
 
 
 @query("stm_screen", f"""
@@ -300,6 +308,6 @@ SELECT event_id, {r("least(greatest(value, lo), hi)", "value", 4)} FROM events,
 def stm_screen(spark: SparkSession, sf: str) -> DataFrame:
     out, state = jobs.stream_paths(spark, "screen")
     bounds = outliers.quantile_bounds(table(spark, sf, "events"), ["value"])
-    stream = jobs.read_stream(spark, sf, "events.parquet").select("event_id", "value")
+    stream = _arriving(spark, sf).select("event_id", "value")
     jobs.append_to_files(jobs.screen(stream, ["value"], bounds, (1.0, 400.0), ["value"]), out, state)
     return round_all(spark.read.parquet(out), "value", digits=4)

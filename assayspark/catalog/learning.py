@@ -54,19 +54,41 @@ def prep_minmax_scale(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(*LINE_KEY, rounded(scaled).alias("scaled"), rounded(scaler.from_unit(scaled), 4).alias("restored"))
 
 
-@query("prep_pca")
+@query("prep_pca", f"""
+SELECT vec_id, CAST(place AS INTEGER) AS place, {r("v", "value", 4)} FROM (
+  SELECT vec_id, unnest(range(len(embedding))) AS place, unnest(embedding) AS v FROM embeddings)""")
 def prep_pca(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors put together again from all their components."""
     vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    return prepare.fit_pca(vectors, "embedding", 8).transform(vectors, "embedding").drop("embedding")
-
-
-@query("prep_pca_params")
+    width = vectors.agg(F.max(F.size("embedding"))).first()[0]
+    fitted = prepare.fit_pca(vectors, "embedding", width)
+    parts = fitted.transform(vectors, "embedding")
+    names = [f"Micro_{i + 1}" for i in range(width)]
+    centre = F.lit(list(fitted.mean)).cast("array<double>")
+    axes = F.lit([[float(c[j]) for c in fitted.components] for j in range(width)]).cast("array<array<double>>")
+    scores = F.array(*names)
+    dot = lambda axis: F.aggregate(F.zip_with(axis, scores, lambda w, s: w * s), F.lit(0.0), lambda t, x: t + x)
+    whole = F.zip_with(centre, F.transform(axes, dot), lambda m, x: m + x)
+    made = parts.select("vec_id", F.posexplode(whole).alias("place", "value"))
+    return round_all(made, "value", digits=4)
+
+
+@query("prep_pca_params", f"""
+SELECT CAST(place AS INTEGER) AS place, {r("avg(v)", "mean", 5)}, {r("var_samp(v)", "variance", 5)} FROM (
+  SELECT unnest(range(len(embedding))) AS place, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) GROUP BY place""")
 def prep_pca_params(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean and variance of every dimension, put together from the stored components."""
     path = fresh_path(spark, "pca")
-    fitted = prepare.fit_pca(table(spark, sf, "embeddings").select("embedding"), "embedding", 8)
+    vectors = table(spark, sf, "embeddings").select("embedding")
+    width = vectors.agg(F.max(F.size("embedding"))).first()[0]
+    fitted = prepare.fit_pca(vectors, "embedding", width)
     fitted.model.write().save(f"{path}/model")
     fitted.parameters(spark).write.parquet(f"{path}/parameters")
-    return spark.read.parquet(f"{path}/parameters")
+    stored = spark.read.parquet(f"{path}/parameters")
+    cells = stored.select("variance", F.posexplode(F.arrays_zip("loadings", "mean")).alias("place", "c"))
+    made = cells.groupBy("place").agg(
+        F.max("c.mean").alias("mean"), F.sum(F.col("variance") * F.col("c.loadings") * F.col("c.loadings")).alias("variance"))
+    return round_all(made, "mean", "variance", digits=5)
 
 
 @query("prep_poly", f"""
@@ -170,7 +192,7 @@ def mdl_svr_linear(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("mdl_svr_rbf")
 def mdl_svr_rbf(spark: SparkSession, sf: str) -> DataFrame:
-    return _scored(spark, sf, "SVR", map_size=64, max_passes=10)
+    return _scored(spark, sf, "SVR")
 
 
 _ONE_FEATURE_SQL = f"""(WITH w AS (SELECT regr_slope({TARGET}, l_quantity) AS b, regr_intercept({TARGET}, l_quantity) AS a
@@ -191,8 +213,7 @@ FROM {_ONE_FEATURE_SQL}""")
 def mdl_predict(spark: SparkSession, sf: str) -> DataFrame:
     rows = _lines(spark, sf)
     fitted = models.fit_model("LinearRegression", rows.where("split = 'train'"), ["l_quantity"], TARGET)
-    parts = {s: rows.where(F.col("split") == s).drop("split") for s in ("train", "test")}
-    made = evaluate.prediction_table(fitted, parts, TARGET)
+    made = evaluate.prediction_table(fitted, rows, TARGET)
     return round_all(made.select(*LINE_KEY, "split", "prediction", "residual"), "prediction", "residual", digits=3)
 
 

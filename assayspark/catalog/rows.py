@@ -280,10 +280,9 @@ def pg_page(spark: SparkSession, sf: str) -> DataFrame:
     return page.items.withColumn("total", F.lit(page.total).cast("bigint"))
 
 
-@query("pg_preview", f"SELECT {LINE_KEY_SQL}, l_discount, l_tax, l_extendedprice, l_quantity, l_returnflag, l_linestatus FROM lineitem ORDER BY {LINE_KEY_SQL} LIMIT 200")
+@query("pg_preview", f"SELECT {LINE_KEY_SQL}, l_discount, l_tax, l_extendedprice, l_quantity, l_returnflag, l_linestatus, l_shipdate FROM lineitem ORDER BY {LINE_KEY_SQL} LIMIT 200")
 def pg_preview(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "lineitem").drop("l_shipdate")
-    return rows.preview(lines, LINE_KEY, ["l_discount", "l_tax", "l_extendedprice"], 200)
+    return rows.preview(table(spark, sf, "lineitem"), LINE_KEY, ["l_discount", "l_tax", "l_extendedprice"], 200)
 
 
 @query("pg_topk", f"SELECT {LINE_KEY_SQL}, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, {LINE_KEY_SQL} LIMIT 250")

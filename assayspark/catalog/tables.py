@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayspark.catalog.registry import (
-    HISTORY_SQL, PREDICTIONS_SQL, history, query, r, round_all, rounded,
+    HISTORY_SQL, LINE_KEY, LINE_KEY_SQL, PREDICTIONS_SQL, history, query, r, round_all, rounded,
     split_predictions, table,
 )
 from assayspark.operators import evaluate, models
@@ -15,9 +15,9 @@ from assayspark.roles import TableRoles
 from assayspark.sources import naming, sinks, tables
 
 
-@query("src_read", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+@query("src_read", "SELECT * FROM orders")
 def src_read(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.read_table(spark, f"{sf}/orders.parquet").drop("o_orderdate")
+    return tables.read_table(spark, f"{sf}/orders.parquet")
 
 
 @query("src_normalize_columns", """
@@ -102,9 +102,9 @@ def src_ingest(spark: SparkSession, sf: str) -> DataFrame:
     return round_all(stored, naming.TARGET_NAME, digits=4)
 
 
-@query("snk_export", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+@query("snk_export", "SELECT * FROM orders")
 def snk_export(spark: SparkSession, sf: str) -> DataFrame:
-    orders = table(spark, sf, "orders").drop("o_orderdate")
+    orders = table(spark, sf, "orders")
     path = sinks.export_table(orders, fresh_path(spark, "export") + ".csv", "csv")
     return tables.read_table(spark, path, schema=orders.schema)
 
@@ -112,9 +112,7 @@ def snk_export(spark: SparkSession, sf: str) -> DataFrame:
 @query("snk_predictions", f"""
 SELECT split, y_actual, {r("y_pred", "y_pred", 4)}, {r("y_actual - y_pred", "residual", 4)} FROM {PREDICTIONS_SQL}""")
 def snk_predictions(spark: SparkSession, sf: str) -> DataFrame:
-    rows = split_predictions(spark, sf)
-    parts = {s: rows.where(F.col("split") == s) for s in ("train", "test")}
-    made = sinks.predictions_table(parts, "y_actual", "y_pred")
+    made = sinks.predictions_table(split_predictions(spark, sf), "y_actual", "y_pred")
     stored = sinks.export_table(made, fresh_path(spark, "predictions"))
     return round_all(spark.read.parquet(stored), "y_pred", "residual", digits=4)
 
@@ -135,30 +133,28 @@ def snk_metrics_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("snk_model", f"""
-SELECT 'LinearRegression' AS model_name, 'l_extendedprice' AS target_col,
-  {r("regr_slope(l_extendedprice, l_quantity)", "slope", 4)},
-  {r("regr_intercept(l_extendedprice, l_quantity)", "intercept", 3)} FROM lineitem""")
+WITH f AS (SELECT avg(l_quantity) AS m, stddev_pop(l_quantity) AS s FROM lineitem),
+w AS (SELECT regr_slope(l_extendedprice, (l_quantity - m) / s) AS b, regr_intercept(l_extendedprice, (l_quantity - m) / s) AS a FROM lineitem, f)
+SELECT {LINE_KEY_SQL}, 'LR' AS model_name, 'l_extendedprice' AS target_col, {r("a + b * (l_quantity - m) / s", "prediction", 3)}
+FROM lineitem, f, w""")
 def snk_model(spark: SparkSession, sf: str) -> DataFrame:
+    """A scaled model, stored, loaded and used."""
     lines = table(spark, sf, "lineitem")
-    fitted = models.fit_linear(lines, ["l_quantity"], "l_extendedprice")
-    path = sinks.save_model(spark, fitted.model, fresh_path(spark, "model"), "LinearRegression",
-                            ["l_quantity"], "l_extendedprice", {"scale": False})
+    fitted = models.fit_linear(lines, ["l_quantity"], "l_extendedprice", scale=True)
+    path = sinks.save_model(spark, fitted, fresh_path(spark, "model"), "LR", "l_extendedprice", {"scale": True})
     loaded, about = sinks.load_model(spark, path)
-    stage = loaded.stages[-1]
-    return about.select(
-        "model_name", "target_col",
-        rounded(F.lit(float(stage.coefficients[0])), 4).alias("slope"),
-        rounded(F.lit(float(stage.intercept)), 3).alias("intercept"),
-    )
+    told = about.first()
+    return loaded.predict(lines).select(
+        *LINE_KEY, F.lit(told["model_name"]).alias("model_name"), F.lit(told["target_col"]).alias("target_col"),
+        rounded("prediction", 3).alias("prediction"))
 
 
 @query("snk_history_export", f"""
 SELECT CAST(id AS VARCHAR) AS id, username, task_type, algorithm, data_source, metrics, '' AS params,
-  CAST(n_samples AS VARCHAR) AS n_samples, CAST(duration_sec AS VARCHAR) AS duration_sec, status
-FROM {HISTORY_SQL}""")
+  CAST(n_samples AS VARCHAR) AS n_samples, CAST(duration_sec AS VARCHAR) AS duration_sec, status,
+  regexp_replace(CAST(created_at AS VARCHAR), '\\.?0+$', '') AS created_at FROM {HISTORY_SQL}""")
 def snk_history_export(spark: SparkSession, sf: str) -> DataFrame:
-    columns = [c for c in sinks.HISTORY_COLUMNS if c != "created_at"]
-    rows = sinks.history_export(history(spark, sf), columns)
+    rows = sinks.history_export(history(spark, sf))
     path = sinks.write_history(rows, fresh_path(spark, "history") + ".csv")
     stored = spark.read.option("header", True).option("escape", "\\").schema(rows.schema).csv(path)
     return stored.na.fill("")

@@ -9,10 +9,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayspark.functions.columns import number
 from assayspark.operators.models import PREDICTION, fit_model, with_residual
-from assayspark.plans.chunks import ROWS_PER_CHUNK, rows_at
 from assayspark.plans.gram import grouped_gram
 from assayspark.plans.layout import spread
+from assayspark.plans.positions import ordering, rows_at
 
 # Order of the models and splits in a report.
 MODEL_ORDER = ("DDPG", "LR", "PR", "SVR")
@@ -24,13 +25,14 @@ DIGITS = {"rmse": 2, "mae": 2, "r2": 4, "mape": 2}
 def metrics(
     df: DataFrame, actual: str, predicted: str, by: Sequence[str] = (), zero: float = 0.0
 ) -> DataFrame:
-    """n, RMSE, MAE, R2 and MAPE (percent) per group in one aggregate.
+    """n, RMSE, MAE, R2 and MAPE (percent) per group in one aggregate, over the rows that have both values.
 
     The total sum of squares comes from the population variance, which Spark computes with
     centred sums. R2 is null for a constant target. MAPE leaves out targets with
     ``abs(y) <= zero`` and is 0 when none is left.
     """
-    y, e = F.col(actual), F.col(actual) - F.col(predicted)
+    e = number(actual) - number(predicted)
+    y = F.when(e.isNotNull(), number(actual))
     spread = F.var_pop(y) * F.count(y)
     relative = F.when(F.abs(y) > F.lit(zero), F.abs(e / y))
     return df.groupBy(*by).agg(
@@ -156,13 +158,11 @@ def scatter_points(df: DataFrame, actual: str, predicted: str, split: str = "spl
     return df.where(F.col(split) == which).select(F.col(actual).alias("x"), F.col(predicted).alias("y"))
 
 
-def downsample(
-    df: DataFrame, key: Sequence[str], limit: int = 300, rows_per_chunk: int = ROWS_PER_CHUNK
-) -> DataFrame:
+def downsample(df: DataFrame, key: Sequence[str], limit: int = 300) -> DataFrame:
     """Every ceil(n / limit)-th point in key order, all of them when there are few."""
     total = df.count()
     step = max(1, -(-total // limit))
-    return rows_at(df, key, range(1, total + 1, step), rows_per_chunk)
+    return rows_at(df, ordering(df, key), range(1, total + 1, step))
 
 
 def extent(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -174,10 +174,6 @@ def extent(df: DataFrame, x: str, y: str) -> DataFrame:
     )
 
 
-def prediction_table(model, parts: Mapping[str, DataFrame], target: str) -> DataFrame:
-    """Predictions of all splits in one table."""
-    tagged = [with_residual(model, df, target).withColumn("split", F.lit(s)) for s, df in parts.items()]
-    whole = tagged[0]
-    for more in tagged[1:]:
-        whole = whole.unionByName(more)
-    return whole
+def prediction_table(model, rows: DataFrame, target: str) -> DataFrame:
+    """Predictions of all splits in one pass; the rows keep the column that names their split."""
+    return with_residual(model, rows, target)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from assayspark.functions.columns import uniform
 from assayspark.plans.chunks import ROWS_PER_CHUNK, row_position
-from assayspark.plans.joins import broadcast_if_small, has_more_than
+from assayspark.plans.joins import has_more_than
 
 # Fixed values: (error limit, height) of the reward segments, penalty slope and clip range.
 REWARD_SEGMENTS = ((0.05, 5.0), (0.1, 3.0), (0.2, 2.0), (0.5, 1.0))
@@ -107,7 +107,7 @@ def priority_update(
     """Sampled rows get max(|td|, eps) + eps, rows without priority the highest one plus eps."""
     size = F.when(F.col(td).isNotNull(), F.greatest(F.abs(F.col(td)), F.lit(epsilon)) + F.lit(epsilon))
     fresh = errors.select(*key, size.alias("__fresh"))
-    joined = df.join(broadcast_if_small(fresh), list(key), "left")
+    joined = df.join(fresh, list(key), "left")
     top = df.agg(F.max(priority)).first()[0]
     newest = F.lit((1.0 if top is None else float(top)) + epsilon)
     return joined.select(*[

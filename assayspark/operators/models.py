@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -110,6 +111,11 @@ class FittedSvr:
     weights: np.ndarray
     mapping: FourierMap | None
     losses: tuple[float, ...] = field(default=())
+    converged: bool = True
+
+    @property
+    def passes(self) -> int:
+        return len(self.losses)
 
     def predict(self, df: DataFrame) -> DataFrame:
         mean = np.array([self.scaler.mean[c] for c in self.features])
@@ -138,15 +144,17 @@ def fit_svr(
     kernel: str = "linear",
     gamma: float | str = "scale",
     map_size: int = 128,
-    max_passes: int = 25,
-    tolerance: float = 1e-4,
+    max_passes: int = 60,
+    tolerance: float = 1e-6,
     seed: int = 70,
 ) -> FittedSvr:
     """Minimise |w|^2 / 2 + C * sum(max(0, |residual| - epsilon)) by reweighted least squares.
 
     Every pass is one Spark job that adds up d x d partial sums per task; only those sums and
     the weights travel. The RBF kernel is approximated by random cosine features, so that
-    variant approaches the kernel solution as ``map_size`` grows.
+    variant approaches the kernel solution as ``map_size`` grows. A pass that gains less than
+    ``tolerance`` of the objective ends the search; if none does, ``converged`` is false and a
+    warning is given.
     """
     scaler = fit_scaler(train, features)
     source = _prepared(train, features, target, scaler).persist()
@@ -161,7 +169,7 @@ def fit_svr(
     weights[-1] = start or 0.0
     floor = max(1e-3 * (deviation or 1.0), 1e-9)
     losses: list[float] = []
-    best = weights
+    best, converged = weights, False
     try:
         for _ in range(max_passes):
             normal, right, loss = _svr_pass(data, len(features), weights, mapping, epsilon, floor)
@@ -169,6 +177,7 @@ def fit_svr(
             if losses and objective > min(losses) * (1 - tolerance):
                 best = weights if objective < min(losses) else best
                 losses.append(objective)
+                converged = True
                 break
             losses.append(objective)
             best = weights
@@ -177,7 +186,9 @@ def fit_svr(
     finally:
         data.unpersist()
         source.unpersist()
-    return FittedSvr(tuple(features), scaler, best, mapping, tuple(losses))
+    if not converged:
+        warnings.warn(f"support vector regression stopped after {max_passes} passes", stacklevel=2)
+    return FittedSvr(tuple(features), scaler, best, mapping, tuple(losses), converged)
 
 
 def _svr_pass(

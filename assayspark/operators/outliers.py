@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from assayspark.functions.columns import any_of
 from assayspark.plans.layout import spread
 from assayspark.plans.quantiles import exact_quantiles
+from assayspark.plans.workspace import materialize
 
 FLAG = "is_outlier"
 
@@ -140,21 +141,22 @@ def fit_isolation_forest(
 ) -> IsolationForest:
     """Grow trees on hashed samples; only sampled rows are shuffled.
 
-    A table with enough rows gives every tree its own rows: one hash decides whether a row is
-    drawn at all and another by which tree, so the input is never multiplied by the number of
-    trees. Only a small table offers each row to all trees. ``key`` should identify a row.
+    One rule for every size: a hash decides whether a row is drawn, and another from which tree on
+    it takes part in ``copies`` neighbouring trees. There are as many copies as it takes to give
+    every tree its sample, one when there are rows enough and all trees when there are few, so
+    about ``trees`` times the sample is ever multiplied. ``key`` should identify a row.
     """
     rows = complete(df, columns)
     total = rows.count()
     wanted = sample_size + 8.0 * math.sqrt(sample_size)
     inputs = [F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(columns)]
-    if total > wanted * trees:
-        span = 1 << 40
-        cut = F.lit(max(int(wanted * trees / total * span), 1))
-        drawn = rows.where(F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(span)) < cut).select(
-            *key, *inputs, F.pmod(F.xxhash64(F.lit(seed + 2), *key), F.lit(trees)).cast("int").alias("tree"))
-    else:
-        drawn = rows.select(*key, *inputs, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    copies = min(trees, math.ceil(wanted * trees / max(total, 1)))
+    span = 1 << 40
+    cut = F.lit(max(int(wanted * trees / (max(total, 1) * copies) * span), 1))
+    start = F.pmod(F.xxhash64(F.lit(seed + 2), *key), F.lit(trees))
+    turn = F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("__turn")
+    drawn = rows.where(F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(span)) < cut).select(*key, *inputs, start.alias("__start"), turn)
+    drawn = drawn.withColumn("tree", F.pmod(F.col("__start") + F.col("__turn"), F.lit(trees)).cast("int"))
     order = Window.partitionBy("tree").orderBy(F.xxhash64(F.lit(seed + 1), "tree", *key), *key)
     sample = drawn.withColumn("__rn", F.row_number().over(order)).where(F.col("__rn") <= sample_size)
     names = [f"__x{i}" for i in range(len(columns))]
@@ -250,6 +252,6 @@ def flag_isolated(
 ) -> DataFrame:
     """Score rows and flag the most isolated share of them."""
     forest = fit_isolation_forest(df, key, columns, trees, sample_size, seed)
-    scored = forest.score(spread(complete(df, columns), forest.rows)).persist()
+    scored = materialize(forest.score(spread(complete(df, columns), forest.rows)), "scores")
     cut = exact_quantiles(scored, ["score"], [1.0 - contamination])["score"][0]
     return scored.withColumn(FLAG, F.col("score") > F.lit(cut))

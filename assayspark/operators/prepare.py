@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assayspark.functions.columns import HASH_BITS, digest, hash_below
+from assayspark.functions.columns import HASH_BITS, digest, hash_below, number
 
 SPLIT = "split"
 
@@ -44,7 +44,7 @@ class Scaler:
 
 def fit_scaler(train: DataFrame, columns: Sequence[str]) -> Scaler:
     """One aggregate over the training rows; a constant column gets scale 1."""
-    row = train.agg(*[F.avg(c) for c in columns], *[F.stddev_pop(c) for c in columns]).first()
+    row = train.agg(*[F.avg(number(c)) for c in columns], *[F.stddev_pop(number(c)) for c in columns]).first()
     k = len(columns)
     mean = {c: row[i] if row[i] is not None else 0.0 for i, c in enumerate(columns)}
     return Scaler(mean, {c: row[k + i] or 1.0 for i, c in enumerate(columns)})
@@ -82,6 +82,7 @@ class Projection:
     explained: tuple[float, ...]
     scaler: object
     model: object
+    variances: tuple[float, ...] = ()
 
     def transform(self, df: DataFrame, vectors: str, prefix: str = "Micro_") -> DataFrame:
         """Add one column per component."""
@@ -94,13 +95,30 @@ class Projection:
         ])
 
     def parameters(self, spark: SparkSession) -> DataFrame:
-        """One row per component: variance share and loadings."""
-        rows = [(i + 1, e, list(c), list(self.mean)) for i, (e, c) in enumerate(zip(self.explained, self.components))]
+        """One row per component: variance, its share, and loadings."""
+        rows = [
+            (i + 1, e, v, list(c), list(self.mean))
+            for i, (e, v, c) in enumerate(zip(self.explained, self.variances, self.components, strict=True))
+        ]
         return spark.createDataFrame(
-            rows, "component int, explained_ratio double, loadings array<double>, mean array<double>"
+            rows, "component int, explained_ratio double, variance double, loadings array<double>, mean array<double>"
         )
 
 
+def project_with(df: DataFrame, parameters: DataFrame, vectors: str, prefix: str = "Micro_") -> DataFrame:
+    """Components of vectors from a stored parameter table, without the fitted model."""
+    axes = parameters.orderBy("component").collect()
+    centre = [float(v) for v in axes[0]["mean"]] if axes else []
+    values = F.zip_with(F.col(vectors).cast("array<double>"), F.lit(centre).cast("array<double>"), lambda v, m: v - m)
+    ready = df.withColumn("__v", values)
+    sums = [
+        F.aggregate(F.zip_with("__v", F.lit([float(x) for x in a["loadings"]]).cast("array<double>"), lambda v, w: v * w),
+                    F.lit(0.0), lambda s, x: s + x).alias(f"{prefix}{a['component']}")
+        for a in axes
+    ]
+    return ready.select(*df.columns, *sums)
+
+
 def _axis_signs(axes) -> list[float]:
     signs = []
     for j in range(axes.shape[1]):
@@ -114,6 +132,7 @@ def fit_pca(df: DataFrame, vectors: str, k: int = 70) -> Projection:
     ready = df.select(array_to_vector(F.col(vectors).cast("array<double>")).alias("__v"))
     scaler = StandardScaler(inputCol="__v", outputCol="__c", withMean=True, withStd=False).fit(ready)
     model = PCA(k=k, inputCol="__c", outputCol="__pc").fit(scaler.transform(ready))
+    total = float((scaler.std.toArray() ** 2).sum())  # of the sample variances of all dimensions
     axes = model.pc.toArray()
     signs = _axis_signs(axes)
     return Projection(
@@ -122,6 +141,7 @@ def fit_pca(df: DataFrame, vectors: str, k: int = 70) -> Projection:
         tuple(float(v) for v in model.explainedVariance.toArray()),
         scaler,
         model,
+        tuple(float(v) * total for v in model.explainedVariance.toArray()),
     )
 
 
@@ -134,9 +154,18 @@ def polynomial(df: DataFrame, columns: Sequence[str], degree: int = 2, output: s
 # ------------------------------------------------------------------------- splits
 
 
+# The smallest and the largest share of test rows.
+TEST_SHARES = (0.05, 0.5)
+
+
+def _test_share(wanted: float) -> float:
+    low, high = TEST_SHARES
+    return min(max(float(wanted), low), high)
+
+
 def train_test(df: DataFrame, key: Sequence[str], test_size: float = 0.2, seed: int = 70) -> DataFrame:
     """Tag rows train or test by a hash of the key; no shuffle, the same on every run."""
-    share = max(0.05, min(float(test_size), 0.5))
+    share = _test_share(test_size)
     return df.withColumn(SPLIT, F.when(hash_below(share, seed, *key), "test").otherwise("train"))
 
 
@@ -144,7 +173,7 @@ def train_val_test(
     df: DataFrame, key: Sequence[str], test_size: float = 0.2, val_size: float = 0.15, seed: int = 70
 ) -> DataFrame:
     """Cut off the test rows, then the validation rows from what is left."""
-    share = max(0.05, min(float(test_size), 0.5))
+    share = _test_share(test_size)
     tag = (
         F.when(hash_below(share, seed, *key), "test")
         .when(hash_below(val_size, f"{seed}:val", *key), "val")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assayspark.functions.columns import all_of, is_numeric
+from assayspark.plans.positions import ordering, present
 from assayspark.plans.quantiles import group_quantiles
 
 MAX_LIMIT = 1000
@@ -74,13 +75,23 @@ def apply_filters(df: DataFrame, filters: Sequence[Mapping[str, Any]] | None) ->
     return df.where(all_of(usable)) if usable else df
 
 
-def measure(func: str, column: str, order: Sequence[str] = ()) -> Column:
-    """One aggregate by its name; first and last need an order to be repeatable."""
-    col = F.col(column)
+def measure(func: str, column: str, order: Sequence[str] = (), value: Column | None = None) -> Column:
+    """One aggregate by its name; first and last need an order to be repeatable.
+
+    ``value`` stands in for the column where missing values have been made null.
+    """
+    col = F.col(column) if value is None else value
     present = F.when(col.isNotNull(), F.struct(*order)) if order else None
     simple = {
         "mean": F.avg, "min": F.min, "max": F.max, "std": F.stddev_samp, "var": F.var_samp,
         "nunique": F.count_distinct,
+        "sem": lambda c: F.stddev_samp(c) / F.sqrt(F.count(c)),
+        # pandas corrects both for the size of the sample
+        "skew": lambda c: F.when(F.count(c) > 2, F.skewness(c) * F.sqrt(F.count(c) * (F.count(c) - 1)) / (F.count(c) - 2)),
+        "kurt": lambda c: F.when(F.count(c) > 3, (F.count(c) - 1) / ((F.count(c) - 2) * (F.count(c) - 3)) * (
+            (F.count(c) + 1) * F.kurtosis(c) + 6)),
+        "any": lambda c: F.coalesce(F.bool_or(c.cast("boolean")), F.lit(False)),
+        "all": lambda c: F.coalesce(F.bool_and(c.cast("boolean")), F.lit(True)),
     }
     if func in simple:
         return simple[func](col)
@@ -108,14 +119,14 @@ def aggregate(
     keys = [c for c in group_by if c in df.columns]
     if group_by and not keys:
         raise ValueError("no known column to group by")
-    if func == "count":
-        result = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))
+    if func in ("count", "size"):
+        result = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(func))
     elif not column or column not in df.columns:
         raise ValueError(f"aggregate column {column} does not exist")
     elif func == "median":
-        result = group_quantiles(df, keys, column, [0.5], [f"median_{column}"])
+        result = group_quantiles(df.withColumn(column, present(df, column)), keys, column, [0.5], [f"median_{column}"])
     else:
-        result = df.groupBy(*keys).agg(measure(func, column, order).alias(f"{func}_{column}"))
+        result = df.groupBy(*keys).agg(measure(func, column, order, present(df, column)).alias(f"{func}_{column}"))
     if keys:
         result = result.orderBy(*[F.col(k).asc_nulls_last() for k in keys])
     return result.limit(limit) if limit is not None else result
@@ -125,9 +136,7 @@ def top_k(
     df: DataFrame, column: str, descending: bool = False, limit: int = DEFAULT_LIMIT, ties: Sequence[str] = ()
 ) -> DataFrame:
     """First rows in the order of one column, missing values last both ways."""
-    first = F.col(column).desc_nulls_last() if descending else F.col(column).asc_nulls_last()
-    others = [F.col(t).asc_nulls_last() for t in ties if t != column]
-    return df.orderBy(first, *others).limit(clamp(limit, 1, MAX_LIMIT))
+    return df.orderBy(*ordering(df, [column, *ties], [column] if descending else [])).limit(max(0, int(limit)))
 
 
 def clamp(value: int, low: int, high: int) -> int:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -11,29 +10,42 @@ from pyspark.sql import functions as F
 
 from assayspark.operators.filters import keyword_any
 from assayspark.operators.query import clamp
-from assayspark.plans.chunks import as_ordinal, can_be_cut, rows_at
-from assayspark.plans.joins import broadcast_if_small
+from assayspark.plans.positions import ordering, rows_at
 
 DEEP_OFFSET = 50_000
 
 
-def update_rows(df: DataFrame, edits: DataFrame, key: Sequence[str]) -> DataFrame:
+def update_rows(
+    df: DataFrame, edits: DataFrame, key: Sequence[str], order: Sequence[str] = (), cleared: str | None = None
+) -> DataFrame:
     """Set columns of the rows an edit names; null in an edit leaves the value alone.
 
-    One edit per key is expected. Columns the table does not have are ignored.
+    Of several edits of one key the last in ``order`` counts; without an order they are an error.
+    ``cleared`` names a column of the edits that lists the columns to empty. Columns the table
+    does not have are ignored.
     """
-    changed = [c for c in edits.columns if c in df.columns and c not in key]
-    side = broadcast_if_small(edits.select(*key, *[F.col(c).alias(f"__new_{c}") for c in changed]))
+    changed = [c for c in edits.columns if c in df.columns and c not in key and c != cleared]
+    new = F.struct(*[F.col(c).alias(f"__new_{c}") for c in changed],
+                   (F.col(cleared) if cleared else F.array().cast("array<string>")).alias("__clear"))
+    chosen = F.max_by(new, F.struct(*order)) if order else F.when(
+        F.count(F.lit(1)) == 1, F.first(new)).otherwise(F.raise_error(F.lit("several edits of one key and no order")))
+    side = edits.groupBy(*key).agg(chosen.alias("__edit"))
     joined = df.join(side, list(key), "left")
-    return joined.select(*[
-        F.coalesce(F.col(f"__new_{c}").cast(df.schema[c].dataType), F.col(c)).alias(c) if c in changed else F.col(c)
-        for c in df.columns
-    ])
+
+    def edited(c: str) -> Column:
+        value = F.col(c)
+        if c in changed:
+            value = F.coalesce(F.col("__edit")[f"__new_{c}"].cast(df.schema[c].dataType), value)
+        if cleared and c not in key:
+            value = F.when(~F.coalesce(F.array_contains(F.col("__edit")["__clear"], c), F.lit(False)), value)
+        return value.alias(c)
+
+    return joined.select(*[edited(c) for c in df.columns])
 
 
 def delete_rows(df: DataFrame, keys: DataFrame, key: Sequence[str]) -> DataFrame:
     """Remove the rows whose key is listed."""
-    return df.join(broadcast_if_small(keys.select(*key).distinct()), list(key), "left_anti")
+    return df.join(keys.select(*key), list(key), "left_anti")
 
 
 def insert_rows(df: DataFrame, new: DataFrame) -> DataFrame:
@@ -66,7 +78,7 @@ def upsert_settings(
 def nullify_owner(dependents: DataFrame, owners: DataFrame, owner: str, owner_key: str) -> DataFrame:
     """Keep dependents of deleted owners with an empty owner."""
     alive = owners.select(F.col(owner_key).alias("__alive")).distinct()
-    joined = dependents.join(broadcast_if_small(alive), F.col(owner) == F.col("__alive"), "left")
+    joined = dependents.join(alive, F.col(owner) == F.col("__alive"), "left")
     return joined.select(*[F.col("__alive").alias(c) if c == owner else F.col(c) for c in dependents.columns])
 
 
@@ -80,13 +92,6 @@ class Page:
     size: int
 
 
-def _ordering(sort: str | None, descending: bool, key: Sequence[str]) -> list[Column]:
-    head = []
-    if sort:
-        head = [F.col(sort).desc_nulls_last() if descending else F.col(sort).asc_nulls_last()]
-    return head + [F.col(k).asc_nulls_last() for k in key if k != sort]
-
-
 def page_rows(
     df: DataFrame,
     key: Sequence[str],
@@ -100,25 +105,17 @@ def page_rows(
 ) -> DataFrame:
     """Rows of one page in a total order, missing values last.
 
-    Near the front this is a top-k. A page far behind would drag all rows before it into one
-    task; it is found by counting instead, as long as sort and key columns can be cut.
+    Every page has the same ordering of the real columns. Near the front it is a top-k. A page far
+    behind would drag all rows before it into one task; it is found by counting instead.
     """
     size = clamp(size, 1, max_size)
     found = keyword_any(df, keyword)
-    sort = sort if sort in df.columns else None
-    ordering, offset = _ordering(sort, descending, key), (max(1, page) - 1) * size
-    columns = [c for c in (sort, *key) if c]
-    if offset <= deep or not all(can_be_cut(df, c) for c in columns):
-        return found.orderBy(*ordering).offset(offset).limit(size)
-    images = {f"__o{i}": _image(df, c, descending and c == sort) for i, c in enumerate(dict.fromkeys(columns))}
-    wanted = range(offset + 1, offset + size + 1)
-    return rows_at(found.withColumns(images), list(images), wanted).orderBy(*ordering).select(*df.columns)
-
-
-def _image(df: DataFrame, column: str, descending: bool) -> Column:
-    """Ascending stand-in for an ordering column, missing values last."""
-    value = F.when(F.col(column).isNotNull(), as_ordinal(df, column))
-    return F.coalesce(-value if descending else value, F.lit(math.inf))
+    columns = [c for c in (sort if sort in df.columns else None, *key) if c]
+    order = ordering(df, columns, [sort] if descending else [])
+    offset = (max(1, page) - 1) * size
+    if offset <= deep:
+        return found.orderBy(*order).offset(offset).limit(size)
+    return rows_at(found, order, range(offset + 1, offset + size + 1)).orderBy(*order)
 
 
 def fetch_page(df: DataFrame, key: Sequence[str], keyword: str = "", **choice) -> Page:

@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assayspark.functions.columns import number
 from assayspark.plans.chunks import ROWS_PER_CHUNK, Running, fit_chunks, running
 
 # Names under which a metric may be stored.
@@ -48,7 +49,7 @@ def _once(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def _fields(text: Column) -> Column:
     """Top-level fields of a JSON object as text; null when the text is no object."""
-    return F.when(text.startswith("{"), F.from_json(text, "map<string,string>"))
+    return F.when(F.ltrim(text).startswith("{"), F.from_json(text, "map<string,string>"))
 
 
 def _best_model(top: Column) -> Column:
@@ -76,17 +77,20 @@ def metric_bag(metrics: Column) -> Column:
 def metric_value(metrics: Column, metric: str, aliases: Sequence[str] | None = None) -> Column:
     """One metric as a number; null when it is absent or no number."""
     names = aliases or METRIC_ALIASES.get(metric, (metric,))
-    return _once(metric_bag(metrics), lambda bag: F.coalesce(*[bag[n] for n in names])).try_cast("double")
+    return _once(metric_bag(metrics), lambda bag: F.coalesce(*[number(bag[n]) for n in names]))
 
 
 def fill_labels(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], label: str, dataset: str,
     kept: Sequence[str] = ("train", "test"), rows_per_chunk: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
-    """Rows of the kept datasets; an empty label takes the label above it."""
+    """Rows of the kept datasets; an empty label takes the label above it.
+
+    The mark of a failed row is no part of its label, and the sign for no label is no label.
+    """
     rows = df.where(F.col(dataset).isin(*kept))
-    text = F.trim(F.col(label))
-    given = F.when(text != "", text)
+    text = F.trim(F.regexp_replace(F.col(label), r"\s*\[ERR\]\s*$", ""))
+    given = F.when((text != "") & (text != NO_LABEL), text)
     filled = running(rows, keys, order, [Running("__label", "last", given)], rows_per_chunk=rows_per_chunk)
     return filled.select(*[F.coalesce("__label", F.lit(NO_LABEL)).alias(c) if c == label else F.col(c) for c in df.columns])
 

@@ -10,7 +10,6 @@ the plain window.
 
 from __future__ import annotations
 
-import bisect
 import math
 from collections import Counter
 from collections.abc import Sequence
@@ -216,31 +215,3 @@ def row_position(
 ) -> DataFrame:
     """Number the rows of each key from 1 in the given order."""
     return running(df, keys, order, [Running(name, "count")], descending, rows_per_chunk)
-
-
-def rows_at(
-    df: DataFrame, order: Sequence[str], positions: Sequence[int], rows_per_chunk: int = ROWS_PER_CHUNK
-) -> DataFrame:
-    """Rows at the given positions (from 1) of the whole table in ascending order.
-
-    Counting rows per chunk tells which chunks hold a wanted position; only those are shuffled
-    and sorted, the others are read and dropped.
-    """
-    wanted = sorted(set(positions))
-    parts, chunk = fit_chunks(df, order, rows_per_chunk).transform(df)
-    if not chunk:
-        parts, chunk = parts.withColumn("__chunk0", F.lit(0)), ["__chunk0"]
-    sizes = sorted(tuple(row) for row in parts.groupBy(*chunk).count().collect())
-    before, table = 0, []
-    for *place, size in sizes:
-        low, high = bisect.bisect_left(wanted, before + 1), bisect.bisect_right(wanted, before + size)
-        if low < high:
-            table.append((*place, before))
-        before += size
-    schema = ", ".join(f"{c} int" for c in chunk) + ", __before bigint"
-    offsets = df.sparkSession.createDataFrame(table, schema)
-    inside = Window.partitionBy(*chunk).orderBy(*[F.col(c).asc() for c in order])
-    placed = parts.join(F.broadcast(offsets), chunk).select(
-        *df.columns, (F.col("__before") + F.row_number().over(inside)).alias("__at")
-    )
-    return placed.where(F.col("__at").isin(*wanted)).drop("__at") if wanted else df.where(F.lit(False))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 # Names accepted for the target column.
 TARGET_ALIASES = (
@@ -74,10 +74,14 @@ def find_second_unit(columns: Sequence[str]) -> str | None:
     return next(iter([*known, *similar]), None)
 
 
+# How many columns of a group a display shows.
+DISPLAY_LIMITS = {"composition": 24, "features": 20, "all": 20}
+
+
 def column_groups(
-    columns: Sequence[str], composition: Sequence[str] = COMPOSITION
+    columns: Sequence[str], composition: Sequence[str] = COMPOSITION, limits: Mapping[str, int] | None = None
 ) -> dict[str, list[str]]:
-    """Split names into composition, features, target and all, with the display limits."""
+    """Split names into composition, features, target and all; ``limits`` cuts groups for a display."""
     def matching(pattern: str, names: Iterable[str]) -> list[str]:
         return [c for c in names if re.search(pattern, c, re.IGNORECASE)]
 
@@ -88,9 +92,10 @@ def column_groups(
     if not features:
         named = set(matching(f"{TARGET_PATTERN}|image", others))
         features = [c for c in others if c not in named]
-    return {
-        "composition": [c for c in columns if c in shares or c in keys][:24],
-        "features": features[:20],
+    groups = {
+        "composition": [c for c in columns if c in shares or c in keys],
+        "features": features,
         "target": matching(f"{TARGET_PATTERN}|{KEY_PATTERN}", columns),
-        "all": list(columns[:20]),
+        "all": list(columns),
     }
+    return {name: found[: (limits or {}).get(name)] for name, found in groups.items()}

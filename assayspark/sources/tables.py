@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayspark.functions.columns import is_numeric, number
+from assayspark.functions.columns import is_numeric, nan_to_null, number
 from assayspark.roles import TableRoles
 from assayspark.sources import naming
 
@@ -16,13 +16,13 @@ _FORMATS = {".csv": "csv", ".tsv": "csv", ".txt": "csv", ".json": "json", ".json
 
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None, schema=None, **options) -> DataFrame:
-    """Read by extension; folders and globs work. Pass ``schema`` to avoid CSV inference."""
+    """Read by extension, NaN as null; folders and globs work. Pass ``schema`` to avoid CSV inference."""
     suffix = next((f for ext, f in _FORMATS.items() if path.lower().rstrip("/*").endswith(ext)), "parquet")
     fmt = fmt or suffix
     if fmt == "csv":
         options = {"header": True, "inferSchema": schema is None, **options}
     reader = spark.read.format(fmt).options(**options)
-    return (reader.schema(schema) if schema is not None else reader).load(path)
+    return nan_to_null((reader.schema(schema) if schema is not None else reader).load(path))
 
 
 def trim_columns(df: DataFrame) -> DataFrame:

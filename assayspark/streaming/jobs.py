@@ -37,29 +37,20 @@ def append_to_files(stream: DataFrame, out: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def latest_status(
-    stream: DataFrame, task: Sequence[str], time: str, order: Sequence[str], out: str, checkpoint: str,
-    lateness: str = "1 hour",
-) -> None:
-    """Keep the newest row per task and hour; state of past hours is dropped by the watermark.
+def latest_status(stream: DataFrame, task: Sequence[str], order: Sequence[str], out: str, checkpoint: str) -> None:
+    """Store the newest row per task of each batch under the batch number.
 
-    Every batch writes its changed rows under its batch number, so a repeated batch replaces
-    its own output. ``read_latest`` merges the hours.
+    A repeated batch replaces its own output. No state is kept between batches, so rows may
+    arrive in any order; ``read_latest`` keeps the newest over all batches.
     """
     rest = [c for c in stream.columns if c not in task]
-    newest = (
-        stream.withColumn("__time", F.col(time).cast("timestamp"))
-        .withWatermark("__time", lateness)
-        .groupBy(*task, F.window("__time", "1 hour"))
-        .agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__row"))
-        .select(*task, "__row.*")
-    )
 
     def store(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        newest = batch.groupBy(*task).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__row"))
+        newest.select(*task, "__row.*").write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     query = (
-        newest.writeStream.outputMode("update").foreachBatch(store)
+        stream.writeStream.outputMode("append").foreachBatch(store)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
@@ -78,12 +69,39 @@ def read_latest(
 
 
 def complete_once(
-    stream: DataFrame, task: Sequence[str], time: str, status: str, states: Sequence[str] = COMPLETE,
-    lateness: str = "1 hour",
-) -> DataFrame:
-    """First completion of each task within the watermark."""
-    done = stream.where(F.col(status).isin(*states)).withColumn("__time", F.col(time).cast("timestamp"))
-    return done.withWatermark("__time", lateness).dropDuplicatesWithinWatermark(list(task)).drop("__time")
+    stream: DataFrame, task: Sequence[str], order: Sequence[str], status: str, out: str, checkpoint: str,
+    states: Sequence[str] = COMPLETE,
+) -> None:
+    """Store the completions of each batch, the first of each task only, under the batch number.
+
+    A repeated batch replaces its own output. No state is kept between batches, so a task may be
+    in several batches; ``read_first`` keeps the one that was first over all of them, for good.
+    """
+    done = stream.where(F.col(status).isin(*states))
+
+    def store(batch: DataFrame, number: int) -> None:
+        _first(batch, task, order).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    query = (
+        done.writeStream.outputMode("append").foreachBatch(store)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+
+
+def _first(rows: DataFrame, task: Sequence[str], order: Sequence[str]) -> DataFrame:
+    rest = [c for c in rows.columns if c not in task]
+    return rows.groupBy(*task).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__row")).select(*task, "__row.*")
+
+
+def read_first(spark: SparkSession, out: str, task: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """One completion per task: the first over all batches."""
+    return _first(spark.read.parquet(out).drop("batch"), task, order)
+
+
+def compact(rows: DataFrame, out: str) -> None:
+    """Write what ``read_first`` or ``read_latest`` gave as the one batch of a new folder."""
+    rows.write.mode("overwrite").parquet(f"{out}/batch=-1")
 
 
 def screen(

@@ -161,17 +161,29 @@ def test_streams_over_several_batches(spark, tmp_path):
         spark.createDataFrame([row], STATUS).coalesce(1).write.mode("append").parquet(folder)
     stream = jobs.read_stream(spark, folder, files_per_batch=2)
     out, state = str(tmp_path / "status"), str(tmp_path / "status-state")
-    jobs.latest_status(stream, ["task"], "ts", ["ts", "epoch"], out, state)
+    jobs.latest_status(stream, ["task"], ["ts", "epoch"], out, state)
     found = jobs.read_latest(spark, out, ["task"], "ts", ["ts", "epoch"], hours=1)
     assert sorted((r["task"], r["epoch"]) for r in found.collect()) == [("a", 3), ("b", 1)]
-    jobs.latest_status(stream, ["task"], "ts", ["ts", "epoch"], out, state)
+    jobs.latest_status(stream, ["task"], ["ts", "epoch"], out, state)
     again = jobs.read_latest(spark, out, ["task"], "ts", ["ts", "epoch"], hours=1)
     assert again.count() == 2
 
     out, state = str(tmp_path / "once"), str(tmp_path / "once-state")
-    once = jobs.complete_once(jobs.read_stream(spark, folder), ["task"], "ts", "status", lateness="4 hours")
-    jobs.append_to_files(once, out, state)
-    assert [r["task"] for r in spark.read.parquet(out).collect()] == ["a"]
+    for _ in range(2):  # the second run finds nothing new
+        jobs.complete_once(jobs.read_stream(spark, folder, files_per_batch=1), ["task"], ["ts", "epoch"], "status", out, state)
+    first = jobs.read_first(spark, out, ["task"], ["ts", "epoch"])
+    assert [r["task"] for r in first.collect()] == ["a"]
+    jobs.compact(first, str(tmp_path / "compact"))
+    assert jobs.read_first(spark, str(tmp_path / "compact"), ["task"], ["ts", "epoch"]).collect() == first.collect()
+
+
+def test_first_completion_holds_over_batches_in_any_order(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    for day in (3, 1, 2):
+        spark.createDataFrame([("a", day, "done"), ("b", day, "open")], "task string, ts int, status string").coalesce(1).write.mode("append").parquet(folder)
+    out = str(tmp_path / "once")
+    jobs.complete_once(jobs.read_stream(spark, folder, files_per_batch=1), ["task"], ["ts"], "status", out, str(tmp_path / "state"))
+    assert [tuple(r) for r in jobs.read_first(spark, out, ["task"], ["ts"]).select("task", "ts").collect()] == [("a", 1)]
 
 
 def test_stream_screen(spark, tmp_path):

@@ -130,7 +130,8 @@ def test_degree_one_ridge(df, data):
 
 
 def test_linear_svr_reaches_the_optimum(df, data):
-    fitted = models.fit_svr(df, X, "y", max_passes=60, tolerance=1e-6)
+    fitted = models.fit_svr(df, X, "y")
+    assert fitted.converged and fitted.passes <= 60
     assert min(fitted.losses) == fitted.losses[-1] or fitted.losses[-1] <= min(fitted.losses) * 1.001
     z = np.column_stack([scaled(data), np.ones(500)])
     y = data["y"].to_numpy()
@@ -201,13 +202,31 @@ def test_report_order_and_pivot(spark):
     assert (wide["DDPG"], wide["SVR"]) == (3.0, 1.0)
 
 
-@pytest.mark.parametrize("n, per_chunk", [(10, 100), (1000, 5000), (1000, 60)])
-def test_downsample(spark, n, per_chunk):
-    df = spark.range(n).repartition(3)
-    got = sorted(r["id"] for r in evaluate.downsample(df, ["id"], 30, per_chunk).collect())
+@pytest.mark.parametrize("n", [10, 1000])
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_downsample(spark, n, kind):
+    df = spark.range(n).repartition(3).select(F.lpad(F.col("id").cast("string"), 5, "0").alias("k") if kind == "string" else F.col("id").alias("k"))
+    got = sorted(int(r["k"]) for r in evaluate.downsample(df, ["k"], 30).collect())
     assert got == list(range(0, n, -(-n // 30)))
 
 
+def test_metrics_skip_rows_without_a_prediction(spark):
+    df = spark.createDataFrame([(1.0, 1.5), (2.0, 2.0), (3.0, 2.5), (1e6, None), (float("nan"), 1.0)], "y double, p double")
+    row = evaluate.metrics(df, "y", "p").first()
+    assert row["n"] == 3 and row["r2"] == pytest.approx(1 - 0.5 / 2)
+
+
+def test_stored_axes_project_like_the_model(spark):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(60)], "id int, v array<double>")
+    fitted = prepare.fit_pca(df, "v", 3)
+    a = fitted.transform(df, "v").orderBy("id").toPandas()
+    b = prepare.project_with(df, fitted.parameters(spark), "v").orderBy("id").toPandas()
+    centred = a[["Micro_1", "Micro_2", "Micro_3"]].to_numpy() - a[["Micro_1", "Micro_2", "Micro_3"]].to_numpy().mean(axis=0)
+    np.testing.assert_allclose(centred, b[["Micro_1", "Micro_2", "Micro_3"]].to_numpy(), atol=1e-9)
+    np.testing.assert_allclose(centred.var(axis=0, ddof=1), [r["variance"] for r in fitted.parameters(spark).collect()], atol=1e-9)
+
+
 def test_extent(spark):
     out = evaluate.extent(spark.createDataFrame([(100.0, 300.0), (200.0, 50.0)], "x double, y double"), "x", "y").first()
     assert (out["axis_min"], out["axis_max"]) == (40.0, 310.0)

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from assayspark.plans import chunks, quantiles
+from assayspark.plans import chunks, positions, quantiles
 from assayspark.plans.chunks import Running
 
 
@@ -65,11 +65,10 @@ def test_chunks_split_a_frequent_value_by_the_second_column(spark, skewed):
     assert biggest < 150
 
 
-@pytest.mark.parametrize("per_chunk", [10_000, 30])
-def test_rows_at(spark, skewed, per_chunk):
+def test_rows_at(spark, skewed):
     df = frame(spark, skewed, SCHEMA)
     wanted = [1, 2, 300, 301, 450, 900]
-    got = {r["id"] for r in chunks.rows_at(df, ["t", "id"], wanted, per_chunk).collect()}
+    got = {r["id"] for r in positions.rows_at(df, positions.ordering(df, ["t", "id"]), wanted).collect()}
     ordered = sorted(skewed, key=lambda r: (r[2], r[0]))
     assert got == {ordered[p - 1][0] for p in wanted}
 

@@ -99,6 +99,10 @@ def test_row_edits(spark):
     edits = rows.edits_frame(df, [{"id": 2, "v": 9.0, "zz": 1}])
     assert [tuple(r) for r in rows.update_rows(df, edits, ["id"]).orderBy("id").collect()] == [(1, "a", 1.0), (2, "b", 9.0)]
     assert ids(rows.delete_rows(df, edits, ["id"])) == [1]
+    twice = spark.createDataFrame([(2, 1, 5.0, None), (2, 2, 6.0, ["g"])], "id int, n int, v double, gone array<string>")
+    assert [tuple(r) for r in rows.update_rows(df, twice, ["id"], ["n"], "gone").orderBy("id").collect()] == [(1, "a", 1.0), (2, None, 6.0)]
+    with pytest.raises(Exception, match="several edits"):
+        rows.update_rows(df, twice, ["id"]).collect()
     added = rows.insert_rows(df, rows.edits_frame(df, [{"id": 3}]))
     assert [tuple(r) for r in added.where("id = 3").collect()] == [(3, None, None)]
 
@@ -124,6 +128,20 @@ def test_pages_cover_the_table_once(spark, deep, descending):
     assert got == [r[0] for r in want]
 
 
+@pytest.mark.parametrize("deep", [10_000, 0])
+def test_pages_are_exact_for_any_key(spark, deep):
+    """Keys beyond 2^53, text keys and NaN: every row once, whatever the partitions of each page."""
+    big = 2**60
+    data = [(big + i, f"k{i:03d}", NAN if i % 3 == 0 else None if i % 3 == 1 else float(i)) for i in range(60)]
+    for key, sort in (("n", None), ("s", None), ("s", "v")):
+        got = []
+        for page in range(1, 7):
+            df = spark.createDataFrame(data, "n bigint, s string, v double").repartition(page)
+            got += [r["n"] - big for r in rows.page_rows(df, [key], page, 10, sort, True, deep=deep).collect()]
+        missing = [i for i in range(60) if i % 3 < 2]
+        assert got == (list(range(60)) if sort is None else [i for i in range(59, -1, -1) if i % 3 == 2] + missing)
+
+
 def test_fetch_page_counts_matches(t):
     page = rows.fetch_page(t, ["id"], "x", page=1, size=1)
     assert page.total == 2 and ids(page.items) == [1]

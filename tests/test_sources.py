@@ -84,9 +84,10 @@ def test_history_export_order_and_blanks(spark):
 
 def test_saved_model_predicts_the_same(spark, tmp_path):
     df = spark.range(50).select(F.col("id").cast("double").alias("x"), (F.col("id") * 3.0 + 1).alias("y"))
-    fitted = models.fit_linear(df, ["x"], "y")
-    sinks.save_model(spark, fitted.model, str(tmp_path / "m"), "LR", ["x"], "y", {"a": 1})
-    loaded, about = sinks.load_model(spark, str(tmp_path / "m"))
-    again = models.FittedPipeline(loaded, ("x",)).predict(df)
-    assert again.agg(F.max(F.abs(F.col("prediction") - F.col("y")))).first()[0] < 1e-6
-    assert about.first()["model_name"] == "LR" and about.first()["feature_cols"] == ["x"]
+    for name in ("LinearRegression", "LR", "PolynomialRegression", "LinearSVR", "SVR"):
+        fitted = models.fit_model(name, df, ["x"], "y")
+        path = sinks.save_model(spark, fitted, str(tmp_path / name), name, "y", {"a": 1})
+        loaded, about = sinks.load_model(spark, path)
+        before, after = ([r["prediction"] for r in m.predict(df).orderBy("x").collect()] for m in (fitted, loaded))
+        assert before == after
+        assert about.first()["model_name"] == name and about.first()["feature_cols"] == ["x"]
