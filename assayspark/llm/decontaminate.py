@@ -218,7 +218,24 @@ def decontaminate(
     )
 
 
-@query("op5_decontaminate")
+_WORDS_SQL = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
+    r" '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
+
+@query("op5_decontaminate", f"""
+WITH w AS (SELECT doc_id, {_WORDS_SQL} AS ws FROM documents),
+b AS (SELECT item_id, {_WORDS_SQL} AS ws FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least({SPAN}, len(ws)) AS k, array_to_string(ws[i:i + least({SPAN}, len(ws)) - 1], ' ') AS win
+  FROM b, unnest(range(1, len(ws) - least({SPAN}, len(ws)) + 2)) AS t(i) WHERE len(ws) > 0),
+dw AS (SELECT doc_id, k, i, array_to_string(ws[i:i + k - 1], ' ') AS win
+  FROM w, (SELECT DISTINCT k FROM bw) AS ks, unnest(range(1, len(ws) - k + 2)) AS t(i)),
+m AS (SELECT doc_id, i, k, CAST(item_id AS VARCHAR) AS item FROM dw JOIN bw USING (k, win)),
+h AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM m, unnest(range(0, k)) AS t(j) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated FROM w LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)""")
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")

@@ -102,7 +102,7 @@ def set_bits(hashes: DataFrame, column: str, bits: int = 24) -> Bitmap:
     parts = hashes.select(F.col(column).cast("long")).where(F.col(column).isNotNull()).mapInArrow(fill, schema)
     out = Bitmap(bits)
     pages = out.data.reshape(-1, page // 8)
-    for row in parts.repartition(max(1, min(64, 1 << (bits - 18))), "page").mapInArrow(join, schema).collect():
+    for row in parts.repartition(max(1, min(16, 1 << (bits - 18))), "page").mapInArrow(join, schema).collect():
         pages[row["page"]] |= np.frombuffer(row["bits"], dtype=np.uint8)
     return out
 

@@ -117,7 +117,26 @@ def filter_urls(
         F.coalesce(decision["verdict"], F.col(names["inherited"]), F.lit("allow")).alias(names["verdict"]))
 
 
-@query("op1_url_filter")
+# The same question in SQL; of declared addresses it knows absolute ones, rel before href.
+_SQL = """
+WITH RECURSIVE q AS (SELECT page_id, html, instr(url, '://') AS cut, substr(url, instr(url, '://') + 3) AS rest FROM pages),
+p AS (SELECT page_id, html, CASE WHEN cut > 0 THEN translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host, CASE WHEN cut > 0 THEN regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path,
+    CASE WHEN cut > 0 THEN regexp_extract(rest, '^[^/?#]*([^#]*)', 1) ELSE '' END AS tail FROM q),
+rules AS (SELECT * FROM (VALUES %s) AS v(verdict, rule, name, start)),
+ruled AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM p JOIN rules
+  ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start) GROUP BY page_id),
+e AS (SELECT host || tail AS a, regexp_extract(html, '(?is)<link[^>]*rel=.?canonical[^>]*href=.?[a-z]+://([^"''\\s>#]+)', 1) AS b FROM p),
+u AS (SELECT a, b FROM e WHERE b <> '' AND a <> b UNION SELECT b, a FROM e WHERE b <> '' AND a <> b),
+reach AS (SELECT a AS start, a AS node FROM u UNION SELECT start, b FROM reach JOIN u ON node = a),
+seen AS (SELECT start, bool_or(verdict = 'block') AND NOT bool_or(verdict = 'allow') AS blocked FROM reach
+  JOIN p ON host || tail = node JOIN ruled USING (page_id) GROUP BY start)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN blocked THEN 'block' END, 'allow') AS verdict
+FROM p LEFT JOIN ruled USING (page_id) LEFT JOIN seen ON start = host || tail""" % ", ".join(
+    "('{}', '{}', '{}', '/{}')".format(v, rule, rule.partition("/")[0], rule.partition("/")[2]) for v, rule in RULES)
+
+
+@query("op1_url_filter", _SQL)
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = filter_urls(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.select("page_id", "host", "path", "rule", "verdict")
