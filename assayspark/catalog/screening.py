@@ -118,10 +118,13 @@ def out_zscore(spark: SparkSession, sf: str) -> DataFrame:
     return _zscored(spark, sf).select("event_id", outliers.FLAG)
 
 
-@query("out_isolation_forest")
+@query("out_isolation_forest", f"SELECT {LINE_KEY_SQL}, true AS scored, 0.05::DOUBLE AS flagged FROM lineitem")
 def out_isolation_forest(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row with what SQL can say of a random forest: its score is a share, and the wanted share of rows is flagged."""
     lines = table(spark, sf, "lineitem").select(*LINE_KEY, *LINE_NUMBERS)
-    return outliers.flag_isolated(lines, LINE_KEY, LINE_NUMBERS).select(*LINE_KEY, "score", outliers.FLAG)
+    made = outliers.flag_isolated(lines, LINE_KEY, LINE_NUMBERS)
+    flagged = made.agg(F.avg(F.col(outliers.FLAG).cast("double"))).first()[0]
+    return made.select(*LINE_KEY, ((F.col("score") > 0) & (F.col("score") < 1)).alias("scored"), F.lit(round(flagged or 0.0, 3)).alias("flagged"))
 
 
 @query("out_samples", f"SELECT event_id, value FROM {_ZSCORE_SQL} WHERE is_outlier ORDER BY event_id LIMIT 50")

@@ -18,6 +18,8 @@ from assayspark.plans.positions import ordering, rows_at
 # Order of the models and splits in a report.
 MODEL_ORDER = ("DDPG", "LR", "PR", "SVR")
 SPLIT_ORDER = ("train", "test")
+# Models compared when none are named.
+COMPARED = ("LinearRegression", "PolynomialRegression", "SVR")
 # Digits shown per metric.
 DIGITS = {"rmse": 2, "mae": 2, "r2": 4, "mape": 2}
 
@@ -65,28 +67,44 @@ def compare_models(
     rows: DataFrame,
     features: Sequence[str],
     target: str,
-    models: Sequence[str],
+    models: Sequence[str] = COMPARED,
     params: Mapping[str, Mapping[str, object]] | None = None,
     split: str = "split",
+    fold: str | None = None,
 ) -> DataFrame:
-    """Fit the models on the train rows and score both splits; a failing one yields its error."""
-    source = rows.select(*features, target, split).persist()
+    """Fit the models on the train rows and score both splits; a failing one yields its error.
+
+    With a ``fold`` column the train rows are cross-validated too: mean and deviation of R2 and
+    the scores by fold. ``best`` marks the model with the highest R2 on the test rows.
+    """
+    source = rows.select(*features, target, split, *([fold] if fold else [])).persist()
     held = spread(source, source.count()).persist()
     scored = []
     try:
         for name in models:
             try:
-                model = fit_model(name, held.where(F.col(split) == "train"), features, target, **(params or {}).get(name, {}))
+                chosen, train = (params or {}).get(name, {}), held.where(F.col(split) == "train")
+                model = fit_model(name, train, features, target, **chosen)
                 table = metrics(model.predict(held), target, PREDICTION, [split])
                 found = table.select(split, "n", "rmse", "mae", "r2", "mape").collect()
-                scored += [(name, *r, None) for r in found]
+                cv = [None, None, None]
+                if fold:
+                    folds = sorted(tuple(r) for r in cross_validate(train, features, target, fold, name, **chosen).collect())
+                    known = [s for _, s in folds if s is not None]
+                    cv = [float(np.mean(known)), float(np.std(known)), [s for _, s in folds]] if known else cv
+                scored += [(name, *r, *cv, None) for r in found]
             except Exception as problem:  # one model's failure is part of the report
-                scored.append((name, None, None, None, None, None, None, str(problem).splitlines()[0]))
+                scored.append((name, *[None] * 9, str(problem).splitlines()[0]))
     finally:
         held.unpersist()
         source.unpersist()
-    schema = f"model string, {split} string, n bigint, rmse double, mae double, r2 double, mape double, error string"
-    return rows.sparkSession.createDataFrame(scored, schema)
+    tested = [(row[5], row[0]) for row in scored if row[1] == "test" and row[5] is not None]
+    best = max(tested)[1] if tested else None
+    schema = (
+        f"model string, {split} string, n bigint, rmse double, mae double, r2 double, mape double, cv_r2_mean double, "
+        "cv_r2_std double, cv_scores array<double>, error string, best boolean"
+    )
+    return rows.sparkSession.createDataFrame([(*row, row[0] == best) for row in scored], schema)
 
 
 def cross_validate(

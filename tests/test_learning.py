@@ -175,8 +175,11 @@ def test_large_offset_keeps_r2(spark):
 
 def test_comparison_reports_failures_and_best(df):
     rows = prepare.train_test(df, ["id"])
-    table = evaluate.compare_models(rows, X, "y", ["LR", "PR"], {"PR": {"degree": "bad"}})
+    folded = prepare.folds(rows, ["id"], 3)
+    table = evaluate.compare_models(folded, X, "y", ["LR", "PR"], {"PR": {"degree": "bad"}}, fold="fold")
     found = {(r["model"], r["split"]): r for r in table.collect()}
+    row = found[("LR", "test")]
+    assert row["best"] and len(row["cv_scores"]) == 3 and row["cv_r2_mean"] == pytest.approx(sum(row["cv_scores"]) / 3)
     assert found[("LR", "test")]["r2"] > 0.9 and found[("PR", None)]["error"]
     best = evaluate.best_models(table).first()
     assert best["best_r2_model"] == best["best_rmse_model"] == "LR"
