@@ -13,7 +13,7 @@
 3. Equal word sequences are one text. Texts that agree in all samples of a band are candidates.
    In each bucket all are compared with the text that shares most buckets; components of the links
    found so are classes. Buckets that still hold several classes have the texts of different
-   classes compared with each other. Of those only pairs go on to step 4 whose sketches of ``BITS``
+   classes compared with each other, in the first bucket that two of them share. Of those only pairs go on to step 4 whose sketches of ``BITS``
    further samples, one bit each, agree as often as those of similar texts do but for one in 30 000.
 4. A candidate counts if the exact weighted Jaccard similarity is at least ``SIMILAR``.
 
@@ -229,6 +229,14 @@ def differing(x: Column, y: Column) -> Column:
     return sum((F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(1, BITS // 64)), F.bit_count(x[0].bitwiseXOR(y[0])))
 
 
+def met_first(band: Column, x: Column, y: Column) -> Column:
+    """Whether two texts share no band before this one, so that a pair is made once."""
+    before = F.lit(False)
+    for j in range(BANDS - 1):
+        before = before | ((band > j) & (x[j] == y[j]))
+    return ~before
+
+
 def similarity(a: pa.Array, b: pa.Array, weights: Weights) -> np.ndarray:
     """Weighted Jaccard similarity of the texts of two columns, row by row."""
     n = len(a)
@@ -275,7 +283,7 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     weights = fit_weights(docs, text)
     signed = materialize(signatures(docs, weights, doc_id, text), "signatures")
     texts = signed.where("has_words").groupBy("h").agg(F.first("total").alias("total"), F.first("bands").alias("bands"))
-    members = texts.select("h", "total", F.explode("bands").alias("bucket"))
+    members = texts.select("h", "total", F.posexplode("bands").alias("band", "bucket"))
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(members.join(sizes, "bucket"), "members")
     central = members.groupBy("h").agg(F.sum("n").alias("central"))
@@ -293,15 +301,16 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     roots = materialize(connected_components(links), "roots")
 
     placed = members.join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
-    placed = materialize(placed.select("bucket", "h", "total", "root"), "placed")
+    placed = materialize(placed.select("bucket", "band", "h", "total", "root"), "placed")
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
     rest = materialize(placed.join(mixed, "bucket", "left_semi"), "mixed")
     bits = materialize(sketches(bodies.join(rest.select("h").distinct(), "h", "left_semi"), weights), "sketches")
-    rest = rest.join(bits, "h")
+    rest = rest.join(bits.join(texts.select("h", "bands"), "h"), "h")
     x, y = rest.alias("x"), rest.alias("y")
     more = (
         x.join(y, F.col("x.bucket") == F.col("y.bucket"))
         .where((F.col("x.root") != F.col("y.root")) & (F.col("x.h") < F.col("y.h")) & fits(F.col("x.total"), F.col("y.total"))
+               & met_first(F.col("x.band"), F.col("x.bands"), F.col("y.bands"))
                & (differing(F.col("x.bits"), F.col("y.bits")) <= DIFFER))
         .select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     )
