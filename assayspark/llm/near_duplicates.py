@@ -240,7 +240,7 @@ def met_first(band: Column, x: Column, y: Column) -> Column:
 def similarity(a: pa.Array, b: pa.Array, weights: Weights) -> np.ndarray:
     """Weighted Jaccard similarity of the texts of two columns, row by row."""
     n = len(a)
-    block = next(tb.blocks(pa.concat_arrays([a.cast(pa.large_string()), b.cast(pa.large_string())]), 1 << 62))
+    block = next(tb.blocks(pa.concat_arrays([a.cast(pa.large_string()), b.cast(pa.large_string())]), 1 << 62, None))
     row, h, times = tb.shingles(tb.words(block))
     w = weights.of(h, times)
     total = np.bincount(row % n, weights=w, minlength=n)

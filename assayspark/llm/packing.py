@@ -28,13 +28,13 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from assayspark.llm import pieces as pc
-from assayspark.llm.shared import materialize, query, table
+from assayspark.llm.shared import materialize, query, small, table
 
 LENGTH = 1024
 END = 2
 SHARE = 50_000
 VOCABULARY = "byte_bpe_50k.json"
-BLOCK_CHARS = 1_200_000
+BLOCK_CHARS = 1_000_000
 
 
 class DocumentEncoder:
@@ -82,7 +82,7 @@ def tokenize_pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = document_encoder(path)
-        for batch in batches:
+        for batch in small(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for first, last in pc.runs(texts, BLOCK_CHARS):
                 ids, bounds = own.ids(texts[first:last])

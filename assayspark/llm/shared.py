@@ -56,6 +56,13 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, so that copies made of them stay small."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def append_columns(df: DataFrame, text: str, fields: dict[str, str], function: Callable[[pa.Array], list]) -> tuple[DataFrame, list[str]]:
     """The table with further columns made from its text column, batch by batch.
 
@@ -67,9 +74,8 @@ def append_columns(df: DataFrame, text: str, fields: dict[str, str], function: C
     schema = T.StructType([*df.schema.fields, *[T.StructField(n, T._parse_datatype_string(t)) for n, t in zip(names, fields.values(), strict=True)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([*batch.columns, *function(batch.column(at))], names=[*batch.schema.names, *names])
+        for batch in small(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns, *function(batch.column(at))], names=[*batch.schema.names, *names])
 
     return df.mapInArrow(run, schema), names
 
@@ -117,5 +123,5 @@ def crc_mod(column: Column | str, n: int) -> Column:
 
 
 __all__ = [
-    "ORACLES", "QUERIES", "append_columns", "crc_mod", "fresh", "hash_ids", "map_batches", "materialize", "query", "set_bits", "table",
+    "ORACLES", "QUERIES", "append_columns", "crc_mod", "fresh", "hash_ids", "map_batches", "materialize", "query", "set_bits", "small", "table",
 ]

@@ -14,7 +14,8 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 1_500_000
+BLOCK_BYTES = 800_000
+BLOCK_ROWS = 2048
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -77,22 +78,21 @@ class Block:
         return len(self.offsets) - 1
 
 
-def blocks(column: pa.Array | pa.ChunkedArray, size: int = BLOCK_BYTES) -> Iterator[Block]:
+def blocks(column: pa.Array | pa.ChunkedArray, size: int = BLOCK_BYTES, rows: int | None = BLOCK_ROWS) -> Iterator[Block]:
     """The texts of a string column, null as empty, in blocks of whole texts."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
-    if not len(column):
-        return
-    _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
-    first = 0
-    while first < len(column):
-        last = int(np.searchsorted(offsets, offsets[first] + size, side="right")) - 1
-        last = min(max(last, first + 1), len(column))
-        yield Block(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], first)
-        first = last
+    for begin in range(0, len(column), rows or max(len(column), 1)):
+        part = pc.fill_null(column.slice(begin, rows).cast(pa.large_string()), "")
+        _, offsets, data = part.buffers()
+        offsets = np.frombuffer(offsets, dtype=np.int64)[part.offset : part.offset + len(part) + 1]
+        data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
+        first = 0
+        while first < len(part):
+            last = int(np.searchsorted(offsets, offsets[first] + size, side="right")) - 1
+            last = min(max(last, first + 1), len(part))
+            yield Block(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], begin + first)
+            first = last
 
 
 @dataclass
