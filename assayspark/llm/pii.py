@@ -8,8 +8,8 @@ corpus
     disclosure(term, entity) = PMI(term; entity) / IC(entity)
                              = log(N n(term, entity) / (n(term) n(entity))) / log(N / n(entity))
 
-with N documents, n(x) of them with x (copies of a text count once where x has the entity), is 1 for a term that is met with the entity only and 0 for
-one that is independent of it. Terms seen with the entity in ``SUPPORT`` different texts and with a
+with N different texts, n(x) of them with x, is 1 for a term that is met with the entity only and 0 for
+one that is independent of it. Copies of a text count once in all four counts. Terms seen with the entity in ``SUPPORT`` different texts and with a
 disclosure of ``LIMIT`` or more are spans of the kind ``term`` wherever they stand near that
 entity; other documents are left alone.
 
@@ -152,14 +152,20 @@ def near_terms(found: DataFrame) -> DataFrame:
         start.alias("start"), end.alias("end"))
 
 
+def bodies(docs: DataFrame, text: str) -> DataFrame:
+    """(body, text) of all documents, null as empty; equal texts have the same body."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    return docs.select(F.xxhash64(t).alias("body"), t.alias("text"))
+
+
 def disclosing(near: DataFrame, docs: DataFrame, text: str, n: int, limit: float = LIMIT, support: int = SUPPORT) -> DataFrame:
-    """(entity, term) over the limit. ``near`` is a written table; document frequencies cover all of ``docs``."""
+    """(entity, term) over the limit. ``near`` is a written table; frequencies cover all different texts of ``docs``, ``n`` in number."""
     by_entity = near.select("body", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     both = near.select("body", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
     both = materialize(both, "both")
     wanted = materialize(both.select("term").distinct(), "terms")
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(fold(F.col(text)), F.lit(WORD), F.lit(0)))).alias("term"))
-    df = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    words = bodies(docs, text).select("body", F.explode(F.array_distinct(F.regexp_extract_all(fold(F.col("text")), F.lit(WORD), F.lit(0)))).alias("term"))
+    df = words.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
     pmi = F.log(F.lit(float(n)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
     ic = F.log(F.lit(float(n)) / F.col("n_entity"))
     scored = both.join(by_entity, "entity").join(df, "term").withColumn("disclosure", F.when(ic > 1e-9, pmi / ic).otherwise(0.0))
@@ -175,7 +181,7 @@ def with_spans(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def added_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: float = LIMIT) -> DataFrame:
     """(key, more): the term spans of the documents that have any."""
     near = materialize(near_terms(with_spans(docs, doc_id, text)), "near")
-    told = disclosing(near, docs, text, docs.count(), limit)
+    told = disclosing(near, docs, text, bodies(docs, text).select("body").distinct().count(), limit)
     hits = near.join(materialize(told.select("entity", "term"), "told"), ["entity", "term"]).select("key", "start", "end").distinct()
     span = F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end")
     return materialize(hits.groupBy("key").agg(F.sort_array(F.collect_list(span)).alias("more")), "more")
