@@ -2,16 +2,16 @@
 
 Everything here is a DataFrame expression. The four base kinds are patterns with a check each;
 their positions follow from the lengths of the pieces between the matches. Every value found is
-a protected entity. Terms are the words within ``NEAR`` code points of an entity. Over the whole
-corpus
+a protected entity. Terms are all words of the documents that hold an entity, at any distance
+from it. Over the whole corpus
 
     disclosure(term, entity) = PMI(term; entity) / IC(entity)
                              = log(N n(term, entity) / (n(term) n(entity))) / log(N / n(entity))
 
 with N different texts, n(x) of them with x, is 1 for a term that is met with the entity only and 0 for
 one that is independent of it. Copies of a text count once in all four counts. Terms seen with the entity in ``SUPPORT`` different texts and with a
-disclosure of ``LIMIT`` or more are spans of the kind ``term`` wherever they stand near that
-entity; other documents are left alone.
+disclosure of ``LIMIT`` or more are spans of the kind ``term`` wherever they stand in a document
+with that entity; other documents are left alone.
 
 Defined cases: a null text is empty; overlapping spans are all listed, and are replaced as one;
 repeated rows count each and get equal results; an entity found in every document discloses
@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from assayspark.llm.shared import fresh, materialize, query, table
 
 KINDS = ["email", "ip", "card", "phone", "term"]
-NEAR = 64
 SUPPORT = 2
 LIMIT = 0.9
 
@@ -119,37 +118,27 @@ def blanked(text: Column, spans: Column) -> Column:
         lambda state: F.concat(F.array_join(state["out"], ""), F.substring(text, state["at"] + 1, F.char_length(text))))
 
 
-def near_terms(found: DataFrame) -> DataFrame:
-    """(key, body, entity, term, start, end) of the words next to each base span.
+def entity(text: Column, s: Column) -> Column:
+    return F.xxhash64(s["kind"], fold(F.substring(text, s["start"] + 1, s["end"] - s["start"])))
 
-    ``found`` has key, text and spans. Base spans count as blank. A word cut off by the edge of its
-    window is left out. Only the windows leave the row of the text, never the text itself.
-    """
+
+def holders(found: DataFrame) -> DataFrame:
+    """(body, entity), once each, of the texts with base spans. ``found`` has key, text and spans."""
+    rows = found.where(F.size("spans") > 0)
+    return rows.select(
+        F.xxhash64("text").alias("body"),
+        F.explode(F.array_distinct(F.transform("spans", lambda s: entity(F.col("text"), s)))).alias("entity")).distinct()
+
+
+def terms_of(found: DataFrame) -> DataFrame:
+    """(key, body, term, start, end) of every word of the documents with base spans. Base spans count as blank."""
     rows = found.where(F.size("spans") > 0)
     # one-element generators keep the optimiser from working the arrays out again for every use
     rows = rows.select("key", "text", F.explode(F.array("spans")).alias("spans"))
-    rows = rows.select("key", "text", "spans", F.explode(F.array(blanked(F.col("text"), F.col("spans")))).alias("plain"))
-
-    def windows(s: Column) -> Column:
-        entity = F.xxhash64(s["kind"], fold(F.substring("text", s["start"] + 1, s["end"] - s["start"])))
-        left = F.greatest(s["start"] - NEAR, F.lit(0))
-        before = F.struct(
-            entity.alias("entity"), left.alias("from"), F.substring("plain", left + 1, s["start"] - left).alias("part"),
-            (left > 0).alias("cut_left"), F.lit(False).alias("cut_right"))
-        after = F.struct(
-            entity.alias("entity"), s["end"].alias("from"), F.substring("plain", s["end"] + 1, F.lit(NEAR)).alias("part"),
-            F.lit(False).alias("cut_left"), F.lit(True).alias("cut_right"))
-        return F.array(before, after)
-
-    rows = rows.select("key", F.xxhash64("text").alias("body"), F.flatten(F.transform("spans", windows)).alias("windows"))
-    rows = rows.select("key", "body", F.explode("windows").alias("side"))
-    part = F.col("side.part")
-    rows = rows.select("key", "body", "side", F.explode(places(part, WORD, lambda m: F.lit(True), KINDS.index("term"))).alias("w"))
-    whole = ~(F.col("side.cut_left") & (F.col("w.start") == 0)) & ~(F.col("side.cut_right") & (F.col("w.end") == NEAR))
-    start, end = F.col("side.from") + F.col("w.start"), F.col("side.from") + F.col("w.end")
-    return rows.where(whole).select(
-        "key", "body", "side.entity", fold(F.substring(part, F.col("w.start") + 1, F.col("w.end") - F.col("w.start"))).alias("term"),
-        start.alias("start"), end.alias("end"))
+    rows = rows.select("key", F.xxhash64("text").alias("body"), F.explode(F.array(blanked(F.col("text"), F.col("spans")))).alias("plain"))
+    rows = rows.select("key", "body", "plain", F.explode(places(F.col("plain"), WORD, lambda m: F.lit(True), KINDS.index("term"))).alias("w"))
+    start, end = F.col("w.start"), F.col("w.end")
+    return rows.select("key", "body", fold(F.substring("plain", start + 1, end - start)).alias("term"), start.alias("start"), end.alias("end"))
 
 
 def bodies(docs: DataFrame, text: str) -> DataFrame:
@@ -158,17 +147,26 @@ def bodies(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.xxhash64(t).alias("body"), t.alias("text"))
 
 
-def disclosing(near: DataFrame, docs: DataFrame, text: str, n: int, limit: float = LIMIT, support: int = SUPPORT) -> DataFrame:
-    """(entity, term) over the limit. ``near`` is a written table; frequencies cover all different texts of ``docs``, ``n`` in number."""
-    by_entity = near.select("body", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    both = near.select("body", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
-    both = materialize(both, "both")
+def disclosing(held: DataFrame, terms: DataFrame, docs: DataFrame, text: str, n: int, limit: float = LIMIT, support: int = SUPPORT) -> DataFrame:
+    """(entity, term) over the limit; frequencies cover all different texts of ``docs``, ``n`` in number.
+
+    ``held`` has (body, entity) and ``terms`` (body, term) of the texts with base spans, both written
+    tables. A disclosure of ``limit`` means n(term) <= n(entity, term) (N / n(entity)) ^ (1 - limit),
+    so what is more frequent than that among these texts alone is left out before it is counted.
+    """
+    by_entity = held.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support)
+    by_term = terms.groupBy("term").agg(F.count("*").alias("n_held")).where(F.col("n_held") >= support)
+    most = lambda n_both: F.col(n_both) * F.pow(F.lit(float(n)) / F.col("n_entity"), F.lit(1 - limit)) * (1 + 1e-9)
+    able = held.join(by_entity, "entity").join(terms.join(by_term, "term"), "body").where(F.col("n_held") <= most("n_entity"))
+    both = able.groupBy("entity", "term").agg(
+        F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("n_held").alias("n_held"))
+    both = materialize(both.where((F.col("n_both") >= support) & (F.col("n_held") <= most("n_both"))), "both")
     wanted = materialize(both.select("term").distinct(), "terms")
     words = bodies(docs, text).select("body", F.explode(F.array_distinct(F.regexp_extract_all(fold(F.col("text")), F.lit(WORD), F.lit(0)))).alias("term"))
     df = words.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
     pmi = F.log(F.lit(float(n)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
     ic = F.log(F.lit(float(n)) / F.col("n_entity"))
-    scored = both.join(by_entity, "entity").join(df, "term").withColumn("disclosure", F.when(ic > 1e-9, pmi / ic).otherwise(0.0))
+    scored = both.join(df, "term").withColumn("disclosure", F.when(ic > 1e-9, pmi / ic).otherwise(0.0))
     return scored.where(F.col("disclosure") >= limit).select("entity", "term", "disclosure")
 
 
@@ -180,9 +178,14 @@ def with_spans(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def added_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: float = LIMIT) -> DataFrame:
     """(key, more): the term spans of the documents that have any."""
-    near = materialize(near_terms(with_spans(docs, doc_id, text)), "near")
-    told = disclosing(near, docs, text, bodies(docs, text).select("body").distinct().count(), limit)
-    hits = near.join(materialize(told.select("entity", "term"), "told"), ["entity", "term"]).select("key", "start", "end").distinct()
+    found = with_spans(docs, doc_id, text)
+    held = materialize(holders(found), "held")
+    words = terms_of(found)
+    terms = materialize(words.select("body", "term").distinct(), "words")
+    told = disclosing(held, terms, docs, text, bodies(docs, text).select("body").distinct().count(), limit)
+    marks = held.join(materialize(told.select("entity", "term"), "told"), "entity").select("body", "term").distinct()
+    marks = materialize(marks.join(terms, ["body", "term"], "left_semi"), "marks")
+    hits = words.join(marks, ["body", "term"], "left_semi").select("key", "start", "end").distinct()
     span = F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end")
     return materialize(hits.groupBy("key").agg(F.sort_array(F.collect_list(span)).alias("more")), "more")
 

@@ -18,3 +18,11 @@ def test_copies_do_not_hide_a_disclosing_term(spark):
     one, two = "Zorblax wrote zz@mail.example.org first", "again Zorblax uses zz@mail.example.org"
     got = term_spans(spark, [one] * 100 + [two] + OTHERS)
     assert got == {(i, "Zorblax") for i in range(101)}
+
+
+def test_terms_far_from_their_entity_are_marked_everywhere(spark):
+    far = " some more of the usual words" * 20
+    texts = [f"Zorblax wrote{far} zz@mail.example.org{far} signed Zorblax", f"zz@mail.example.org{far} by Zorblax", *[x + far for x in OTHERS]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == 4] for r in pii.find_pii(docs).collect()}
+    assert got.pop(0) == ["Zorblax"] * 2 and got.pop(1) == ["Zorblax"] and not any(got.values())
