@@ -1,8 +1,7 @@
 """Near-duplicate groups: improved consistent weighted sampling over TF-IDF shingles.
 
-1. A shingle is five folded words (a shorter text is one shingle); its weight is one plus the
-   logarithm of how often the text has it, times ``1 + ln(N / df) / ln(N)``, which lies between 1
-   and 2.
+1. A shingle is five folded words (a shorter text is one shingle); its weight is how often the
+   text has it, times ``1 + ln(N / df) / ln(N)``, which lies between 1 and 2.
    Document frequencies are exact over all documents for every shingle in at least ``t`` of them;
    rarer ones count as ``t``. ``t`` is the mean number of shingles of a document times N divided
    by ``FREQUENT``, so that at most ``FREQUENT`` shingles are above it at any size of the corpus.
@@ -61,7 +60,7 @@ class Weights:
         if len(self.hashes):
             at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
             idf = np.where(self.hashes[at] == h, self.idf[at], self.rare)
-        return (1 + np.log(times)) * idf
+        return times * idf
 
 
 def _count_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, int, int]:

@@ -1,6 +1,9 @@
 """The whole job where a shortcut would pass on the ordinary tables."""
 
-from assayspark.llm import pii
+import numpy as np
+import pyarrow as pa
+
+from assayspark.llm import near_duplicates, pii
 
 
 def term_spans(spark, texts):
@@ -26,3 +29,11 @@ def test_terms_far_from_their_entity_are_marked_everywhere(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == 4] for r in pii.find_pii(docs).collect()}
     assert got.pop(0) == ["Zorblax"] * 2 and got.pop(1) == ["Zorblax"] and not any(got.values())
+
+
+def test_repeated_passages_count_as_often_as_they_stand():
+    # 24 words in a circle, walked 50 times, and 60 words of each side's own
+    circle = " ".join(f"w{i}" for i in range(24))
+    a, b = (" ".join([circle] * 50 + [f"{side}{i}" for i in range(60)]) for side in "xy")
+    plain = near_duplicates.Weights(np.zeros(0, dtype=np.uint64), np.zeros(0), 1.0)
+    assert near_duplicates.similarity(pa.array([a]), pa.array([b]), plain)[0] > 0.8
