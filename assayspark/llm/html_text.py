@@ -36,7 +36,8 @@ BLOCK_CHARS = 1_000_000
 
 #: Groups of HTML elements.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "select", "object"}
+RAW = {"script", "style", "textarea", "title", "iframe"}
+HIDDEN = {"noscript", "template", "svg", "select", "object"}
 BLOCK = set(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
@@ -81,10 +82,42 @@ class Node:
             parent.children.append(self)
 
 
+def empty(attributes: str) -> bool:
+    """Whether a tag closes itself; a slash that ends an unquoted value does not."""
+    return attributes.endswith("/") and (len(attributes) == 1 or attributes[-2] in " \t\r\n\f\"'" or "=" not in attributes.split()[-1])
+
+
+def after_raw(html: str, name: str, at: int) -> int:
+    gone = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
+    return gone.end() if gone else len(html)
+
+
+def closed(html: str) -> set[int]:
+    """Where the tags of ``HIDDEN`` elements stand that have an end tag of their own."""
+    out: set[int] = set()
+    opened: dict[str, list[int]] = {name: [] for name in HIDDEN}
+    at = 0
+    while m := _TAG.search(html, at):
+        at = m.end()
+        close, name = (m.group(1) or "").lower(), (m.group(2) or "").lower()
+        if name in RAW and not empty(m.group(3)):
+            at = after_raw(html, name, at)
+        elif name in HIDDEN and not empty(m.group(3)):
+            opened[name].append(m.start())
+        elif close in HIDDEN and opened[close]:
+            out.add(opened[close].pop())
+    return out
+
+
 def parse(html: str) -> Node:
-    """The tree below a ``body``; what is not closed ends with its parent."""
+    """The tree below a ``body``; what is not closed ends with its parent.
+
+    ``HIDDEN`` elements are read like others but hang on no parent, so nothing in them is ever
+    chosen; one without an end tag hides nothing.
+    """
     root = Node("body", None)
     here, at, size = root, 0, len(html)
+    hiding: set[int] | None = None
     while at < size:
         m = _TAG.search(html, at)
         end = m.start() if m else size
@@ -116,8 +149,15 @@ def parse(html: str) -> Node:
                 Node("#space", here, text=" " if name == "br" else "")
                 continue
             if name in RAW:
-                gone = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
-                at = gone.end() if gone else size
+                if not empty(m.group(3)):
+                    at = after_raw(html, name, at)
+                continue
+            if name in HIDDEN:
+                hiding = closed(html) if hiding is None else hiding
+                if m.start() in hiding:
+                    node = Node(name, None)
+                    node.parent = here
+                    here = node
                 continue
             if name in ENDS_P:
                 up = here

@@ -2,8 +2,9 @@
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
-from assayspark.llm import near_duplicates, pii
+from assayspark.llm import html_text, near_duplicates, pii
 
 
 def term_spans(spark, texts):
@@ -37,3 +38,14 @@ def test_repeated_passages_count_as_often_as_they_stand():
     a, b = (" ".join([circle] * 50 + [f"{side}{i}" for i in range(60)]) for side in "xy")
     plain = near_duplicates.Weights(np.zeros(0, dtype=np.uint64), np.zeros(0), 1.0)
     assert near_duplicates.similarity(pa.array([a]), pa.array([b]), plain)[0] > 0.8
+
+
+@pytest.mark.parametrize("tag", [
+    "<svg/>", "<svg width='1' />", "<script src='a.js' />", "<iframe/>", "<object/>", "<select><option>", "<noscript>", "<object>",
+    "<svg><title>t</title><svg></svg>no</svg>", "<noscript><p>no</noscript>", "<template><div>no</div></template>",
+    "<script src=/a/>no()</script>", "<select><option>no</select>", "<noscript><i>", "<div><svg></div>",
+])
+def test_text_after_an_empty_or_unclosed_element_stays(tag):
+    page = f"<body><p>before</p>{tag}<p>after</p><noscript>no</noscript><p>end</p></body>"
+    (text,) = html_text.extract([page], None)
+    assert [b for b in text.split("\n\n") if b] == ["before", "after", "end"]
