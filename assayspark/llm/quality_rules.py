@@ -2,10 +2,13 @@
 
 Counts are taken per document in vectorised batches. Shares made from them are summarised by
 mergeable quantile sketches: logarithmic buckets of relative width ``GAMMA - 1`` with a count
-each, so that sketches merge by adding counts, in any order, with the same result. The limit of a
-share is its third quartile plus ``SPREADS`` times the distance between the quartiles, at least
-``LEAST`` above it. Groups under ``MIN_ROWS`` documents use the sketch of their language, small
-languages that of all documents.
+each, so that sketches merge by adding counts, in any order, with the same result. Copies of a
+text count once in a group. The fence of a share is ``SPREADS`` times the distance between the
+quartiles above the third, at least ``LEAST`` of the range. Of a share that cannot exceed ``top``
+(0.2 for repeats, what the base rule lets through) the limit is ``q3 + room d / (room + d)`` with
+``room = top - q3`` and ``d`` that distance: about ``q3 + d`` while there is room, always under
+``top`` while most texts are. Groups under ``MIN_ROWS`` different texts use the sketch of their
+language, small languages that of all documents.
 
 Defined cases: a null or empty text has no words and fails the base rule; null languages and
 sources are groups of their own; repeated rows count each time and get equal verdicts; an empty
@@ -30,6 +33,8 @@ LEAST = 0.2
 MIN_ROWS = 200
 ZERO = -100_000
 SHARES = ["symbols", "dup_lines", "repeats", "capitals"]
+#: Largest value of a share in rows that pass the base rule; symbols have none.
+TOPS = {"dup_lines": 1.0, "repeats": 0.2, "capitals": 1.0}
 
 
 def _count(texts: pa.Array) -> list[pa.Array]:
@@ -64,30 +69,48 @@ def middle(index: Column) -> Column:
     return F.when(index == ZERO, 0.0).otherwise(F.pow(F.lit(GAMMA), index.cast("double")) * (2 / (1 + GAMMA)))
 
 
-def sketches(measured: DataFrame, names: dict[str, str], lang: str, source: str) -> DataFrame:
-    """Counts per language, source, share and bucket; documents that pass the base rule only."""
-    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("share"), bucket(v).alias("bucket")) for k, v in shares(names).items()]))
-    return (
-        measured.where(~base_failed(names))
-        .select(F.col(lang).alias("lang"), F.col(source).alias("source"), cells.alias("cell"))
-        .groupBy("lang", "source", "cell.share", "cell.bucket").agg(F.count("*").alias("n"))
-    )
+def body(text: str = "text") -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def sketches(measured: DataFrame, names: dict[str, str], lang: str, source: str, text: Column) -> DataFrame:
+    """Different texts per language, source, share and bucket; documents that pass the base rule only.
+
+    ``text`` is a hash of the text. ``n2`` counts a text once in each source, ``n1`` in each language, ``n0`` in all.
+    """
+    at = [bucket(v).alias(k) for k, v in shares(names).items()]
+    texts = measured.where(~base_failed(names)).select(text.alias("body"), F.col(lang).alias("lang"), F.col(source).alias("source"), *at)
+    texts = texts.groupBy("body", "lang", "source").agg(*[F.first(k).alias(k) for k in SHARES])
+    first = lambda keys, order: (F.row_number().over(W.partitionBy(*keys).orderBy(*order)) == 1).cast("long")
+    texts = texts.withColumns({"n1": first(["body", "lang"], ["source"]), "n0": first(["body"], ["lang", "source"])})
+    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("share"), F.col(k).alias("bucket")) for k in SHARES]))
+    return texts.select("lang", "source", "n0", "n1", cells.alias("cell")).groupBy("lang", "source", "cell.share", "cell.bucket").agg(
+        F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count("*").alias("n2"))
+
+
+def fence(low: Column, high: Column) -> Column:
+    """The limit of column ``share`` from its quartiles; never under the edge of the bucket of the third."""
+    top = F.create_map(*[F.lit(x) for pair in TOPS.items() for x in pair])[F.col("share")]
+    step = F.greatest(SPREADS * (high - low), LEAST * F.coalesce(top, F.lit(1.0)))
+    room = F.greatest(top - high, F.lit(0.0))
+    bounded = high + F.coalesce(F.try_divide(room * step, room + step), F.lit(0.0))
+    return F.greatest(F.when(top.isNull(), high + step).otherwise(bounded), high * ((1 + GAMMA) / 2 + 1e-9))
 
 
 def limits(cells: DataFrame) -> DataFrame:
     """One row per language and source: a limit for every share, from the smallest large enough group."""
     levels = []
     for level, keys in enumerate([[], ["lang"], ["lang", "source"]]):
-        merged = cells.groupBy(*keys, "share", "bucket").agg(F.sum("n").alias("n"))
+        merged = cells.groupBy(*keys, "share", "bucket").agg(F.sum(f"n{level}").alias("n"))
         group = W.partitionBy(*keys, "share")
         running = merged.withColumns({
             "up_to": F.sum("n").over(group.orderBy("bucket")), "total": F.sum("n").over(group),
         })
         quartile = lambda q: middle(F.min(F.when(F.col("up_to") >= q * F.col("total"), F.col("bucket"))))
-        fence = running.groupBy(*keys, "share").agg(
+        fences = running.groupBy(*keys, "share").agg(
             F.max("total").alias("rows"), quartile(0.25).alias("low"), quartile(0.75).alias("high"),
-        ).withColumn("limit", F.col("high") + F.greatest(SPREADS * (F.col("high") - F.col("low")), F.lit(LEAST)))
-        levels.append(fence.groupBy(*keys).agg(
+        ).withColumn("limit", fence(F.col("low"), F.col("high")))
+        levels.append(fences.groupBy(*keys).agg(
             F.max("rows").alias(f"rows{level}"),
             *[F.max(F.when(F.col("share") == s, F.col("limit"))).alias(f"{s}{level}") for s in SHARES],
         ))
@@ -118,7 +141,7 @@ def judge(measured: DataFrame, names: dict[str, str], fences: DataFrame, lang: s
 def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """All documents with counts, ``base_failed`` and ``kept``; the text is read twice, never shuffled for the limits."""
     measured, names = measure(docs, text)
-    fences = materialize(limits(materialize(sketches(measured, names, lang, source), "sketch")), "limits")
+    fences = materialize(limits(materialize(sketches(measured, names, lang, source, body(text)), "sketch")), "limits")
     return judge(measured, names, fences, lang, source)
 
 
@@ -132,8 +155,8 @@ def keep_good(docs: DataFrame) -> DataFrame:
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     measured, names = measure(docs)
-    measured = materialize(measured.drop("text"), "counts")
-    fences = materialize(limits(materialize(sketches(measured, names, "lang", "source"), "sketch")), "limits")
+    measured = materialize(measured.withColumn("body", body()).drop("text"), "counts")
+    fences = materialize(limits(materialize(sketches(measured, names, "lang", "source", F.col("body")), "sketch")), "limits")
     return judge(measured, names, fences, "lang", "source").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "source",
     )

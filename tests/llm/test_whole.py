@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from assayspark.llm import html_text, near_duplicates, pii
+from assayspark.llm import html_text, near_duplicates, pii, quality_rules
 
 
 def term_spans(spark, texts):
@@ -49,3 +49,12 @@ def test_text_after_an_empty_or_unclosed_element_stays(tag):
     page = f"<body><p>before</p>{tag}<p>after</p><noscript>no</noscript><p>end</p></body>"
     (text,) = html_text.extract([page], None)
     assert [b for b in text.split("\n\n") if b] == ["before", "after", "end"]
+
+
+def test_copies_do_not_open_the_limits(spark):
+    loud = "THESE ARE TEN OR MORE WORDS IN CAPITALS FOR ALL OF YOU"
+    again = " ".join(f"word{i}" for i in range(60)) + " one two three four five again one two three four five"
+    texts = [f"plain words in a row that nobody would call odd number {i}" for i in range(250)] + [loud] * 150 + [loud + " NOW", again]
+    docs = spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(docs).collect()}
+    assert all(kept[i] for i in range(250)) and not any(kept[i] for i in range(250, 402))
