@@ -2,8 +2,11 @@
 
 from assayspark.llm import (  # noqa: F401
     decontaminate,
+    filter_audit,
     html_text,
+    importance,
     language_id,
+    license_scan,
     near_duplicates,
     packing,
     pii,
