@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from assayspark.catalog.registry import (
     HISTORY_SQL, SEED, history, micros, query, r, round_all, rounded, table, uniform_sql,
 )
+from assayspark.functions.columns import wall_micros
 from assayspark.operators import experience, outliers, runlog
 from assayspark.plans.chunks import row_position
 from assayspark.plans.workspace import fresh_path
@@ -273,6 +274,11 @@ def log_latest_n(spark: SparkSession, sf: str) -> DataFrame:
 # ----------------------------------------------------------------------- streaming
 
 
+BATCHES = 4
+STATE_PARTITIONS = 4
+DAY = 86_400_000_000
+
+
 def _arriving(spark: SparkSession, sf: str) -> DataFrame:
     """The events as a stream of at least four batches, each with events of all times."""
     folder = fresh_path(spark, "arriving")
@@ -280,26 +286,40 @@ def _arriving(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.read_stream(spark, folder, files_per_batch=1)
 
 
+def _arriving_late(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
+    """The events as a stream in the order of their arrival, up to three days after their time; and the days by which any
+    event is behind the newest one before it. Each slice of arrival times is written after the one before."""
+    folder = fresh_path(spark, "late")
+    events = table(spark, sf, "events")
+    low, high = events.select(wall_micros("ts").alias("t")).agg(F.min("t"), F.max("t")).first()
+    width = (high - low + 3 * DAY) // BATCHES + 1
+    arrival = wall_micros("ts") + F.pmod(F.xxhash64("event_id"), F.lit(3 * DAY))
+    dealt = events.withColumn("slice", F.floor((arrival - low) / width))
+    for k in range(BATCHES):
+        dealt.where(F.col("slice") == k).drop("slice").coalesce(1).write.mode("append").parquet(folder)
+    return jobs.read_stream(spark, folder, files_per_batch=1), 3 + -(-width // DAY)
+
+
 @query("stm_latest_status", """
 SELECT user_id, event_id, event_type, value FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events
   WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 6 HOUR) WHERE rn = 1""")
 def stm_latest_status(spark: SparkSession, sf: str) -> DataFrame:
-    out, state = jobs.stream_paths(spark, "status")
+    out, checkpoint = jobs.stream_paths(spark, "status")
     stream = _arriving(spark, sf).select("user_id", "event_id", "event_type", "value", "ts")
-    jobs.latest_status(stream, ["user_id"], ["ts", "event_id"], out, state)
-    found = jobs.read_latest(spark, out, ["user_id"], "ts", ["ts", "event_id"], 6)
-    return found.select("user_id", "event_id", "event_type", "value")
+    jobs.latest_status(stream, ["user_id"], "ts", ["ts", "event_id"], out, checkpoint, 6, STATE_PARTITIONS)
+    return jobs.read_latest(spark, checkpoint, stream.schema, "ts", 6).select("user_id", "event_id", "event_type", "value")
 
 
 @query("stm_complete_once", f"""
 SELECT user_id, event_id, event_type FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE {_DONE_SQL}) WHERE rn = 1""")
 def stm_complete_once(spark: SparkSession, sf: str) -> DataFrame:
-    out, state = jobs.stream_paths(spark, "complete")
-    stream = _arriving(spark, sf).select("user_id", "event_id", "event_type", "ts")
-    jobs.complete_once(stream, ["user_id"], ["ts", "event_id"], "event_type", out, state, ("purchase", "signup"))
-    return jobs.read_first(spark, out, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+    out, checkpoint = jobs.stream_paths(spark, "complete")
+    stream, days = _arriving_late(spark, sf)
+    stream = stream.select("user_id", "event_id", "event_type", "ts")
+    jobs.complete_once(stream, ["user_id"], "ts", ["ts", "event_id"], "event_type", out, checkpoint, f"{days} days", ("purchase", "signup"), STATE_PARTITIONS)
+    return jobs.read_first(spark, checkpoint, stream.schema).select("user_id", "event_id", "event_type")
 
 
 @query("stm_screen", f"""

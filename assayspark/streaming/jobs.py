@@ -10,11 +10,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from assayspark.functions.columns import nan_to_null, row_sum
 from assayspark.operators.outliers import Bounds
 from assayspark.operators.runlog import COMPLETE
 from assayspark.plans.workspace import fresh_path
+from assayspark.streaming import state
 
 
 def read_stream(
@@ -37,71 +40,79 @@ def append_to_files(stream: DataFrame, out: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def latest_status(stream: DataFrame, task: Sequence[str], order: Sequence[str], out: str, checkpoint: str) -> None:
-    """Store the newest row per task of each batch under the batch number.
+def latest_status(
+    stream: DataFrame, task: Sequence[str], time: str, order: Sequence[str], out: str, checkpoint: str, hours: int = 1,
+    partitions: int | None = None,
+) -> StreamingQuery:
+    """Hold the newest row of every task seen in the last hours before the newest time.
 
-    A repeated batch replaces its own output. No state is kept between batches, so rows may
-    arrive in any order; ``read_latest`` keeps the newest over all batches.
+    The state of a task is one row. A timer removes it when the watermark, ``hours`` behind the newest
+    event, has passed it; rows that arrive later than that are older than any row still shown. Rows may
+    come in any order and again, and a later run goes on from the checkpoint. ``out`` gets one line per
+    change or expiry (append only); ``read_latest`` gives the present state.
     """
-    rest = [c for c in stream.columns if c not in task]
-
-    def store(batch: DataFrame, number: int) -> None:
-        newest = batch.groupBy(*task).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__row"))
-        newest.select(*task, "__row.*").write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    query = (
-        stream.writeStream.outputMode("append").foreachBatch(store)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    # a millisecond more than the hours, so that the watermark never passes a row that still counts
+    rows = state.packed(stream, task, time, order, f"{hours * 3_600_000 + 1} milliseconds")
+    schema = state.state_schema(rows, order)
+    changes = rows.groupBy(*task).transformWithState(
+        state.Newest(schema), T.StructType([T.StructField(state.ROW, T.StringType()), T.StructField("expired", T.BooleanType())]), "Append", "EventTime")
+    return _run(changes, out, checkpoint, partitions)
 
 
 def read_latest(
-    spark: SparkSession, out: str, task: Sequence[str], time: str, order: Sequence[str], hours: int = 1
+    spark: SparkSession, checkpoint: str, schema: T.StructType, time: str, hours: int = 1,
 ) -> DataFrame:
-    """Newest row per task among those within the last hours before the newest time seen."""
-    rows = spark.read.parquet(out).drop("batch")
-    rest = [c for c in rows.columns if c not in task]
-    last = rows.agg(F.max(time)).first()[0]
-    fresh = rows.where(F.col(time) >= F.lit(last) - F.expr(f"INTERVAL {int(hours)} HOURS"))
-    merged = fresh.groupBy(*task).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__row"))
-    return merged.select(*task, "__row.*")
+    """Newest row per task among those within the last hours before the newest time seen.
 
-
-def complete_once(
-    stream: DataFrame, task: Sequence[str], order: Sequence[str], status: str, out: str, checkpoint: str,
-    states: Sequence[str] = COMPLETE,
-) -> None:
-    """Store the completions of each batch, the first of each task only, under the batch number.
-
-    A repeated batch replaces its own output. No state is kept between batches, so a task may be
-    in several batches; ``read_first`` keeps the one that was first over all of them, for good.
+    Reads the state after the last batch, whose size follows the live tasks, and no earlier output.
+    ``schema`` is that of the stream.
     """
-    done = stream.where(F.col(status).isin(*states))
+    rows = state.held(spark, checkpoint, "latest", schema)
+    last = F.lit(rows.agg(F.max(time)).first()[0]).cast(schema[time].dataType)
+    return rows.where(F.col(time) >= last - F.expr(f"INTERVAL {int(hours)} HOURS"))
 
-    def store(batch: DataFrame, number: int) -> None:
-        _first(batch, task, order).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    query = (
-        done.writeStream.outputMode("append").foreachBatch(store)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-
-
-def _first(rows: DataFrame, task: Sequence[str], order: Sequence[str]) -> DataFrame:
-    rest = [c for c in rows.columns if c not in task]
-    return rows.groupBy(*task).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__row")).select(*task, "__row.*")
-
-
-def read_first(spark: SparkSession, out: str, task: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """One completion per task: the first over all batches."""
-    return _first(spark.read.parquet(out).drop("batch"), task, order)
-
-
-def compact(rows: DataFrame, out: str) -> None:
-    """Write what ``read_first`` or ``read_latest`` gave as the one batch of a new folder."""
-    rows.write.mode("overwrite").parquet(f"{out}/batch=-1")
+def complete_once(
+    stream: DataFrame, task: Sequence[str], time: str, order: Sequence[str], status: str, out: str, checkpoint: str,
+    lateness: str = "1 hour", states: Sequence[str] = COMPLETE, partitions: int | None = None,
+) -> StreamingQuery:
+    """Write the first completion of every task to ``out``, once for good.
+
+    A completion waits in the state until the watermark, ``lateness`` behind the newest event, has passed
+    it: an earlier one that arrives in time takes its place. Then it is written and moves to a second
+    state without end, one row per finished task, so repeated and late ones change nothing. What comes
+    later than ``lateness`` is dropped, and counted in the query's progress.
+    """
+    rows = state.packed(stream, task, time, order, lateness)
+    # the watermark follows all events, the state holds completions only: a condition with the time in it
+    # is not pushed below the watermark
+    done = F.get_json_object(F.col(state.ROW), f"$['{status}']").isin(*states)
+    schema = state.state_schema(rows, order)
+    done = F.when(F.unix_micros(state.TIME) > F.lit(-(1 << 62)), done)
+    firsts = rows.where(done).groupBy(*task).transformWithState(
+        state.FirstForGood(schema), T.StructType([T.StructField(state.ROW, T.StringType())]), "Append", "EventTime")
+    return _run(firsts, out, checkpoint, partitions)
+
+
+def read_first(spark: SparkSession, checkpoint: str, schema: T.StructType) -> DataFrame:
+    """One completion per task with ``final``: whether it was written, or may still give way to an earlier one."""
+    final = state.held(spark, checkpoint, "final", schema).withColumn("final", F.lit(True))
+    return final.unionByName(state.held(spark, checkpoint, "waiting", schema).withColumn("final", F.lit(False)))
+
+
+def read_written(spark: SparkSession, out: str, schema: T.StructType) -> DataFrame:
+    """The rows of an append-only output of ``latest_status`` or ``complete_once``."""
+    return state.unpacked(spark.read.parquet(out), F.col(state.ROW), schema)
+
+
+def _run(rows: DataFrame, out: str, checkpoint: str, partitions: int | None) -> StreamingQuery:
+    with state.keyed_state(rows.sparkSession, partitions):
+        query = (
+            rows.writeStream.format("parquet").outputMode("append")
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
+        )
+        query.awaitTermination()
+    return query
 
 
 def screen(

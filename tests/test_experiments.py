@@ -1,4 +1,6 @@
 import math
+import time
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
@@ -154,36 +156,84 @@ def test_status(spark):
     assert [r["task"] for r in runlog.latest_records(df, ["ts"], 2).collect()] == ["b", "a"]
 
 
-def test_streams_over_several_batches(spark, tmp_path):
-    folder = str(tmp_path / "in")
-    rows = status_rows(spark).orderBy("ts").collect()
-    for i, row in enumerate(rows):
-        spark.createDataFrame([row], STATUS).coalesce(1).write.mode("append").parquet(folder)
-    stream = jobs.read_stream(spark, folder, files_per_batch=2)
-    out, state = str(tmp_path / "status"), str(tmp_path / "status-state")
-    jobs.latest_status(stream, ["task"], ["ts", "epoch"], out, state)
-    found = jobs.read_latest(spark, out, ["task"], "ts", ["ts", "epoch"], hours=1)
-    assert sorted((r["task"], r["epoch"]) for r in found.collect()) == [("a", 3), ("b", 1)]
-    jobs.latest_status(stream, ["task"], ["ts", "epoch"], out, state)
-    again = jobs.read_latest(spark, out, ["task"], "ts", ["ts", "epoch"], hours=1)
-    assert again.count() == 2
-
-    out, state = str(tmp_path / "once"), str(tmp_path / "once-state")
-    for _ in range(2):  # the second run finds nothing new
-        jobs.complete_once(jobs.read_stream(spark, folder, files_per_batch=1), ["task"], ["ts", "epoch"], "status", out, state)
-    first = jobs.read_first(spark, out, ["task"], ["ts", "epoch"])
-    assert [r["task"] for r in first.collect()] == ["a"]
-    jobs.compact(first, str(tmp_path / "compact"))
-    assert jobs.read_first(spark, str(tmp_path / "compact"), ["task"], ["ts", "epoch"]).collect() == first.collect()
-
-
-def test_first_completion_holds_over_batches_in_any_order(spark, tmp_path):
-    folder = str(tmp_path / "in")
-    for day in (3, 1, 2):
-        spark.createDataFrame([("a", day, "done"), ("b", day, "open")], "task string, ts int, status string").coalesce(1).write.mode("append").parquet(folder)
-    out = str(tmp_path / "once")
-    jobs.complete_once(jobs.read_stream(spark, folder, files_per_batch=1), ["task"], ["ts"], "status", out, str(tmp_path / "state"))
-    assert [tuple(r) for r in jobs.read_first(spark, out, ["task"], ["ts"]).select("task", "ts").collect()] == [("a", 1)]
+EVENT = "task string, ts timestamp, epoch int, status string, loss double"
+
+
+def minute(n):
+    return datetime(2024, 1, 1, 12) + timedelta(minutes=n)
+
+
+def put(spark, folder, *rows):
+    """One file, which is one batch."""
+    spark.createDataFrame([(t, minute(m), e, s, loss) for t, m, e, s, loss in rows], EVENT).coalesce(1).write.mode("append").parquet(folder)
+    time.sleep(0.02)
+
+
+def latest(spark, checkpoint, schema):
+    return sorted((r["task"], r["epoch"], r["loss"]) for r in jobs.read_latest(spark, checkpoint, schema, "ts", 1).collect())
+
+
+def test_latest_status_holds_state_over_batches_and_restarts(spark, tmp_path):
+    folder, out, checkpoint = (str(tmp_path / x) for x in ("in", "out", "state"))
+    put(spark, folder, ("a", 0, 1, "running", 0.5), ("b", 10, 1, "running", None), ("a", 5, 2, "running", 0.25), (None, 5, 1, "x", 1.0))
+    put(spark, folder, ("a", 3, 9, "running", 9.0), ("c", 40, 1, "running", float("inf")), ("c", 39, 5, "running", 1.5))
+    schema = jobs.read_stream(spark, folder).schema
+
+    def run():
+        return jobs.latest_status(jobs.read_stream(spark, folder, files_per_batch=1), ["task"], "ts", ["ts", "epoch"], out, checkpoint, 1, 2)
+
+    query = run()
+    assert len([p for p in query.recentProgress if p["numInputRows"]]) == 2
+    assert latest(spark, checkpoint, schema) == [("a", 2, 0.25), ("b", 1, None), ("c", 1, float("inf"))]
+    # the second run goes on from the checkpoint: an old row changes nothing, a new hour empties the state
+    put(spark, folder, ("a", 4, 3, "running", 0.1), ("b", 64, 2, "running", 0.75))
+    put(spark, folder, ("d", 66, 1, "running", 1.0), ("a", 2, 7, "late", 7.0))
+    query = run()
+    assert sum(p["numInputRows"] for p in query.recentProgress) == 4
+    assert latest(spark, checkpoint, schema) == [("b", 2, 0.75), ("c", 1, float("inf")), ("d", 1, 1.0)]
+    assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] == 3
+    log = [(r["task"], r["epoch"]) for r in jobs.read_written(spark, out, schema).collect()]
+    assert log.count(("a", 2)) == 2 and ("a", 9) not in log  # set once, expired once
+    assert spark.read.parquet(out).where("expired").count() == 1
+    # nothing new: the state stays, and no batch reads the old ones again
+    assert sum(p["numInputRows"] for p in run().recentProgress) == 0 and len(latest(spark, checkpoint, schema)) == 3
+
+
+def test_a_newer_row_moves_the_expiry(spark, tmp_path):
+    folder, out, checkpoint = (str(tmp_path / x) for x in ("in", "out", "state"))
+    for rows in ([("a", 0, 1, "r", 1.0)], [("a", 50, 2, "r", 1.0)], [("b", 70, 1, "r", 1.0)], [("b", 100, 2, "r", 1.0)], [("b", 111, 3, "r", 1.0)]):
+        put(spark, folder, *rows)
+        query = jobs.latest_status(jobs.read_stream(spark, folder, files_per_batch=1), ["task"], "ts", ["ts"], out, checkpoint, 1, 1)
+        live = latest(spark, checkpoint, jobs.read_stream(spark, folder).schema)
+        now = rows[0][1]
+        assert [x[0] for x in live] == (["a"] if now < 70 else ["a", "b"] if now <= 110 else ["b"])
+    assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] == 1
+
+
+def test_completions_are_written_once_for_good(spark, tmp_path):
+    folder, out, checkpoint = (str(tmp_path / x) for x in ("in", "out", "state"))
+    schema = spark.createDataFrame([], EVENT).schema
+    progress = []
+
+    def run(*rows):
+        put(spark, folder, *rows)
+        query = jobs.complete_once(
+            jobs.read_stream(spark, folder, files_per_batch=1), ["task"], "ts", ["ts", "epoch"], "status", out, checkpoint, "30 minutes", partitions=2)
+        progress.append(query.recentProgress[-1]["stateOperators"][0])
+        return sorted((r["task"], r["epoch"], r["final"]) for r in jobs.read_first(spark, checkpoint, schema).collect())
+
+    assert run(("a", 20, 5, "done", 0.1), ("b", 21, 1, "running", 1.0)) == [("a", 5, False)]
+    # an earlier completion in time replaces the one that waits; a repeated one does not
+    assert run(("a", 10, 3, "done", 0.2), ("a", 20, 5, "done", 0.1), ("b", 22, 2, "done", 1.0)) == [("a", 3, False), ("b", 2, False)]
+    assert run(("c", 45, 1, "running", 1.0)) == [("a", 3, False), ("b", 2, False)]
+    # too late for its task, repeated, and late within the allowance
+    assert run(("a", 11, 1, "done", 0.3), ("a", 46, 9, "done", 0.1), ("b", 21, 1, "done", 1.0), ("c", 90, 2, "finished", 1.0)) == [
+        ("a", 3, True), ("b", 1, True), ("c", 2, False)]
+    assert run(("d", 200, 1, "running", 0.0)) == [("a", 3, True), ("b", 1, True), ("c", 2, True)]
+    written = sorted((r["task"], r["epoch"], r["ts"]) for r in jobs.read_written(spark, out, schema).collect())
+    assert written == [("a", 3, minute(10)), ("b", 1, minute(21)), ("c", 2, minute(90))]
+    # one state row per finished task and none that waits; its size is told
+    assert progress[-1]["numRowsTotal"] == 3 and progress[-1]["memoryUsedBytes"] > 0
 
 
 def test_stream_screen(spark, tmp_path):
