@@ -12,7 +12,7 @@ from assayspark.catalog.registry import (
 from assayspark.operators import evaluate, models
 from assayspark.plans.workspace import fresh_path
 from assayspark.roles import TableRoles
-from assayspark.sources import naming, sinks, tables
+from assayspark.sources import naming, sinks, tables, vectors
 
 
 @query("src_read", "SELECT * FROM orders")
@@ -69,13 +69,17 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
 
 
-@query("src_attach_vectors", f"""
-SELECT d.doc_id, d.lang, d.source, d.n_chars, e.label, {r("list_sum(e.embedding::DOUBLE[])", "total", 5)}
-FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id""")
+@query("src_attach_vectors", """
+SELECT d.doc_id, d.lang, d.source, d.n_chars, e.label, CAST(t.i - 1 AS INTEGER) AS place, CAST(e.embedding[t.i] AS DOUBLE) AS value
+FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id, unnest(range(1, len(e.embedding) + 1)) AS t(i)""")
 def src_attach_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    joined = tables.attach_vectors(_samples(spark, sf), _vectors(spark, sf), "doc_id")
-    total = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x)
-    return joined.select("doc_id", "lang", "source", "n_chars", "label", rounded(total, 5).alias("total"))
+    """Every vector goes out to a file of its own and comes back through the file source, number by number."""
+    folder = fresh_path(spark, "vectors")
+    stored = _vectors(spark, sf)
+    vectors.write_vectors(stored, "doc_id", "embedding", folder)
+    read = vectors.read_vectors(spark, folder).select(F.col("name").cast("bigint").alias("doc_id"), "vector")
+    joined = tables.attach_vectors(tables.attach_vectors(_samples(spark, sf), read, "doc_id"), stored.select("doc_id", "label"), "doc_id")
+    return joined.select("doc_id", "lang", "source", "n_chars", "label", F.posexplode("vector").alias("place", "value")).withColumn("value", F.col("value").cast("double"))
 
 
 @query("src_missing_vectors", """

@@ -1,9 +1,10 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from assayspark.operators import models
 from assayspark.roles import TableRoles
-from assayspark.sources import naming, sinks, tables
+from assayspark.sources import naming, sinks, tables, vectors
 
 
 @pytest.mark.parametrize("columns, found", [
@@ -76,6 +77,65 @@ def test_vectors(spark):
     assert [r["k"] for r in tables.missing_vectors(samples, vectors, "k").collect()] == ["b"]
 
 
+def bits(vector):
+    return np.array(vector, dtype=np.float32).tobytes()
+
+
+def test_vector_files_come_back_bit_for_bit(spark, sf, tmp_path):
+    stored = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("name"), F.col("embedding").cast("array<float>").alias("vector"))
+    odd = spark.createDataFrame([(-1, [float("nan"), -0.0, 1e-45, float("inf")]), (-2, []), (None, [1.0]), (-3, None)], "name bigint, vector array<float>")
+    folder = f"file:{tmp_path}/vectors"
+    every = stored.unionByName(odd)
+    for _ in range(2):  # a second write replaces each file by itself
+        vectors.write_vectors(every, "name", "vector", folder)
+    want = {str(r["name"]): bits(r["vector"]) for r in every.collect() if r["name"] is not None and r["vector"] is not None}
+    for frame in (vectors.read_vectors(spark, folder), vectors.read_through_spark(spark, folder)):
+        rows = frame.collect()
+        assert len(rows) == len(want) and {r["name"]: bits(r["vector"]) for r in rows} == want and not any(r["problem"] for r in rows)
+    assert np.load(tmp_path / "vectors" / "-1.npy").dtype == np.float32
+
+
+def test_vector_files_of_other_kinds_and_broken_ones(spark, tmp_path):
+    folder = tmp_path / "in"
+    (folder / "deep").mkdir(parents=True)
+    for name, values in {"double": np.array([1.5, 2.5]), "big": np.array([1, 2], dtype=">i4"), "deep/row": np.array([[3.0, 4.0]], dtype="f4"),
+                         "matrix": np.ones((2, 2)), "words": np.array(["x"]), "scalar": np.float32(7)}.items():
+        np.save(folder / f"{name}.npy", values)
+    with open(folder / "second.npy", "wb") as file:
+        np.lib.format.write_array(file, np.arange(3, dtype="f4"), version=(2, 0))
+    whole = (folder / "double.npy").read_bytes()
+    for name, data in {"empty": b"", "text": b"hello world", "cut": whole[:-4], "head": whole[:9], "half": whole[:30], "longer": whole + b"x"}.items():
+        (folder / f"{name}.npy").write_bytes(data)
+    (folder / "other.txt").write_text("no vector")
+    rows = {r["name"]: r for r in vectors.read_vectors(spark, str(folder)).collect()}
+    good = {"double": [1.5, 2.5], "big": [1, 2], "row": [3, 4], "second": [0, 1, 2], "scalar": [7]}
+    assert {k: r["vector"] for k, r in rows.items() if r["problem"] is None} == good
+    assert {k for k, r in rows.items() if r["vector"] is None} == {"matrix", "words", "empty", "text", "cut", "head", "half", "longer"}
+    assert "shape" in rows["matrix"]["problem"] and "signature" in rows["text"]["problem"] and rows["empty"]["problem"] == "empty file"
+    same = {r["name"]: (r["vector"], r["problem"]) for r in vectors.read_through_spark(spark, str(folder)).collect()}
+    assert same == {k: (r["vector"], r["problem"]) for k, r in rows.items() if k != "empty"}
+    listed = {r["name"]: r["problem"] for r in vectors.read_vectors(spark, str(folder), ["double", "gone"]).collect()}
+    assert listed == {"double": None, "gone": "missing"}
+
+
+def test_vector_partitions_follow_file_sizes(spark, tmp_path):
+    sizes = [10, 10, 10, 5000, 10, 10, 2000, 2000, 2000, 10]
+    for i, n in enumerate(sizes):
+        np.save(tmp_path / f"{i:02}.npy", np.arange(n, dtype="f4"))
+    limit = 20_000
+    frame = vectors.read_vectors(spark, str(tmp_path), bytes_per_partition=limit)
+    shares = frame.select("name", F.size("vector").alias("n"), F.spark_partition_id().alias("p")).collect()
+    by = {}
+    for r in shares:
+        by.setdefault(r["p"], []).append(r["n"])
+    assert len(shares) == len(sizes) and len(by) > 2
+    assert all(len(ns) == 1 or sum(4 * n + 128 + vectors.OPEN_COST for n in ns) <= limit for ns in by.values())
+    plan = vectors.plan([("a", 5), ("b", 10 * limit), ("c", 5)], limit)
+    assert [p.paths for p in plan] == [("a",), ("b",), ("c",)] and vectors.plan([], 1) == []
+    (tmp_path / "none").mkdir()
+    assert vectors.read_vectors(spark, str(tmp_path / "none")).collect() == []
+
+
 def test_history_export_order_and_blanks(spark):
     df = spark.createDataFrame([(1, None, 5), (2, "u", None)], "id int, username string, n_samples int")
     rows = sinks.history_export(df, ["id", "username", "n_samples"]).collect()
