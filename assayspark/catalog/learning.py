@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assayspark.catalog.registry import (
-    LINE_KEY, LINE_KEY_SQL, LINE_NUMBERS, PREDICTIONS_SQL, SEED, below_sql, query, r, round_all, rounded,
-    split_predictions, table,
+    LINE_KEY, LINE_KEY_SQL, LINE_NUMBERS, PREDICTIONS_SQL, SEED, below_sql, query, r, round_all, rounded, split_predictions, table, uniform_sql,
 )
 from assayspark.catalog.tables import METRICS_BODY
 from assayspark.operators import augment, evaluate, models, prepare
@@ -342,16 +343,54 @@ def sct_extent(spark: SparkSession, sf: str) -> DataFrame:
 # ------------------------------------------------------------------- augmentation
 
 
-@query("aug_fit", " UNION ALL ".join(
-    f"SELECT '{a}' AS a, '{b}' AS b, {r(f'avg({a})', 'mean', 4)}, {r(f'stddev_pop({a})', 'std', 4)}, {r(f'corr({a}, {b})', 'rho')} FROM lineitem"
-    for i, a in enumerate(LINE_NUMBERS) for b in LINE_NUMBERS[i:]))
+def _copula_sql() -> str:
+    """Quantile functions, normal scores, their correlations and the lower factor of the line items, as CTEs."""
+    shares = ", ".join(f"{p!r}::DOUBLE" for p in augment.knot_shares())
+    d = range(len(LINE_NUMBERS))
+    reach, density = augment.REACH, f"{augment.DENSITY}.0::DOUBLE"
+    quantiles = " UNION ALL ".join(f"SELECT {j} AS j, quantile_cont({c}, [{shares}]) AS q FROM lineitem" for j, c in enumerate(LINE_NUMBERS))
+    values = " UNION ALL ".join(f"SELECT DISTINCT {j} AS j, {c} AS x FROM lineitem" for j, c in enumerate(LINE_NUMBERS))
+    joins = " ".join(f"JOIN scored s{j} ON s{j}.j = {j} AND s{j}.x = {c}" for j, c in enumerate(LINE_NUMBERS))
+    pairs = [(i, j) for i in d for j in d if i < j]
+    rho = {**{(i, j): f"r{i}{j}" for i, j in pairs}, **{(j, i): f"r{i}{j}" for i, j in pairs}}
+    steps = []  # the factor, one cell after the other
+    for j in d:
+        for i in d:
+            if i >= j:
+                left = " - ".join([rho[i, j] if i != j else "1.0::DOUBLE", *[f"f{i}{k} * f{j}{k}" for k in range(j)]])
+                steps.append(f"sqrt({left}) AS f{j}{j}" if i == j else f"({left}) / f{j}{j} AS f{i}{j}")
+    return f"""quant AS ({quantiles}),
+counted AS (SELECT j, x, q, len(list_filter(q, lambda y: y < x)) AS lo, len(list_filter(q, lambda y: y <= x)) AS hi FROM ({values}) JOIN quant USING (j)),
+scored AS (SELECT j, x, CASE WHEN hi > lo THEN (lo + hi - 1) / 2.0::DOUBLE ELSE lo - 1 + (x - q[lo]) / (q[lo + 1] - q[lo]) END / {density} - {reach} AS z FROM counted),
+rho AS (SELECT {", ".join(f"corr(s{i}.z, s{j}.z) AS r{i}{j}" for i, j in pairs)} FROM lineitem {joins}),
+factor AS (SELECT {", ".join(steps)} FROM rho)"""
+
+
+def _synthetic_sql() -> str:
+    """Synthetic values before they are cut and rounded: id, then one column per number."""
+    d = range(len(LINE_NUMBERS))
+    draw = lambda j, kind: uniform_sql(f"{SEED}:{j}:{kind}", "id")
+    noise = ", ".join(f"sqrt(-2.0::DOUBLE * ln({draw(j, 'r')})) * cos({2 * math.pi!r}::DOUBLE * {draw(j, 'a')}) AS n{j}" for j in d)
+    place = ", ".join(
+        f"least(greatest(({' + '.join(f'f{j}{k} * n{k}' for k in range(j + 1))} + {augment.REACH}) * {augment.DENSITY}, 0), {augment.STEPS}) AS t{j}" for j in d)
+    before = ", ".join(f"CAST(least(floor(t{j}), {augment.STEPS - 1}) AS INT) AS b{j}" for j in d)
+    value = ", ".join(f"q{j}.q[b{j} + 1] + (t{j} - b{j}) * (q{j}.q[b{j} + 2] - q{j}.q[b{j} + 1]) AS {c}" for j, c in enumerate(LINE_NUMBERS))
+    joins = " ".join(f"JOIN quant q{j} ON q{j}.j = {j}" for j in d)
+    return f"""SELECT id, {value} FROM (SELECT *, {before} FROM (SELECT id, {place} FROM (
+  SELECT id, {noise} FROM (SELECT unnest(range(1, count(*) + 1)) AS id FROM lineitem)), factor)) {joins}"""
+
+
+@query("aug_fit", f"WITH {_copula_sql()}" + " UNION ALL ".join([
+    f"""
+SELECT '{c}' AS a, '' AS b, CAST(unnest(range(0, {augment.STEPS + 1})) AS INT) AS place, unnest(list_transform(q, lambda y: {r('y', digits=4)})) AS value FROM quant WHERE j = {j}"""
+    for j, c in enumerate(LINE_NUMBERS)] + [
+    f"SELECT '{a}', '{b}', -1, {r(f'r{i}{j}')} FROM rho" for i, a in enumerate(LINE_NUMBERS) for j, b in enumerate(LINE_NUMBERS) if i < j]))
 def aug_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored quantiles of every column by place, and the correlation of the normal scores of every pair (place -1)."""
     shape = augment.fit_joint(table(spark, sf, "lineitem"), LINE_NUMBERS)
-    rho = shape.factor @ shape.factor.T
-    rows = [(a, b, shape.mean[i], shape.std[i], float(rho[i, j]))
-            for i, a in enumerate(LINE_NUMBERS) for j, b in enumerate(LINE_NUMBERS) if j >= i]
-    made = spark.createDataFrame(rows, "a string, b string, mean double, std double, rho double")
-    return round_all(round_all(made, "mean", "std", digits=4), "rho")
+    rows = [(c, "", k, round(float(v), 4) + 0.0) for c, q in zip(LINE_NUMBERS, shape.quantiles, strict=True) for k, v in enumerate(q)]
+    rows += [(a, b, -1, round(float(shape.correlation[i, j]), 6) + 0.0) for i, a in enumerate(LINE_NUMBERS) for j, b in enumerate(LINE_NUMBERS) if i < j]
+    return spark.createDataFrame(rows, "a string, b string, place int, value double")
 
 
 def _synthetic(spark: SparkSession, sf: str) -> DataFrame:
@@ -361,24 +400,10 @@ def _synthetic(spark: SparkSession, sf: str) -> DataFrame:
     return prepare.postprocess(augment.name_rows(made), LINE_NUMBERS)
 
 
-@query("aug_generate", f"""
-SELECT 'Generated_' || (i + 1) AS "Image_Name", true AS inside, true AS like_real FROM (SELECT unnest(range(count(*))) AS i FROM lineitem)""")
+@query("aug_generate", f"""WITH {_copula_sql()}
+SELECT 'Generated_' || id AS "Image_Name", {", ".join(r(f"greatest({c}, 0)", c, 4) for c in LINE_NUMBERS)} FROM ({_synthetic_sql()})""")
 def aug_generate(spark: SparkSession, sf: str) -> DataFrame:
-    """Every synthetic row by name: its values are rounded and within a deviation of the real mean, and
-    means and correlations over all rows are near the real ones."""
-    made, real = _synthetic(spark, sf), table(spark, sf, "lineitem")
-    pairs = [(a, b) for i, a in enumerate(LINE_NUMBERS) for b in LINE_NUMBERS[i + 1 :]]
-
-    def told(df: DataFrame) -> list[float]:
-        return list(df.agg(*[F.avg(c) for c in LINE_NUMBERS], *[F.stddev_pop(c) for c in LINE_NUMBERS], *[F.corr(a, b) for a, b in pairs]).first())
-
-    have, want, k = told(made), told(real), len(LINE_NUMBERS)
-    near = all(abs(x - y) < 0.05 * s for x, y, s in zip(have[:k], want[:k], want[k : 2 * k], strict=True))
-    near = near and all(abs(x - y) < 0.2 for x, y in zip(have[2 * k :], want[2 * k :], strict=True))
-    good = F.lit(True)
-    for j, c in enumerate(LINE_NUMBERS):
-        good = good & (F.abs(F.col(c) - F.lit(want[j])) <= want[k + j] + 1e-4) & (F.col(c) == F.round(c, 4))
-    return made.select("Image_Name", good.alias("inside"), F.lit(near).alias("like_real"))
+    return _synthetic(spark, sf).select("Image_Name", *LINE_NUMBERS)
 
 
 @query("aug_name", "SELECT c_custkey, 'Generated_' || (c_custkey + 1) AS \"Image_Name\" FROM customer")

@@ -1,7 +1,14 @@
-"""Synthetic rows drawn from the joint distribution of the real ones."""
+"""Synthetic rows drawn from the joint distribution of the real ones: a Gaussian copula.
+
+Every column keeps its own shape as a quantile function, stored at normal scores in equal steps; what
+columns have to do with each other is the correlation of their normal scores. A synthetic row is a
+correlated normal vector, sent through the quantile functions, so no value leaves the range of its column
+and none piles up at a bound that the real values do not have.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -12,62 +19,111 @@ from pyspark.sql import functions as F
 
 from assayspark.functions.columns import normal
 from assayspark.plans.gram import grouped_gram
+from assayspark.plans.quantiles import quantile_functions
+
+#: Normal scores at which a quantile function is stored: from -REACH to REACH, DENSITY to a deviation.
+REACH, DENSITY = 4, 32
+STEPS = 2 * REACH * DENSITY
+#: No more than this share of a column lies between two stored quantiles, which bounds the distance between the
+#: distribution of synthetic values and that of the real ones (beside the chance of the draw).
+LARGEST_GAP = math.erf(0.5 / DENSITY / math.sqrt(2))
+
+
+def knot_shares() -> list[float]:
+    """The share of values below each stored quantile; the outermost are the smallest and the largest value."""
+    inner = [0.5 * (1 + math.erf((k / DENSITY - REACH) / math.sqrt(2))) for k in range(1, STEPS)]
+    return [0.0, *inner, 1.0]
 
 
 @dataclass(frozen=True)
 class JointShape:
-    """Means, deviations and the factor of the correlation matrix; d and d x d numbers."""
+    """Quantile functions, correlation of the normal scores and its lower factor; d x (STEPS + 1) and d x d numbers."""
 
     columns: tuple[str, ...]
-    mean: tuple[float, ...]
-    std: tuple[float, ...]
+    quantiles: np.ndarray
+    correlation: np.ndarray
     factor: np.ndarray
     rows: int
 
 
+def normal_scores(values: np.ndarray, quantiles: np.ndarray) -> np.ndarray:
+    """Normal scores of real values: between two quantiles in proportion, on several equal ones their middle."""
+    low, high = np.searchsorted(quantiles, values, "left"), np.searchsorted(quantiles, values, "right")
+    before = np.clip(low - 1, 0, STEPS - 1)
+    width = quantiles[before + 1] - quantiles[before]
+    between = before + (values - quantiles[before]) / np.where(width > 0, width, 1.0)
+    return np.where(high > low, (low + high - 1) / 2, between) / DENSITY - REACH
+
+
+def values_at(scores: np.ndarray, quantiles: np.ndarray) -> np.ndarray:
+    """The quantile function at normal scores; beyond the outermost it stays there."""
+    place = np.clip((scores + REACH) * DENSITY, 0, STEPS)
+    before = np.minimum(np.floor(place).astype(np.int64), STEPS - 1)
+    return quantiles[before] + (place - before) * (quantiles[before + 1] - quantiles[before])
+
+
+def lower_factor(correlation: np.ndarray) -> np.ndarray:
+    """Cholesky factor; a column that follows from those before it gets no noise of its own."""
+    d = len(correlation)
+    factor = np.zeros((d, d))
+    for j in range(d):
+        left = correlation[j, j] - factor[j, :j] @ factor[j, :j]
+        if left > 1e-9:
+            factor[j, j] = math.sqrt(left)
+            factor[j + 1 :, j] = (correlation[j + 1 :, j] - factor[j + 1 :, :j] @ factor[j, :j]) / factor[j, j]
+    return factor
+
+
 def fit_joint(df: DataFrame, columns: Sequence[str]) -> JointShape:
-    """Two passes over the complete rows; the factor is computed from the d x d sums."""
-    rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
-    centre = list(rows.agg(*[F.avg(c) for c in columns]).first())
-    if any(v is None for v in centre):
+    """Exact quantiles of the complete rows, then one pass for the sums of their normal scores."""
+    rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).replace(float("nan"), None).dropna()
+    found = quantile_functions(rows, columns, knot_shares())
+    if any(found[c][0] is None for c in columns):
         raise ValueError("no complete row to learn from")
-    sums = grouped_gram(rows.withColumn("__one", F.lit(0)), columns, "__one", centre)[0]
-    n = int(round(sums[0, 0]))
-    covariance = sums[1:, 1:] / n
-    std = np.sqrt(np.diag(covariance))
+    quantiles = np.array([found[c] for c in columns], dtype=float)
+    names = list(columns)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = pd.DataFrame({f"z{j}": normal_scores(pdf[c].to_numpy(float), quantiles[j]) for j, c in enumerate(names)})
+            out["__one"] = 0
+            yield out
+
+    d = len(names)
+    scores = rows.mapInPandas(score, ", ".join(f"z{j} double" for j in range(d)) + ", `__one` int")
+    sums = grouped_gram(scores, [f"z{j}" for j in range(d)], "__one")[0]
+    n, mean = sums[0, 0], sums[0, 1:] / sums[0, 0]
+    covariance = sums[1:, 1:] / n - np.outer(mean, mean)
+    std = np.sqrt(np.clip(np.diag(covariance), 0.0, None))
     safe = np.where(std > 0, std, 1.0)
     correlation = covariance / np.outer(safe, safe)
-    values, vectors = np.linalg.eigh(correlation)
-    factor = vectors * np.sqrt(np.clip(values, 0.0, None))
-    return JointShape(tuple(columns), tuple(centre), tuple(float(s) for s in std), factor, n)
+    np.fill_diagonal(correlation, 1.0)
+    return JointShape(tuple(columns), quantiles, correlation, lower_factor(correlation), int(round(n)))
 
 
 def generate(
-    spark: SparkSession, shape: JointShape, rows: int = 10_000, seed: int = 70, bound: float | None = 1.0,
-    noise: DataFrame | None = None,
+    spark: SparkSession, shape: JointShape, rows: int = 10_000, seed: int = 70, noise: DataFrame | None = None,
 ) -> DataFrame:
-    """Correlated rows; the standardised value is kept inside [-bound, bound].
+    """Correlated rows with the columns' own distributions.
 
     The noise of a row depends on (seed, row number) only, so the result does not depend on
-    partitioning and a lost task draws the same rows again.
+    partitioning and a lost task draws the same rows again. Its md5 numbers are the same in SQL.
     """
     d = len(shape.columns)
     if noise is None:
         ids = spark.range(1, rows + 1)
         noise = ids.select("id", *[normal(f"{seed}:{j}", "id").alias(f"z{j}") for j in range(d)])
-    mean, std, factor = np.array(shape.mean), np.array(shape.std), shape.factor
+    quantiles, factor = shape.quantiles, shape.factor
 
-    def correlate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def shaped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             z = pdf[[f"z{j}" for j in range(d)]].to_numpy(float) @ factor.T
-            if bound is not None:
-                z = np.clip(z, -bound, bound)
-            out = pd.DataFrame(z * std + mean, columns=[f"v{j}" for j in range(d)])
+            out = pd.DataFrame({f"v{j}": values_at(z[:, j], quantiles[j]) for j in range(d)})
             out.insert(0, "id", pdf["id"].to_numpy())
             yield out
 
     schema = "id bigint, " + ", ".join(f"v{j} double" for j in range(d))
-    made = noise.mapInPandas(correlate, schema)
+    made = noise.mapInPandas(shaped, schema)
     return made.select("id", *[F.col(f"v{j}").alias(c) for j, c in enumerate(shape.columns)])
 
 

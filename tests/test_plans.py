@@ -127,3 +127,16 @@ def test_exact_quantiles_with_infinite_values(spark):
     ranks = [100, 250, 700, 1150, 1400]
     got = quantiles.exact_quantiles(df, ["a"], [k / 1499 for k in ranks], budget=50)["a"]
     assert got == pytest.approx([ordered[k] for k in ranks])
+
+
+def test_quantile_functions_from_tallies(spark):
+    rng = np.random.default_rng(8)
+    real = pd.DataFrame({"a": rng.normal(size=3000), "b": np.floor(rng.random(3000) * 4), "c": 2.0})
+    df = spark.createDataFrame(real).unionByName(spark.createDataFrame([(None, float("nan"), None)], "a double, b double, c double")).repartition(6)
+    shares = [0.0, *np.sort(rng.random(200)).tolist(), 1.0]
+    for given in ({}, {"budget": 10, "rows_per_chunk": 100}):
+        found = quantiles.quantile_functions(df, ["a", "b", "c"], shares, **given)
+        for c in real:
+            np.testing.assert_allclose(found[c], np.quantile(real[c], shares), atol=1e-12)
+    none = quantiles.quantile_functions(df.select("a").unionByName(df.select(F.lit(None).cast("double").alias("e")), allowMissingColumns=True), ["a", "e"], [0.5], budget=10)
+    assert none["e"] == [None] and none["a"][0] == pytest.approx(np.median(real["a"]))
