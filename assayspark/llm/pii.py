@@ -1,32 +1,42 @@
 """Personal data: base patterns, and terms that would give a protected entity away.
 
 Everything here is a DataFrame expression. The four base kinds are patterns with a check each;
-their positions follow from the lengths of the pieces between the matches. Every value found is
-a protected entity. Terms are all words of the documents that hold an entity, at any distance
-from it. Over the whole corpus
+their positions follow from the lengths of the pieces between the matches. Protected entities are the
+values found and what recurs of them: an address's domain and the names in front of it, a host's
+network, a card's issuer and a number's exchange. Terms are all words of the documents that hold an
+entity, at any distance from it. Over the whole corpus
 
     disclosure(term, entity) = PMI(term; entity) / IC(entity)
                              = log(N n(term, entity) / (n(term) n(entity))) / log(N / n(entity))
 
 with N different texts, n(x) of them with x, is 1 for a term that is met with the entity only and 0 for
-one that is independent of it. Copies of a text count once in all four counts. Terms seen with the entity in ``SUPPORT`` different texts and with a
-disclosure of ``LIMIT`` or more are spans of the kind ``term`` wherever they stand in a document
-with that entity; other documents are left alone.
+one that is independent of it. Copies of a text count once in all four counts. Terms seen with a value in
+``SUPPORT`` different texts, or with a part in ``PART_SUPPORT`` (parts are common enough for two texts to meet
+by chance), and with a disclosure of ``LIMIT`` or more are spans of the kind ``term`` wherever they stand
+in a document with that entity; other documents are left alone.
+
+Base spans are worked out once and written. n(term) is first bounded: the texts with personal data
+alone are a lower bound, and all rows, copies included, an upper one, for which tasks sum up per word before
+anything is shuffled. Only terms between the two are counted exactly. Positions are worked out for texts with
+a marked term only, one row per word, so time is linear in the text.
 
 Defined cases: a null text is empty; overlapping spans are all listed, and are replaced as one;
-repeated rows count each and get equal results; an entity found in every document discloses
-nothing; tables without personal data are returned as they are.
+repeated rows get equal results; an entity found in every document discloses nothing; terms of equal score are
+all marked; texts of any length are searched whole; tables without personal data are returned as they are,
+empty ones as well; further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assayspark.llm.shared import fresh, materialize, query, table
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 SUPPORT = 2
+PART_SUPPORT = 3
 LIMIT = 0.9
 
 # A run of characters is only tried from its start (or from where the last match ended), and
@@ -118,85 +128,118 @@ def blanked(text: Column, spans: Column) -> Column:
         lambda state: F.concat(F.array_join(state["out"], ""), F.substring(text, state["at"] + 1, F.char_length(text))))
 
 
-def entity(text: Column, s: Column) -> Column:
-    return F.xxhash64(s["kind"], fold(F.substring(text, s["start"] + 1, s["end"] - s["start"])))
+def entities(text: Column, s: Column) -> Column:
+    """Array of (entity, least): the value of a span and its recurring parts, with the texts a term must share with them."""
+    value = fold(F.substring(text, s["start"] + 1, s["end"] - s["start"]))
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    name = lambda kind, part, least: F.struct(F.xxhash64(F.lit(kind), part).alias("entity"), F.lit(least).alias("least"))
+    local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
+    network = F.regexp_replace(value, r"\.[0-9]+$", "")
+    names = F.transform(F.regexp_extract_all(local, F.lit("[a-z]{3,}"), F.lit(0)), lambda n: name("name", n, PART_SUPPORT))
+    kind = lambda k: s["kind"] == KINDS.index(k)
+    return (
+        F.when(kind("email"), F.concat(F.array(name("email", value, SUPPORT), name("domain", domain, PART_SUPPORT)), names))
+        .when(kind("ip"), F.array(name("ip", value, SUPPORT), name("network", network, PART_SUPPORT)))
+        .when(kind("card"), F.array(name("card", digits, SUPPORT), name("issuer", F.substring(digits, 1, 6), PART_SUPPORT)))
+        .otherwise(F.array(name("phone", digits, SUPPORT), name("exchange", F.substring(digits, F.lit(1), F.char_length(digits) - 7), PART_SUPPORT))))
 
 
-def holders(found: DataFrame) -> DataFrame:
-    """(body, entity), once each, of the texts with base spans. ``found`` has key, text and spans."""
-    rows = found.where(F.size("spans") > 0)
-    return rows.select(
-        F.xxhash64("text").alias("body"),
-        F.explode(F.array_distinct(F.transform("spans", lambda s: entity(F.col("text"), s)))).alias("entity")).distinct()
+def body_of(text: str) -> Column:
+    """Hash of a text, null as empty; equal texts have the same."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
-def terms_of(found: DataFrame) -> DataFrame:
-    """(key, body, term, start, end) of every word of the documents with base spans. Base spans count as blank."""
-    rows = found.where(F.size("spans") > 0)
-    # one-element generators keep the optimiser from working the arrays out again for every use
-    rows = rows.select("key", "text", F.explode(F.array("spans")).alias("spans"))
-    rows = rows.select("key", F.xxhash64("text").alias("body"), F.explode(F.array(blanked(F.col("text"), F.col("spans")))).alias("plain"))
-    rows = rows.select("key", "body", "plain", F.explode(places(F.col("plain"), WORD, lambda m: F.lit(True), KINDS.index("term"))).alias("w"))
-    start, end = F.col("w.start"), F.col("w.end")
-    return rows.select("key", "body", fold(F.substring("plain", start + 1, end - start)).alias("term"), start.alias("start"), end.alias("end"))
+def with_spans(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, key, body, spans, text) of all documents, written; the text only where there are spans."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("key"), body_of(text).alias("body"), t.alias("text"))
+    # a one-element generator keeps the optimiser from working the spans out again for every use
+    rows = rows.select("*", F.explode(F.array(base_spans(F.col("text")))).alias("spans"))
+    return materialize(rows.withColumn("text", F.when(F.size("spans") > 0, F.col("text"))), "spans")
 
 
-def bodies(docs: DataFrame, text: str) -> DataFrame:
-    """(body, text) of all documents, null as empty; equal texts have the same body."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.xxhash64(t).alias("body"), t.alias("text"))
+def bodies_with_spans(found: DataFrame) -> DataFrame:
+    """(body, text, spans), one row per different text with base spans."""
+    return found.where(F.size("spans") > 0).select("body", "text", "spans").dropDuplicates(["body"])
+
+
+def holders(texts: DataFrame) -> DataFrame:
+    """(body, entity, least), once each."""
+    every = F.flatten(F.transform("spans", lambda s: entities(F.col("text"), s)))
+    return texts.select("body", F.explode(F.array_distinct(every)).alias("e")).select("body", "e.*")
+
+
+def plain_of(texts: DataFrame) -> DataFrame:
+    """(body, plain): the texts with blanks in place of base spans."""
+    return texts.select("body", F.explode(F.array(blanked(F.col("text"), F.col("spans")))).alias("plain"))
+
+
+def words_of(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(fold(text), F.lit(WORD), F.lit(0)))
 
 
-def disclosing(held: DataFrame, terms: DataFrame, docs: DataFrame, text: str, n: int, limit: float = LIMIT, support: int = SUPPORT) -> DataFrame:
+def disclosing(held: DataFrame, terms: DataFrame, docs: DataFrame, text: str, n: int, limit: float = LIMIT) -> DataFrame:
     """(entity, term) over the limit; frequencies cover all different texts of ``docs``, ``n`` in number.
 
-    ``held`` has (body, entity) and ``terms`` (body, term) of the texts with base spans, both written
-    tables. A disclosure of ``limit`` means n(term) <= n(entity, term) (N / n(entity)) ^ (1 - limit),
-    so what is more frequent than that among these texts alone is left out before it is counted.
+    ``held`` has (body, entity, least) and ``terms`` (body, term) of the texts with base spans, both written
+    tables. A disclosure of ``limit`` means n(term) <= n(entity, term) (N / n(entity)) ^ (1 - limit).
     """
-    by_entity = held.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= support)
-    by_term = terms.groupBy("term").agg(F.count("*").alias("n_held")).where(F.col("n_held") >= support)
+    by_entity = held.groupBy("entity", "least").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= F.col("least"))
+    by_term = terms.groupBy("term").agg(F.count("*").alias("n_held")).where(F.col("n_held") >= SUPPORT)
     most = lambda n_both: F.col(n_both) * F.pow(F.lit(float(n)) / F.col("n_entity"), F.lit(1 - limit)) * (1 + 1e-9)
-    able = held.join(by_entity, "entity").join(terms.join(by_term, "term"), "body").where(F.col("n_held") <= most("n_entity"))
+    able = held.drop("least").join(by_entity, "entity").join(terms.join(by_term, "term"), "body").where(F.col("n_held") <= most("n_entity"))
     both = able.groupBy("entity", "term").agg(
-        F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("n_held").alias("n_held"))
-    both = materialize(both.where((F.col("n_both") >= support) & (F.col("n_held") <= most("n_both"))), "both")
-    wanted = materialize(both.select("term").distinct(), "terms")
-    words = bodies(docs, text).select("body", F.explode(F.array_distinct(F.regexp_extract_all(fold(F.col("text")), F.lit(WORD), F.lit(0)))).alias("term"))
-    df = words.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-    pmi = F.log(F.lit(float(n)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
-    ic = F.log(F.lit(float(n)) / F.col("n_entity"))
-    scored = both.join(df, "term").withColumn("disclosure", F.when(ic > 1e-9, pmi / ic).otherwise(0.0))
-    return scored.where(F.col("disclosure") >= limit).select("entity", "term", "disclosure")
-
-
-def with_spans(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(key, text, spans) of all documents."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.xxhash64(doc_id, text).alias("key"), t.alias("text")).withColumn("spans", base_spans(F.col("text")))
+        F.count("*").alias("n_both"), *[F.first(c).alias(c) for c in ("n_entity", "n_held", "least")])
+    both = materialize(both.where((F.col("n_both") >= F.col("least")) & (F.col("n_held") <= most("n_both")) & (F.lit(float(n)) > F.col("n_entity"))), "both")
+
+    # all rows with a term, copies too, bound its frequency from above: tasks sum up before the shuffle
+    rows = docs.select(F.explode(words_of(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("n_rows"))
+    bounded = materialize(both.join(rows, "term"), "bounded")
+    sure = bounded.where(F.col("n_rows") <= most("n_both")).select("entity", "term")
+    unsure = materialize(bounded.where(F.col("n_rows") > most("n_both")), "unsure")
+    pairs = docs.select(body_of(text).alias("body"), F.explode(words_of(F.col(text))).alias("term"))
+    exact = pairs.join(unsure.select("term").distinct(), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
+    return sure.unionByName(unsure.join(exact, "term").where(F.col("n_term") <= most("n_both")).select("entity", "term"))
+
+
+def term_places(plain: DataFrame, marks: DataFrame) -> DataFrame:
+    """(body, more): places of the marked terms, (body, term), in their texts; a row per word and a running length."""
+    wanted = marks.groupBy("body").agg(F.collect_set("term").alias("wanted"))
+    pieces = F.arrays_zip(
+        F.transform(F.split("plain", WORD, -1), F.char_length).alias("gap"), F.regexp_extract_all("plain", F.lit(WORD), F.lit(0)).alias("hit"))
+    rows = plain.join(wanted, "body").select("body", "wanted", F.posexplode(pieces).alias("at", "piece"))
+    rows = rows.where("piece.hit IS NOT NULL").select(
+        "body", "at", "piece.gap", F.char_length("piece.hit").alias("size"), F.array_contains("wanted", fold(F.col("piece.hit"))).alias("marked"))
+    end = F.sum(F.col("gap") + F.col("size")).over(W.partitionBy("body").orderBy("at").rowsBetween(W.unboundedPreceding, 0)).cast("int")
+    hits = rows.withColumn("end", end).where("marked")
+    span = F.struct((F.col("end") - F.col("size")).alias("start"), F.lit(KINDS.index("term")).alias("kind"), "end")
+    return hits.groupBy("body").agg(F.sort_array(F.collect_list(span)).alias("more"))
+
+
+def added_spans(found: DataFrame, docs: DataFrame, text: str = "text", limit: float = LIMIT) -> DataFrame:
+    """(body, more): the term spans of the texts that have any. ``found`` is the table of ``with_spans``."""
+    texts = materialize(bodies_with_spans(found), "texts")
+    held = materialize(holders(texts), "held")
+    plain = materialize(plain_of(texts), "plain")
+    terms = materialize(plain.select("body", F.explode(words_of(F.col("plain"))).alias("term")), "words")
+    told = materialize(disclosing(held, terms, docs, text, found.select("body").distinct().count(), limit), "told")
+    marks = held.join(told, "entity").select("body", "term").distinct()
+    marks = materialize(marks.join(terms, ["body", "term"], "left_semi"), "marks")
+    return materialize(term_places(plain, marks), "more")
 
 
-def added_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: float = LIMIT) -> DataFrame:
-    """(key, more): the term spans of the documents that have any."""
-    found = with_spans(docs, doc_id, text)
-    held = materialize(holders(found), "held")
-    words = terms_of(found)
-    terms = materialize(words.select("body", "term").distinct(), "words")
-    told = disclosing(held, terms, docs, text, bodies(docs, text).select("body").distinct().count(), limit)
-    marks = held.join(materialize(told.select("entity", "term"), "told"), "entity").select("body", "term").distinct()
-    marks = materialize(marks.join(terms, ["body", "term"], "left_semi"), "marks")
-    hits = words.join(marks, ["body", "term"], "left_semi").select("key", "start", "end").distinct()
-    span = F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end")
-    return materialize(hits.groupBy("key").agg(F.sort_array(F.collect_list(span)).alias("more")), "more")
+def _all_spans(base: str, more: str) -> Column:
+    return F.when(F.col(more).isNull(), F.col(base)).otherwise(F.array_sort(F.concat(base, F.coalesce(more, F.array().cast(f"array<{SPAN}>")))))
 
 
 def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: float = LIMIT) -> DataFrame:
     """One row per document: doc_id, key, base spans and all spans."""
-    more = added_spans(docs, doc_id, text, limit)
-    t = F.coalesce(F.col(text), F.lit(""))
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("key"), base_spans(t).alias("base"))
-    every = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(f"array<{SPAN}>")))))
-    return base.join(more, "key", "left").select("doc_id", "key", "base", every.alias("spans"))
+    found = with_spans(docs, doc_id, text)
+    more = added_spans(found, docs, text, limit)
+    rows = found.select("doc_id", "key", "body", F.col("spans").alias("base"))
+    clean = rows.where(F.size("base") == 0).select("doc_id", "key", "base", F.col("base").alias("spans"))
+    dirty = rows.where(F.size("base") > 0).join(more, "body", "left").select("doc_id", "key", "base", _all_spans("base", "more").alias("spans"))
+    return clean.unionByName(dirty)
 
 
 def replaced(text: Column, spans: Column) -> Column:
@@ -219,15 +262,13 @@ def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length
     """The documents with their own columns; base values and disclosing terms give way to the name
     of their kind. Documents without personal data pass unchanged and unshuffled. A column
     ``length``, if the table has it, follows the new text."""
-    more = added_spans(docs, doc_id, text, limit)
-    key, spans = fresh(docs, "key"), fresh(docs, "spans")
-    marked = docs.withColumns({spans: base_spans(F.coalesce(F.col(text), F.lit("")))})
+    found = with_spans(docs, doc_id, text)
+    body, spans, extra = fresh(docs, "body"), fresh(docs, "spans"), fresh(docs, "more")
+    more = added_spans(found, docs, text, limit).select(F.col("body").alias(body), F.col("more").alias(extra))
+    marked = docs.select("*", F.explode(F.array(base_spans(F.coalesce(F.col(text), F.lit(""))))).alias(spans))
     clean = marked.where(F.size(spans) == 0).select(*docs.columns)
-    more = more.select(F.col("key").alias(key), F.col("more").alias(fresh(docs, "more")))
-    extra = more.columns[1]
-    dirty = marked.where(F.size(spans) > 0).withColumn(key, F.xxhash64(doc_id, text)).join(more, key, "left")
-    every = F.array_sort(F.concat(F.col(spans), F.coalesce(F.col(extra), F.array().cast(f"array<{SPAN}>"))))
-    dirty = dirty.withColumn(spans, every).withColumn(text, replaced(F.col(text), F.col(spans)))
+    dirty = marked.where(F.size(spans) > 0).withColumn(body, body_of(text)).join(more, body, "left")
+    dirty = dirty.withColumn(spans, _all_spans(spans, extra)).withColumn(text, replaced(F.col(text), F.col(spans)))
     if length in docs.columns:
         dirty = dirty.withColumn(length, F.char_length(text).cast(docs.schema[length].dataType))
     return clean.unionByName(dirty.select(*docs.columns))

@@ -113,41 +113,39 @@ def show(spans):
     return ",".join(f"{names[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def all_spans(texts, near=64, support=2, limit=0.9):
-    """Base and term spans of each text, with the disclosure worked out in dictionaries."""
+def entities(kind, value):
+    """(entity, texts a term must share with it) of a value: itself and its recurring parts."""
+    value = fold(value)
+    digits = re.sub("[^0-9]", "", value)
+    if kind == 0:
+        local, domain = value.split("@", 1)[0], value.rsplit("@", 1)[1]
+        return {(("email", value), 2), (("domain", domain), 3), *[(("name", n), 3) for n in re.findall("[a-z]{3,}", local)]}
+    if kind == 1:
+        return {(("ip", value), 2), (("network", value.rsplit(".", 1)[0]), 3)}
+    return {(("card", digits), 2), (("issuer", digits[:6]), 3)} if kind == 2 else {(("phone", digits), 2), (("exchange", digits[:-7]), 3)}
+
+
+def all_spans(texts, limit=0.9):
+    """Base and term spans of each text, with the disclosure worked out in dictionaries over the different texts."""
     raw = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-    base = [base_spans(t) for t in texts]
-    occurrences, pair_texts = defaultdict(set), defaultdict(set)
-    blank = []
-    for t, spans in zip(texts, base, strict=True):
-        for s, _, e in spans:
-            t = t[:s] + " " * (e - s) + t[e:]
-        blank.append(t)
-    for i, t in enumerate(texts):
-        for start, kind, end in base[i]:
-            entity = (kind, fold(texts[i][start:end]))
-            left = max(start - near, 0)
-            t = blank[i]
-            for first, part, cut_left, cut_right in ((left, t[left:start], left > 0, False), (end, t[end : end + near], False, True)):
-                for m in raw.finditer(part):
-                    if (cut_left and m.start() == 0) or (cut_right and m.end() == near):
-                        continue
-                    a, b = first + m.start(), first + m.end()
-                    term = fold(m.group())
-                    pair_texts[entity, term].add(texts[i])
-                    occurrences[entity, term].add((i, a, b))
-    with_terms = defaultdict(set)
-    for (entity, _), found in pair_texts.items():
-        with_terms[entity] |= found
-    frequency = Counter(w for t in texts for w in set(words(t)))
-    n, more = len(texts), defaultdict(set)
-    for (entity, term), found in pair_texts.items():
-        ne = len(with_terms[entity])
-        ic = math.log(n / ne)
-        if len(found) >= support and ic > 1e-9 and math.log(n * len(found) / (ne * frequency[term])) / ic >= limit:
-            for i, a, b in occurrences[entity, term]:
-                more[i].add((a, 4, b))
-    return [sorted([*base[i], *more[i]]) for i in range(n)]
+    base, places, held = {}, {}, {}
+    for t in set(texts):
+        base[t] = base_spans(t)
+        blank = t
+        for s, _, e in base[t]:
+            blank = blank[:s] + " " * (e - s) + blank[e:]
+        places[t] = [(fold(m.group()), m.start(), m.end()) for m in raw.finditer(blank)]
+        held[t] = {x for s, k, e in base[t] for x in entities(k, t[s:e])}
+    n, frequency = len(base), Counter(w for t in base for w in {fold(m) for m in raw.findall(t)})
+    of, both = Counter(e for t in base for e in held[t]), Counter()
+    for t in base:
+        both.update((e, w) for e in held[t] for w in {w for w, _, _ in places[t]})
+    telling = set()
+    for (e, w), k in both.items():
+        ic = math.log(n / of[e])
+        if k >= e[1] and ic > 1e-9 and math.log(n * k / (of[e] * frequency[w])) / ic >= limit - 1e-9:
+            telling.add((e, w))
+    return [sorted([*base[t], *{(a, 4, b) for w, a, b in places[t] if any((e, w) in telling for e in held[t])}]) for t in texts]
 
 
 def shingle_bags(texts):

@@ -58,3 +58,33 @@ def test_copies_do_not_open_the_limits(spark):
     docs = spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
     kept = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(docs).collect()}
     assert all(kept[i] for i in range(250)) and not any(kept[i] for i in range(250, 402))
+
+
+def test_recurring_parts_are_entities(spark):
+    texts = [f"{w} writes from Quarnholm, mail {w}.lee@box.example.org please" for w in ("ann", "bob", "cyd")]
+    texts += [f"host 10.20.30.{i} stands in Vettelby {w}" for i, w in enumerate(("so on", "more", "less", "then"))]
+    texts += ["call +1 (212) 555-0188 at Orrin", "call +1 212 555 0199 at Orrin", "two of a kind mail x9@sole.example.net Twig", "and mail y9@sole.example.net Twig again"]
+    # the phone numbers share an exchange in two texts only, as do the last addresses: too few for a part
+    got = term_spans(spark, texts + OTHERS)
+    assert {w for i, w in got if i < 3} == {"writes", "from", "Quarnholm", "please"} and {w for i, w in got if 3 <= i < 7} == {"host", "stands", "in", "Vettelby"}
+    assert not [x for x in got if x[0] >= 7]
+
+
+def test_values_are_the_same_however_they_are_written(spark):
+    texts = ["card 4111 1111 1111 1111 of Umbrel", "card 4111-1111-1111-1111 of Umbrel today"]
+    assert term_spans(spark, texts + OTHERS) == {(i, w) for i in (0, 1) for w in ("card", "of", "Umbrel")}
+
+
+def test_long_texts_with_marked_terms_take_linear_time(spark):
+    import time
+
+    def took(n):
+        texts = ["Zorblax zz@mail.example.org " + " ".join(f"w{i % 5000}x" for i in range(n)) + " Zorblax", "mail zz@mail.example.org Zorblax", *OTHERS]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        start = time.perf_counter()
+        rows = {r["doc_id"]: r["spans"] for r in pii.find_pii(docs).collect()}
+        assert [texts[0][s["start"] : s["end"]] for s in rows[0] if s["kind"] == 4] == ["Zorblax"] * 2
+        return time.perf_counter() - start
+
+    took(1000)
+    assert took(100_000) < 20 + 10 * took(10_000)
