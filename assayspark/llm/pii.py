@@ -15,10 +15,9 @@ one that is independent of it. Copies of a text count once in all four counts. T
 by chance), and with a disclosure of ``LIMIT`` or more are spans of the kind ``term`` wherever they stand
 in a document with that entity; other documents are left alone.
 
-Base spans are worked out once and written. n(term) is first bounded: the texts with personal data
-alone are a lower bound, and all rows, copies included, an upper one, for which tasks sum up per word before
-anything is shuffled. Only terms between the two are counted exactly. Positions are worked out for texts with
-a marked term only, one row per word, so time is linear in the text.
+Base spans are worked out once and written. For n(term) every different text is shuffled once, by its hash;
+its words are summed up per task, so the vocabulary is shuffled and not the words. Positions are worked out
+for texts with a marked term only, one row per word, so time is linear in the text.
 
 Defined cases: a null text is empty; overlapping spans are all listed, and are replaced as one;
 repeated rows get equal results; an entity found in every document discloses nothing; terms of equal score are
@@ -192,14 +191,10 @@ def disclosing(held: DataFrame, terms: DataFrame, docs: DataFrame, text: str, n:
         F.count("*").alias("n_both"), *[F.first(c).alias(c) for c in ("n_entity", "n_held", "least")])
     both = materialize(both.where((F.col("n_both") >= F.col("least")) & (F.col("n_held") <= most("n_both")) & (F.lit(float(n)) > F.col("n_entity"))), "both")
 
-    # all rows with a term, copies too, bound its frequency from above: tasks sum up before the shuffle
-    rows = docs.select(F.explode(words_of(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("n_rows"))
-    bounded = materialize(both.join(rows, "term"), "bounded")
-    sure = bounded.where(F.col("n_rows") <= most("n_both")).select("entity", "term")
-    unsure = materialize(bounded.where(F.col("n_rows") > most("n_both")), "unsure")
-    pairs = docs.select(body_of(text).alias("body"), F.explode(words_of(F.col(text))).alias("term"))
-    exact = pairs.join(unsure.select("term").distinct(), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-    return sure.unionByName(unsure.join(exact, "term").where(F.col("n_term") <= most("n_both")).select("entity", "term"))
+    # one row per different text, then one per word and task: the vocabulary is shuffled, not the words
+    single = docs.select(body_of(text).alias("body"), F.coalesce(F.col(text), F.lit("")).alias("text")).dropDuplicates(["body"])
+    df = single.select(F.explode(words_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    return both.join(df, "term").where(F.col("n_term") <= most("n_both")).select("entity", "term")
 
 
 def term_places(plain: DataFrame, marks: DataFrame) -> DataFrame:
