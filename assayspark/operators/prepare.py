@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import PCA, PolynomialExpansion, StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assayspark.functions.columns import HASH_BITS, digest, hash_below, number
+from assayspark.plans.subspace import complete_vectors, matrix, moments, scatter_times, tall_factor
 
 SPLIT = "split"
 
@@ -80,19 +82,29 @@ class Projection:
     mean: tuple[float, ...]
     components: tuple[tuple[float, ...], ...]
     explained: tuple[float, ...]
-    scaler: object
-    model: object
-    variances: tuple[float, ...] = ()
+    variances: tuple[float, ...]
+    passes: int
+    converged: bool
 
     def transform(self, df: DataFrame, vectors: str, prefix: str = "Micro_") -> DataFrame:
-        """Add one column per component."""
-        ready = df.withColumn("__v", array_to_vector(F.col(vectors).cast("array<double>")))
-        done = self.model.transform(self.scaler.transform(ready))
-        signs = _axis_signs(self.model.pc.toArray())
-        axes = done.withColumn("__p", vector_to_array("__pc"))
-        return axes.select(*df.columns, *[
-            (F.col("__p")[i] * F.lit(s)).alias(f"{prefix}{i + 1}") for i, s in enumerate(signs)
-        ])
+        """Add one column per component, null where there is no vector; rows are projected a batch at a time."""
+        mean, axes, d = np.array(self.mean), np.array(self.components).T, len(self.mean)
+        names = [f"{prefix}{i + 1}" for i in range(len(self.components))]
+        kept = df.columns
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                column = batch.column(batch.num_columns - 1)
+                there = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+                scores = np.full((batch.num_rows, len(names)), np.nan)
+                if len(there):
+                    scores[there] = (matrix(column.take(pa.array(there)), d) - mean) @ axes
+                missing = np.isnan(scores)
+                made = [pa.array(scores[:, i], mask=missing[:, i]) for i in range(len(names))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*kept, *names])
+
+        schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
+        return df.select("*", F.col(vectors).cast("array<double>").alias("__v")).mapInArrow(run, schema)
 
     def parameters(self, spark: SparkSession) -> DataFrame:
         """One row per component: variance, its share, and loadings."""
@@ -119,30 +131,42 @@ def project_with(df: DataFrame, parameters: DataFrame, vectors: str, prefix: str
     return ready.select(*df.columns, *sums)
 
 
-def _axis_signs(axes) -> list[float]:
-    signs = []
-    for j in range(axes.shape[1]):
-        axis = axes[:, j]
-        signs.append(1.0 if axis[abs(axis).argmax()] >= 0 else -1.0)
-    return signs
-
-
-def fit_pca(df: DataFrame, vectors: str, k: int = 70) -> Projection:
-    """Centre the vectors and find the first k principal axes (d x d on the driver)."""
-    ready = df.select(array_to_vector(F.col(vectors).cast("array<double>")).alias("__v"))
-    scaler = StandardScaler(inputCol="__v", outputCol="__c", withMean=True, withStd=False).fit(ready)
-    model = PCA(k=k, inputCol="__c", outputCol="__pc").fit(scaler.transform(ready))
-    total = float((scaler.std.toArray() ** 2).sum())  # of the sample variances of all dimensions
-    axes = model.pc.toArray()
-    signs = _axis_signs(axes)
+def fit_pca(
+    df: DataFrame, vectors: str, k: int = 70, oversample: int = 10, whole: int = 128, max_passes: int = 60, tolerance: float = 1e-9, seed: int = 70,
+) -> Projection:
+    """The first k principal axes by a randomised range finder.
+
+    A random subspace of k + ``oversample`` dimensions (all, up to ``whole`` dimensions) is sent through the
+    scatter matrix until the variances in it stay within ``tolerance``; they come from the singular values
+    of the tall projected matrix, so they are not squared on the way. A full subspace needs no such pass.
+    """
+    rows = complete_vectors(df, vectors)
+    first = rows.first()
+    if first is None:
+        raise ValueError("no complete vector to learn from")
+    d = len(first["v"])
+    k = min(k, d)
+    size = d if d <= whole else min(d, k + oversample)
+    n, mean, scatter = moments(rows, d)
+    basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(d, size)))[0] if size < d else np.eye(d)
+    passes, converged, before = 0, size == d, np.zeros(k)
+    while True:
+        _, singular, turn = np.linalg.svd(tall_factor(rows, mean, basis))
+        singular = np.pad(singular, (0, size - len(singular)))
+        change = np.abs(singular[:k] ** 2 - before).max(initial=0.0)
+        converged = converged or change <= tolerance * max(singular[0] ** 2, 1e-300)
+        if converged or passes >= max_passes:
+            break
+        before = singular[:k] ** 2
+        basis = np.linalg.qr(scatter_times(rows, mean, basis))[0]
+        passes += 1
+    axes = (basis @ turn.T)[:, :k]
+    axes = axes * np.where(axes[np.abs(axes).argmax(axis=0), np.arange(k)] < 0, -1.0, 1.0)
+    variances = singular[:k] ** 2 / max(n - 1, 1)
+    total = scatter / max(n - 1, 1)
     return Projection(
-        tuple(float(v) for v in scaler.mean.toArray()),
-        tuple(tuple(float(v) * s for v in axes[:, j]) for j, s in enumerate(signs)),
-        tuple(float(v) for v in model.explainedVariance.toArray()),
-        scaler,
-        model,
-        tuple(float(v) * total for v in model.explainedVariance.toArray()),
-    )
+        tuple(mean.tolist()), tuple(tuple(c) for c in axes.T.tolist()),
+        tuple((variances / total if total > 0 else np.zeros(k)).tolist()), tuple(variances.tolist()), passes, bool(converged))
 
 
 def polynomial(df: DataFrame, columns: Sequence[str], degree: int = 2, output: str = "expanded") -> DataFrame:

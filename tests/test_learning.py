@@ -98,6 +98,36 @@ def test_pca(spark):
     assert fitted.parameters(spark).count() == 3
 
 
+@pytest.mark.parametrize("d, k", [(40, 6), (6, 6), (5, 70)])
+def test_pca_from_a_random_subspace(spark, d, k):
+    rng = np.random.default_rng(d)
+    turn = np.linalg.qr(rng.normal(size=(d, d)))[0]
+    x = rng.normal(size=(900, d)) * (0.8 ** np.arange(d)) @ turn + 3
+    rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(-1, None), (-2, [float("nan")] * d)]
+    df = spark.createDataFrame(rows, "id int, v array<double>").repartition(7)
+    fitted = prepare.fit_pca(df, "v", k, whole=0, tolerance=1e-13)
+    covariance = np.cov(x.T)
+    values, vectors = np.linalg.eigh(covariance)
+    values, vectors = values[::-1][:k], vectors[:, ::-1][:, :k]
+    assert fitted.converged and (fitted.passes > 0) == (k + 10 < d)
+    np.testing.assert_allclose(fitted.variances, values, rtol=1e-9)
+    np.testing.assert_allclose(fitted.explained, values / np.trace(covariance), rtol=1e-9)
+    axes = np.array(fitted.components)
+    np.testing.assert_allclose(np.abs((axes * vectors.T).sum(axis=1)), 1, atol=1e-6)
+    np.testing.assert_allclose(covariance @ axes.T, axes.T * values, atol=1e-4)  # C v = lambda v
+    out = {r["id"]: r["Micro_1"] for r in fitted.transform(df, "v").collect()}
+    assert out[-1] is None and out[-2] is None and out[0] == pytest.approx((x[0] - x.mean(0)) @ axes[0])
+
+
+def test_pca_of_odd_tables(spark):
+    with pytest.raises(ValueError, match="no complete"):
+        prepare.fit_pca(spark.createDataFrame([(None,)], "v array<double>"), "v")
+    one = prepare.fit_pca(spark.createDataFrame([([1.0, 2.0],)], "v array<double>"), "v", 2)
+    assert one.mean == (1.0, 2.0) and one.variances == (0.0, 0.0) and one.explained == (0.0, 0.0)
+    with pytest.raises(Exception, match="different lengths"):
+        prepare.fit_pca(spark.createDataFrame([([1.0, 2.0],), ([1.0],)], "v array<double>").coalesce(1), "v", 1)
+
+
 def test_polynomial_terms(spark):
     df = spark.createDataFrame([(2.0, 3.0)], "a double, b double")
     terms = prepare.polynomial(df, ["a", "b"], 2).select(vector_to_array("expanded")).first()[0]
@@ -200,6 +230,28 @@ def test_cross_validation_closed_form_equals_refitting(df):
     assert summary["cv_r2_mean"] == pytest.approx(0.6) and summary["cv_r2_std"] == pytest.approx(0.1)
 
 
+def test_compared_models_against_plain_fits(spark):
+    rng = np.random.default_rng(6)
+    x = rng.uniform(0, 50, 800)
+    y = x + rng.normal(size=800) * 3
+    split = np.where(np.arange(800) % 5 == 0, "test", "train")
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": y, "split": split}))
+    table = {(r["model"], r["split"]): r for r in evaluate.compare_models(df, ["x"], "y").collect()}
+    fit = split == "train"
+    z = (x - x[fit].mean()) / x[fit].std()
+    wide = np.column_stack([z, z**2])
+    centre = wide[fit].mean(axis=0)
+    inner = wide[fit] - centre
+    ridge = np.linalg.solve(inner.T @ inner + np.eye(2), inner.T @ (y[fit] - y[fit].mean()))
+    for model, made in (("LinearRegression", np.polyval(np.polyfit(x[fit], y[fit], 1), x)), ("PolynomialRegression", (wide - centre) @ ridge + y[fit].mean())):
+        for name in ("train", "test"):
+            off = (y - made)[split == name]
+            row = table[model, name]
+            assert row["n"] == len(off) and row["rmse"] == pytest.approx(np.sqrt((off**2).mean()), rel=1e-6) and row["mae"] == pytest.approx(np.abs(off).mean(), rel=1e-6)
+    for name in ("train", "test"):
+        assert table["SVR", name]["rmse"] <= 1.05 * table["LinearRegression", name]["rmse"]
+
+
 def test_report_order_and_pivot(spark):
     rows = [("SVR", "test", 1.0), ("LR", "train", 2.0), ("X", "train", 4.0), ("DDPG", "test", 3.0)]
     table = spark.createDataFrame(rows, "model string, split string, rmse double")

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -83,6 +85,28 @@ def test_isolation_forest_finds_planted_outliers(spark, trees, size):
     assert set(again[again["is_outlier"]]["id"]) == found
 
 
+def test_isolation_scores_equal_a_plain_walk(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 3))
+    df = spark.createDataFrame(pd.DataFrame({"id": range(300), "a": x[:, 0], "b": x[:, 1], "c": x[:, 2]}))
+    forest = outliers.fit_isolation_forest(df, ["id"], ["a", "b", "c"], 20, 32)
+    got = {r["id"]: (r["score"], r["is_outlier"]) for r in outliers.flag_isolated(df, ["id"], ["a", "b", "c"], 0.1, 20, 32).collect()}
+
+    def expected(n):
+        return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
+
+    def walk(tree, row):
+        node, depth = 0, 0
+        while tree["feature"][node] >= 0:
+            node, depth = int(tree["left" if row[tree["feature"][node]] <= tree["cut"][node] else "right"][node]), depth + 1
+        return depth + expected(tree["size"][node])
+
+    assert len(forest.trees) == 20 and all(t["size"][0] == 32 for t in forest.trees)
+    scores = [2 ** (-sum(walk(t, row) for t in forest.trees) / 20 / expected(32)) for row in x]
+    np.testing.assert_allclose([got[i][0] for i in range(300)], scores, atol=1e-12)
+    assert {i for i in got if got[i][1]} == {i for i in range(300) if scores[i] > np.quantile(scores, 0.9)}
+
+
 def test_profile(df, data):
     out = profile.profile_columns(df, skip=["id"]).toPandas().set_index("column")
     for c in ("a", "b"):
