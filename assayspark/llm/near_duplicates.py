@@ -10,7 +10,8 @@
    with a probability equal to their weighted Jaccard similarity. The gamma variables come from
    quantile tables by hash, so equal shingles get equal draws everywhere.
 3. Equal word sequences are one text. Texts that agree in all samples of a band are candidates.
-   In each bucket all are compared with the text that shares most buckets; components of the links
+   The head of a bucket is its text that shares most buckets. Every text is compared with the most central
+   of its heads, then with those heads that are still of another class; components of the links
    found so are classes. Buckets that still hold several classes have the texts of different
    classes compared with each other, in the first bucket that two of them share. Of those only pairs go on to step 4 whose sketches of ``BITS``
    further samples, one bit each, agree as often as those of similar texts do but for one in 30 000.
@@ -290,17 +291,30 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     heads = members.groupBy("bucket").agg(F.max(F.struct("central", "h", "total")).alias("head"))
     fits = lambda x, y: F.least(x, y) >= (SIMILAR - 1e-9) * F.greatest(x, y)
 
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+
+    def placed_by(links: DataFrame) -> DataFrame:
+        """The members with the class that the links so far give them."""
+        roots = materialize(connected_components(links), "roots").withColumnRenamed("node", "h")
+        return materialize(members.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h")), "placed")
+
     bodies = materialize(texts_of(docs, members.select("h"), text), "bodies")
-    first = (
-        members.join(heads, "bucket").where((F.col("h") != F.col("head.h")) & fits(F.col("total"), F.col("head.total")))
-        .select(F.least("h", "head.h").alias("a"), F.greatest("h", "head.h").alias("b")).distinct()
-    )
+    heads = materialize(heads.select("bucket", "head"), "heads")
+    offered = members.join(heads, "bucket").where((F.col("h") != F.col("head.h")) & fits(F.col("total"), F.col("head.total")))
+    first = offered.groupBy("h").agg(F.max("head").alias("head")).select(*pair("h", "head.h")).distinct()
     first = materialize(first, "pairs")
     links = materialize(verify(first, bodies, weights), "links")
-    roots = materialize(connected_components(links), "roots")
 
-    placed = members.join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
-    placed = materialize(placed.select("bucket", "band", "h", "total", "root"), "placed")
+    # only where a text and a head are still of different classes
+    placed = placed_by(links)
+    known = placed.select(F.col("h").alias("of"), F.col("root").alias("head_root")).distinct()
+    rooted = heads.join(known, F.col("head.h") == F.col("of")).select("bucket", "head", "head_root")
+    again = placed.join(rooted, "bucket").where((F.col("root") != F.col("head_root")) & fits(F.col("total"), F.col("head.total")))
+    again = materialize(again.select(*pair("h", "head.h")).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    links = links.unionByName(materialize(verify(again, bodies, weights), "links"))
+    compared = first.unionByName(again)
+
+    placed = placed_by(links).select("bucket", "band", "h", "total", "root")
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
     rest = materialize(placed.join(mixed, "bucket", "left_semi"), "mixed")
     bits = materialize(sketches(bodies.join(rest.select("h").distinct(), "h", "left_semi"), weights), "sketches")
@@ -311,7 +325,7 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
         .where((F.col("x.root") != F.col("y.root")) & (F.col("x.h") < F.col("y.h")) & fits(F.col("x.total"), F.col("y.total"))
                & met_first(F.col("x.band"), F.col("x.bands"), F.col("y.bands"))
                & (differing(F.col("x.bits"), F.col("y.bits")) <= DIFFER))
-        .select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+        .select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct().join(compared, ["a", "b"], "left_anti")
     )
     links = links.unionByName(materialize(verify(materialize(more, "pairs"), bodies, weights), "links"))
     roots = materialize(connected_components(links), "roots").withColumnRenamed("node", "h")
