@@ -38,7 +38,7 @@ from assayspark.llm.shared import fresh, materialize, query, set_bits, table
 
 BANDS, ROWS = 10, 3
 SIMILAR = 0.8
-BITS = 2048
+BITS = 512
 #: Most bits in which sketches of texts with the least similarity differ, at four deviations.
 DIFFER = int(BITS * (1 - SIMILAR) / 2 + 4 * (BITS * (1 - SIMILAR) / 2 * (1 + SIMILAR) / 2) ** 0.5)
 FREQUENT = 1 << 18
@@ -46,6 +46,8 @@ COUNTERS = 20
 PIECE = 14
 BLOCK = 400_000
 _LEVELS = 1 << 16
+#: Texts that a task draws sketches for, and the most tasks.
+TEXTS, TASKS = 500, 20_000
 
 
 @dataclass
@@ -317,7 +319,9 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     placed = placed_by(links).select("bucket", "band", "h", "total", "root")
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
     rest = materialize(placed.join(mixed, "bucket", "left_semi"), "mixed")
-    bits = materialize(sketches(bodies.join(rest.select("h").distinct(), "h", "left_semi"), weights), "sketches")
+    drawn = materialize(rest.select("h").distinct(), "drawn")
+    spread = bodies.join(drawn, "h", "left_semi").repartition(min(max(1, drawn.count() // TEXTS), TASKS), "h")
+    bits = materialize(sketches(spread, weights), "sketches")
     rest = rest.join(bits.join(texts.select("h", "bands"), "h"), "h")
     x, y = rest.alias("x"), rest.alias("y")
     more = (
