@@ -38,7 +38,7 @@ from assayspark.llm.shared import fresh, materialize, query, set_bits, table
 
 BANDS, ROWS = 10, 3
 SIMILAR = 0.8
-BITS = 512
+BITS = 2048
 #: Most bits in which sketches of texts with the least similarity differ, at four deviations.
 DIFFER = int(BITS * (1 - SIMILAR) / 2 + 4 * (BITS * (1 - SIMILAR) / 2 * (1 + SIMILAR) / 2) ** 0.5)
 FREQUENT = 1 << 18
