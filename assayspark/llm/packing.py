@@ -19,6 +19,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -35,6 +36,7 @@ END = 2
 SHARE = 50_000
 VOCABULARY = "byte_bpe_50k.json"
 BLOCK_CHARS = 1_000_000
+JOINED = 64
 
 
 class DocumentEncoder:
@@ -42,11 +44,20 @@ class DocumentEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.specials = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.specials = {t.content: i for i, t in added.items()}
+        plain = [t.content for t in added.values() if not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
+        self.mark = next((m for m in plain if not any(m[:k] == m[-k:] for k in range(1, len(m)))), None)
         self.book = pc.PieceBook(self._encode)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        """Ids of each piece; many go to the library as one text, with a special string after each, which never is a part of a piece."""
+        if self.mark is None:
+            return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        joined = ["".join(t + self.mark for t in texts[i : i + JOINED]) for i in range(0, len(texts), JOINED)]
+        flat = list(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)))
+        at = np.flatnonzero(np.array(flat) == self.specials[self.mark])
+        return [flat[a:b] for a, b in zip([0, *(at[:-1] + 1).tolist()], at.tolist(), strict=True)]
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and the bounds of each text."""
@@ -99,14 +110,16 @@ def tokenize_pieces(
                 start = np.where(piece == 0, 0, head[doc] + (piece - 1) * length)
                 size = np.where(piece == 0, head[doc], length)
                 begin = bounds[doc] + start
-                raw = full.astype("<u4")
-                cuts = [raw[a : a + s] for a, s in zip(begin.tolist(), size.tolist(), strict=True)]
+                raw = full.astype("<u4", copy=False)
+                held = memoryview(raw).cast("B")
+                last_byte = 4 * (begin + size)
                 columns = [
                     batch.column(0).take(pa.array(first + doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(size),
-                    pa.array([zlib.crc32(c.tobytes()) for c in cuts], pa.int64()),
+                    pa.array([zlib.crc32(held[a:b]) for a, b in zip((4 * begin).tolist(), last_byte.tolist(), strict=True)], pa.int64()),
                 ]
                 if with_ids:
-                    columns.append(pa.array([c.astype(np.int32) for c in cuts], pa.list_(pa.int32())))
+                    cuts = [raw[a : a + s].astype(np.int32) for a, s in zip(begin.tolist(), size.tolist(), strict=True)]
+                    columns.append(pa.array(cuts, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
 
     kind = docs.schema[doc_id].dataType.simpleString()

@@ -36,6 +36,12 @@ def classes() -> np.ndarray:
     return out
 
 
+@cache
+def scrambled() -> np.ndarray:
+    """A hash of every code point."""
+    return mix(np.arange(0x110000, dtype=np.uint64), 31)
+
+
 @dataclass
 class Cut:
     """Pieces of a block: piece i is joined[start[i]:end[i]] and belongs to text row[i]."""
@@ -96,8 +102,7 @@ def cut(texts: list[str], spaces: bool) -> Cut:
         ink = ~blank[first]
         first, end = first[ink], end[ink]
     row = np.searchsorted(bounds, first, side="right") - 1
-    table = mix(codes.astype(np.uint64), 31)
-    return Cut(joined, first, end, row, PrefixHash(table).of(first, end))
+    return Cut(joined, first, end, row, PrefixHash(scrambled()[codes]).of(first, end))
 
 
 class PieceBook:
