@@ -1,14 +1,15 @@
 """Quality rules whose limits adapt to each language and source.
 
-Counts are taken per document in vectorised batches. Shares made from them are summarised by
-mergeable quantile sketches: logarithmic buckets of relative width ``GAMMA - 1`` with a count
-each, so that sketches merge by adding counts, in any order, with the same result. Copies of a
-text count once in a group. The fence of a share is ``SPREADS`` times the distance between the
-quartiles above the third, at least ``LEAST`` of the range. Of a share that cannot exceed ``top``
-(0.2 for repeats, what the base rule lets through) the limit is ``q3 + room d / (room + d)`` with
-``room = top - q3`` and ``d`` that distance: about ``q3 + d`` while there is room, always under
-``top`` while most texts are. Groups under ``MIN_ROWS`` different texts use the sketch of their
-language, small languages that of all documents.
+Counts are taken per document in vectorised batches. A rate is ``(count + 1/2) / (size + 1)``, so a
+text without any symbol still says how rare symbols can be in a text of its length, and groups in
+which most counts are 0 have a scale of their own. Rates are summarised by mergeable quantile
+sketches: logarithmic buckets of relative width ``GAMMA - 1`` with a count each, so that sketches
+merge by adding counts, in any order, with the same result. A rate that cannot exceed ``top`` (0.2
+for repeats, what the base rule lets through) is put into buckets as ``rate / (top - rate)``, so its
+limit stays under ``top`` however wide the quartiles stand. Copies of a text count once in a group. The limit
+of a group is the bucket ``SPREADS`` times the distance of the quartile buckets above the third; it
+comes from the group's texts alone. A count of 0 never fails. Groups under ``MIN_ROWS`` different texts use
+the sketch of their language, small languages that of all documents.
 
 Defined cases: a null or empty text has no words and fails the base rule; null languages and
 sources are groups of their own; repeated rows count each time and get equal verdicts; an empty
@@ -28,11 +29,12 @@ from assayspark.llm import textblocks as tb
 from assayspark.llm.shared import append_columns, fresh, materialize, query, table
 
 GAMMA = 1.02
-SPREADS = 4.0
-LEAST = 0.2
+SPREADS = 3
 MIN_ROWS = 200
-ZERO = -100_000
+END = 10_000
 SHARES = ["symbols", "dup_lines", "repeats", "capitals"]
+#: What is counted for each share, and in how many.
+PARTS = {"symbols": ("n_symbols", "n_words"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words"), "capitals": ("n_upper", "n_letters")}
 #: Largest value of a share in rows that pass the base rule; symbols have none.
 TOPS = {"dup_lines": 1.0, "repeats": 0.2, "capitals": 1.0}
 
@@ -53,20 +55,23 @@ def base_failed(names: dict[str, str]) -> Column:
     return (words < 10) | (100 * repeats > 20 * words)
 
 
-def shares(names: dict[str, str]) -> dict[str, Column]:
-    """What the adaptive limits are about; 0 where there is nothing to divide by."""
-    part = lambda a, b: F.coalesce(F.try_divide(F.col(names[a]).cast("double"), F.col(names[b])), F.lit(0.0))
-    return dict(zip(SHARES, [
-        part("n_symbols", "n_words"), part("n_dup_lines", "n_lines"), part("n_repeat_words", "n_words"), part("n_upper", "n_letters"),
-    ], strict=True))
-
-
 def bucket(value: Column) -> Column:
-    return F.when(value > 1e-9, F.ceil(F.log(value) / float(np.log(GAMMA)))).otherwise(F.lit(ZERO)).cast("int")
+    """Number of the logarithmic bucket of a positive value; ``END`` for what has no bound."""
+    return F.coalesce(F.ceil(F.log(value) / float(np.log(GAMMA))), F.lit(END)).cast("int")
 
 
 def middle(index: Column) -> Column:
-    return F.when(index == ZERO, 0.0).otherwise(F.pow(F.lit(GAMMA), index.cast("double")) * (2 / (1 + GAMMA)))
+    return F.pow(F.lit(GAMMA), index.cast("double")) * (2 / (1 + GAMMA))
+
+
+def buckets(names: dict[str, str]) -> dict[str, Column]:
+    """The bucket of each rate; on the scale of odds where a rate has a top."""
+    out = {}
+    for share, (count, size) in PARTS.items():
+        rate = (F.col(names[count]) + 0.5) / (F.col(names[size]) + 1.0)
+        top = TOPS.get(share)
+        out[share] = bucket(rate if top is None else F.when(rate < top, rate / (top - rate)))
+    return out
 
 
 def body(text: str = "text") -> Column:
@@ -78,7 +83,7 @@ def sketches(measured: DataFrame, names: dict[str, str], lang: str, source: str,
 
     ``text`` is a hash of the text. ``n2`` counts a text once in each source, ``n1`` in each language, ``n0`` in all.
     """
-    at = [bucket(v).alias(k) for k, v in shares(names).items()]
+    at = [v.alias(k) for k, v in buckets(names).items()]
     texts = measured.where(~base_failed(names)).select(text.alias("body"), F.col(lang).alias("lang"), F.col(source).alias("source"), *at)
     texts = texts.groupBy("body", "lang", "source").agg(*[F.first(k).alias(k) for k in SHARES])
     first = lambda keys, order: (F.row_number().over(W.partitionBy(*keys).orderBy(*order)) == 1).cast("long")
@@ -88,17 +93,8 @@ def sketches(measured: DataFrame, names: dict[str, str], lang: str, source: str,
         F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count("*").alias("n2"))
 
 
-def fence(low: Column, high: Column) -> Column:
-    """The limit of column ``share`` from its quartiles; never under the edge of the bucket of the third."""
-    top = F.create_map(*[F.lit(x) for pair in TOPS.items() for x in pair])[F.col("share")]
-    step = F.greatest(SPREADS * (high - low), LEAST * F.coalesce(top, F.lit(1.0)))
-    room = F.greatest(top - high, F.lit(0.0))
-    bounded = high + F.coalesce(F.try_divide(room * step, room + step), F.lit(0.0))
-    return F.greatest(F.when(top.isNull(), high + step).otherwise(bounded), high * ((1 + GAMMA) / 2 + 1e-9))
-
-
 def limits(cells: DataFrame) -> DataFrame:
-    """One row per language and source: a limit for every share, from the smallest large enough group."""
+    """One row per language and source: the last bucket allowed for every share, from the smallest large enough group."""
     levels = []
     for level, keys in enumerate([[], ["lang"], ["lang", "source"]]):
         merged = cells.groupBy(*keys, "share", "bucket").agg(F.sum(f"n{level}").alias("n"))
@@ -106,10 +102,10 @@ def limits(cells: DataFrame) -> DataFrame:
         running = merged.withColumns({
             "up_to": F.sum("n").over(group.orderBy("bucket")), "total": F.sum("n").over(group),
         })
-        quartile = lambda q: middle(F.min(F.when(F.col("up_to") >= q * F.col("total"), F.col("bucket"))))
+        quartile = lambda q: F.min(F.when(F.col("up_to") >= q * F.col("total"), F.col("bucket")))
         fences = running.groupBy(*keys, "share").agg(
             F.max("total").alias("rows"), quartile(0.25).alias("low"), quartile(0.75).alias("high"),
-        ).withColumn("limit", fence(F.col("low"), F.col("high")))
+        ).withColumn("limit", F.col("high") + SPREADS * (F.col("high") - F.col("low")))
         levels.append(fences.groupBy(*keys).agg(
             F.max("rows").alias(f"rows{level}"),
             *[F.max(F.when(F.col("share") == s, F.col("limit"))).alias(f"{s}{level}") for s in SHARES],
@@ -119,7 +115,7 @@ def limits(cells: DataFrame) -> DataFrame:
     joined = by_source.alias("s").join(by_lang.alias("l"), F.col("s.lang").eqNullSafe(F.col("l.lang")))
     pick = lambda s: (
         F.when(F.col("rows2") >= MIN_ROWS, F.col(f"{s}2")).when(F.col("rows1") >= MIN_ROWS, F.col(f"{s}1"))
-        .otherwise(F.lit(overall.get(f"{s}0")).cast("double"))
+        .otherwise(F.lit(overall.get(f"{s}0")).cast("int"))
     )
     return joined.select(F.col("s.lang").alias("lang"), F.col("s.source").alias("source"), *[pick(s).alias(s) for s in SHARES])
 
@@ -128,7 +124,7 @@ def judge(measured: DataFrame, names: dict[str, str], fences: DataFrame, lang: s
     """Adds ``base_failed`` and ``kept``; the limits are a small table written before."""
     failed, kept = fresh(measured, "base_failed"), fresh(measured, "kept")
     fences = fences.select(*[F.col(c).alias(f"__limit_{c}") for c in fences.columns])
-    within = [v <= F.coalesce(F.col(f"__limit_{k}"), v) for k, v in shares(names).items()]
+    within = [(F.col(names[PARTS[k][0]]) == 0) | (v <= F.coalesce(F.col(f"__limit_{k}"), v)) for k, v in buckets(names).items()]
     good = ~base_failed(names)
     for test in within:
         good = good & test

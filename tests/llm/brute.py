@@ -86,6 +86,42 @@ def base_counts(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), repeated, len(covered)
 
 
+def rule_verdicts(rows):
+    """Whether the quality rules keep each (text, lang, source), with quartiles of sorted lists."""
+    def bucket(count, size, top):
+        rate = (count + 0.5) / (size + 1)
+        rate = rate if top is None else rate / (top - rate) if rate < top else None
+        return 10_000 if rate is None else math.ceil(math.log(rate) / math.log(1.02))
+
+    facts = []
+    for text, _, _ in rows:
+        n, _, symbols, again, repeats = base_counts(text)
+        text = text or ""
+        lines = sum(1 for line in text.split("\n") if INK.search(line))
+        upper = len(re.findall("[A-Z]", text))
+        letters = len(re.findall("[A-Za-z]", text)) + sum(ord(c) > 127 for c in text)
+        parts = [(symbols, n, None), (again, lines, 1.0), (repeats, n, 0.2), (upper, letters, 1.0)]
+        facts.append((n >= 10 and 100 * repeats <= 20 * n, [(p[0], bucket(*p)) for p in parts]))
+
+    def limits(keep):
+        seen = {row[0] or "": f[1] for row, f in zip(rows, facts, strict=True) if f[0] and keep(row)}
+        out = []
+        for k in range(4):
+            values = sorted(f[k][1] for f in seen.values())
+            at = lambda q: values[max(math.ceil(q * len(values)), 1) - 1]
+            out.append(at(0.75) + 3 * (at(0.75) - at(0.25)) if values else None)
+        return len(seen), out
+
+    out = []
+    for (_, lang, source), (good, parts) in zip(rows, facts, strict=True):
+        for keep in (lambda r: r[1:] == (lang, source), lambda r: r[1] == lang, lambda r: True):  # noqa: B023
+            size, fences = limits(keep)
+            if size >= 200:
+                break
+        out.append(good and all(c == 0 or b <= f for (c, b), f in zip(parts, fences, strict=True)))
+    return out
+
+
 def luhn(digits):
     total = 0
     for i, c in enumerate(reversed(digits)):
