@@ -21,6 +21,7 @@ import html as references
 import math
 import random
 import re
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,12 @@ BLOCK = set(
 ENDS_P = BLOCK - {"body", "html", "tr", "tbody", "thead", "tfoot", "li", "dd", "dt", "summary", "figcaption"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 INLINE = set("a abbr b bdi bdo cite code data dfn em font i kbd label mark q s samp small span strong sub sup time u var".split())
+_AROUND_ITEMS = ("ul", "ol", "dl", "table", "tbody", "div")
+#: Items that end the item before them, and the elements beyond which they do not.
+ITEMS = {
+    "li": (("li",), (*_AROUND_ITEMS, "tr")), "option": (("option",), (*_AROUND_ITEMS, "tr")), "tr": (("tr",), _AROUND_ITEMS),
+    **dict.fromkeys(("dd", "dt"), (("dd", "dt"), (*_AROUND_ITEMS, "tr"))), **dict.fromkeys(("td", "th"), (("td", "th"), (*_AROUND_ITEMS, "tr"))),
+}
 #: Attribute words that pages use for their article and for what is around it.
 INSIDE = set("article articlebody content main post entry body text story page blog single prose read".split())
 AROUND = set(
@@ -55,6 +62,8 @@ AROUND = set(
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|"
     r"<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"<>]*\"|'[^'<>]*'|[\"'])*+)>", re.S)
+_OPEN = re.compile(r"(?:<!--|<!\[CDATA\[).*()()()", re.S)
+_SHUT = re.compile(r"<!--.*-->\Z|<!\[CDATA\[.*\]\]>\Z", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _WORD = re.compile(r"[A-Za-z]+")
 _WHITE = re.compile(r"\s+")
@@ -87,17 +96,71 @@ def empty(attributes: str) -> bool:
     return attributes.endswith("/") and (len(attributes) == 1 or attributes[-2] in " \t\r\n\f\"'" or "=" not in attributes.split()[-1])
 
 
+class Path:
+    """The open elements from the root down; what stands where is known by tag, so no step walks up the tree."""
+
+    def __init__(self, root: Node):
+        self.nodes = [root]
+        self.depths: dict[str, list[int]] = {}
+        self.blocks: list[int] = []  # depths of open elements that are not inline
+
+    @property
+    def here(self) -> Node:
+        return self.nodes[-1]
+
+    def enter(self, node: Node) -> None:
+        self.depths.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag not in INLINE:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, depth: int) -> None:
+        """Close the element at this depth and all in it."""
+        while len(self.nodes) > depth:
+            node = self.nodes.pop()
+            self.depths[node.tag].pop()
+            if node.tag not in INLINE:
+                self.blocks.pop()
+
+    def nearest(self, tags: Iterable[str]) -> int:
+        """Depth of the deepest open element of these tags; 0 if there is none."""
+        return max((d[-1] for t in tags if (d := self.depths.get(t))), default=0)
+
+    def close(self, tag: str) -> None:
+        if depth := self.nearest((tag,)):
+            self.cut(depth)
+
+    def end_paragraph(self) -> None:
+        """A block ends a paragraph that is open with nothing but inline elements in it."""
+        if self.blocks and self.nodes[self.blocks[-1]].tag == "p":
+            self.cut(self.blocks[-1])
+
+    def end_item(self, like: tuple[str, ...], within: tuple[str, ...]) -> None:
+        """An item ends the one before it in the same list or table."""
+        depth = self.nearest(like)
+        if depth and depth >= self.nearest(within):
+            self.cut(depth)
+
+
 def after_raw(html: str, name: str, at: int) -> int:
     gone = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
     return gone.end() if gone else len(html)
 
 
+def next_tag(html: str, at: int, last: int) -> re.Match[str] | None:
+    """The next tag or comment; ``last`` is the end of the last ``>``, beyond which only an open comment can begin."""
+    m = _TAG.search(html, at, last) if at < last else None
+    if m is None or (m.end() == last and _OPEN.match(m.group()) and not _SHUT.match(m.group())):
+        return _OPEN.search(html, m.start() if m else at)
+    return m
+
+
 def closed(html: str) -> set[int]:
     """Where the tags of ``HIDDEN`` elements stand that have an end tag of their own."""
     out: set[int] = set()
     opened: dict[str, list[int]] = {name: [] for name in HIDDEN}
-    at = 0
-    while m := _TAG.search(html, at):
+    at, last = 0, html.rfind(">") + 1
+    while m := next_tag(html, at, last):
         at = m.end()
         close, name = (m.group(1) or "").lower(), (m.group(2) or "").lower()
         if name in RAW and not empty(m.group(3)):
@@ -116,11 +179,12 @@ def parse(html: str) -> Node:
     chosen; one without an end tag hides nothing.
     """
     root = Node("body", None)
-    here, at, size = root, 0, len(html)
+    path, at, size, last = Path(root), 0, len(html), html.rfind(">") + 1
     hiding: set[int] | None = None
     while at < size:
-        m = _TAG.search(html, at)
+        m = next_tag(html, at, last)
         end = m.start() if m else size
+        here = path.here
         if end > at:
             chunk = html[at:end]
             if not chunk.isspace():
@@ -132,49 +196,34 @@ def parse(html: str) -> Node:
         if not m:
             break
         at = m.end()
-        close, name = m.group(1), m.group(2)
-        if close:
-            close = close.lower()
-            up = here
-            while up is not root and up.tag != close:
-                up = up.parent
-            if up is not root:
-                here = up.parent
-        elif name:
-            name = name.lower()
-            if name == "body" or name == "html":
-                root.attributes += m.group(3)
-                continue
-            if name == "br" or name == "wbr":
-                Node("#space", here, text=" " if name == "br" else "")
-                continue
-            if name in RAW:
-                if not empty(m.group(3)):
-                    at = after_raw(html, name, at)
-                continue
-            if name in HIDDEN:
-                hiding = closed(html) if hiding is None else hiding
-                if m.start() in hiding:
-                    node = Node(name, None)
-                    node.parent = here
-                    here = node
-                continue
+        if m.group(1):
+            path.close(m.group(1).lower())
+            continue
+        name = (m.group(2) or "").lower()
+        if not name:
+            continue
+        if name in ("body", "html"):
+            root.attributes += m.group(3)
+        elif name in ("br", "wbr"):
+            Node("#space", here, text=" " if name == "br" else "")
+        elif name in RAW:
+            if not empty(m.group(3)):
+                at = after_raw(html, name, at)
+        elif name in HIDDEN:
+            hiding = closed(html) if hiding is None else hiding
+            if m.start() in hiding:
+                node = Node(name, None)
+                node.parent = here
+                path.enter(node)
+        else:
             if name in ENDS_P:
-                up = here
-                while up is not root and up.tag != "p" and (up.tag in INLINE):
-                    up = up.parent
-                if up.tag == "p":
-                    here = up.parent
-            if name in ("li", "dd", "dt", "tr", "td", "th", "option"):
-                like = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr",), "option": ("option",)}.get(name, ("td", "th"))
-                up = here
-                while up is not root and up.tag not in like and up.tag not in ("ul", "ol", "dl", "table", "tbody", "div", "tr" if name != "tr" else "table"):
-                    up = up.parent
-                if up.tag in like:
-                    here = up.parent
-            node = Node(name, here, m.group(3))
+                path.end_paragraph()
+            if name in ITEMS:
+                like, within = ITEMS[name]
+                path.end_item(like, within)
+            node = Node(name, path.here, m.group(3))
             if name not in VOID and not m.group(3).endswith("/"):
-                here = node
+                path.enter(node)
     return root
 
 
