@@ -2,9 +2,9 @@
 
 Rules decide first: of those that fit an address the longest wins. Pages that declare another
 address, by a canonical link or an immediate redirect, are edges of a graph of addresses (host,
-path and query; the scheme and the fragment do not matter). In a connected component without any
-page allowed by a rule, one page blocked by a rule blocks all that no rule decides; a page allowed
-by a rule keeps such a block from spreading. Everything else is allowed.
+path and query; the scheme and the fragment do not matter), whether or not an address is a page of the table. In a connected component without any
+address allowed by a rule, one address blocked by a rule blocks all that no rule decides; an allowed
+address keeps such a block from spreading. Everything else is allowed.
 
 Defined cases: null urls and urls without ``://`` have an empty host and path, fit no rule and
 belong to no component; null html declares nothing; repeated rows are judged alike; an empty table
@@ -117,8 +117,7 @@ def filter_urls(
         F.coalesce(decision["verdict"], F.col(names["inherited"]), F.lit("allow")).alias(names["verdict"]))
 
 
-# The same question in SQL; of declared addresses it knows absolute ones, rel before href.
-_SQL = """
+_SQL = r"""
 WITH RECURSIVE q AS (SELECT page_id, html, instr(url, '://') AS cut, substr(url, instr(url, '://') + 3) AS rest FROM pages),
 p AS (SELECT page_id, html, CASE WHEN cut > 0 THEN translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host, CASE WHEN cut > 0 THEN regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path,
@@ -126,11 +125,26 @@ p AS (SELECT page_id, html, CASE WHEN cut > 0 THEN translate(regexp_extract(rest
 rules AS (SELECT * FROM (VALUES %s) AS v(verdict, rule, name, start)),
 ruled AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM p JOIN rules
   ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start) GROUP BY page_id),
-e AS (SELECT host || tail AS a, regexp_extract(html, '(?is)<link[^>]*rel=.?canonical[^>]*href=.?[a-z]+://([^"''\\s>#]+)', 1) AS b FROM p),
-u AS (SELECT a, b FROM e WHERE b <> '' AND a <> b UNION SELECT b, a FROM e WHERE b <> '' AND a <> b),
+tags AS (
+  SELECT host, path, tail, regexp_extract_all(html, '(?is)<link\b[^>]*') AS found, '(?is)\brel\s*=\s*["'']?canonical\b' AS mark,
+    '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)' AS target FROM p
+  UNION ALL SELECT host, path, tail, regexp_extract_all(html, '(?is)<meta\b[^>]*'), '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b',
+    '(?is)\bcontent\s*=\s*["'']?\s*[0-9.]*\s*;?\s*url\s*=\s*["'']?([^"''\s>]+)' FROM p),
+links AS (SELECT host, path, host || tail AS a, replace(regexp_extract(
+    list_filter(found, lambda t: regexp_matches(t, mark) AND regexp_matches(t, target))[1], target, 1), '&amp;', '&') AS href FROM tags),
+whole AS (SELECT a, CASE WHEN href = '' OR starts_with(href, '#') THEN NULL WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN href
+    WHEN starts_with(href, '//') THEN 'x:' || href WHEN starts_with(href, '/') THEN 'x://' || host || href
+    WHEN starts_with(href, '?') THEN 'x://' || host || path || href
+    ELSE 'x://' || host || coalesce(nullif(regexp_replace(path, '[^/]*$', ''), ''), '/') || href END AS link FROM links WHERE host <> ''),
+aim AS (SELECT a, substr(link, instr(link, '://') + 3) AS rest FROM whole WHERE link IS NOT NULL),
+e AS (SELECT a, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+    || regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS b FROM aim WHERE regexp_extract(rest, '^[^/?#]*') <> ''),
+u AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
 reach AS (SELECT a AS start, a AS node FROM u UNION SELECT start, b FROM reach JOIN u ON node = a),
-seen AS (SELECT start, bool_or(verdict = 'block') AND NOT bool_or(verdict = 'allow') AS blocked FROM reach
-  JOIN p ON host || tail = node JOIN ruled USING (page_id) GROUP BY start)
+judged AS (SELECT node, arg_max(verdict, length(rule)) AS verdict FROM (SELECT DISTINCT a AS node FROM u) JOIN rules
+  ON (regexp_extract(node, '^[^/?#]*') = name OR ends_with(regexp_extract(node, '^[^/?#]*'), '.' || name))
+  AND starts_with(regexp_extract(node, '^[^/?#]*([^?#]*)', 1), start) GROUP BY node),
+seen AS (SELECT start, bool_or(verdict = 'block') AND NOT bool_or(verdict = 'allow') AS blocked FROM reach JOIN judged USING (node) GROUP BY start)
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN blocked THEN 'block' END, 'allow') AS verdict
 FROM p LEFT JOIN ruled USING (page_id) LEFT JOIN seen ON start = host || tail""" % ", ".join(
     "('{}', '{}', '{}', '/{}')".format(v, rule, rule.partition("/")[0], rule.partition("/")[2]) for v, rule in RULES)

@@ -1,10 +1,15 @@
 """The whole job where a shortcut would pass on the ordinary tables."""
 
+import time
+
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from assayspark.llm import html_text, near_duplicates, pii, quality_rules
+import brute
+
+from assayspark.llm import html_text, near_duplicates, pii, quality_rules, url_filter
 
 
 def term_spans(spark, texts):
@@ -88,3 +93,59 @@ def test_long_texts_with_marked_terms_take_linear_time(spark):
 
     took(1000)
     assert took(100_000) < 20 + 10 * took(10_000)
+
+
+def test_rule_verdicts_equal_brute_force(spark):
+    draw = np.random.default_rng(5)
+    words = ["some", "plain", "words", "Here", "THERE", "and", "now", "#tag", "5|6", "wörd", "<b>"]
+    rows = []
+    for i in range(700):
+        lang, source = ("en", "calm") if i < 260 else ("en", "loud") if i < 520 else ("en", "few") if i < 640 else ("fr", None)
+        odds = np.array([3, 3, 3, 1, 0.2, 3, 3, *([2, 1, 1, 2] if source == "loud" else [0.05, 0.01, 0.3, 0.02])])
+        take = [" ".join(draw.choice(words, size=draw.integers(3, 25), p=odds / odds.sum())) + f" {i}" for _ in range(draw.integers(1, 4))]
+        rows.append(("\n".join([*take, take[0]] if draw.random() < 0.1 else take), lang, source))
+    rows += [(f"#a {i} #b |c ### now <x> and $ some %% more && of {i} <<>>", *r[1:]) for i, r in enumerate(rows[250:270])]
+    rows += [rows[3]] * 40 + [(None, "en", "calm"), ("", "fr", None), ("ALL OF THESE WORDS ARE LOUD AND THERE ARE MORE THAN TEN", "en", "calm")] * 2
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(docs).collect()}
+    want = brute.rule_verdicts(rows)
+    assert [got[i] for i in range(len(rows))] == want
+    passed = [w for w, r in zip(want, rows, strict=True) if not quality_base(r[0])]
+    assert 0.02 < 1 - np.mean(passed) < 0.5
+
+
+def quality_base(text):
+    n = brute.base_counts(text)
+    return n[0] < 10 or 100 * n[4] > 20 * n[0]
+
+
+@pytest.mark.parametrize("page", [
+    "<i>" * 100_000 + "x" + "</b>" * 100_000, "<i>" * 50_000 + "<div></div>" * 50_000, "<ul><li>" * 30_000 + "<option>x" * 30_000,
+    "<a \"" * 100_000, "<!--" * 100_000, "<svg>" * 100_000,
+])
+def test_odd_nesting_takes_time_in_proportion(page):
+    begin = time.process_time()
+    html_text.extract([page], None)
+    assert time.process_time() - begin < 15
+
+
+def test_url_query_and_sql_agree_on_declared_addresses(spark, tmp_path):
+    link, meta = "<LINK REL=canonical HREF='{}'>", "<meta content='0;URL={}' http-equiv=refresh>"
+    targets = [
+        "http://evil.net/a", "https://Evil.NET/b?x=1&amp;y=2#f", "//host.evil.net/c", "/de/x", "rel/y", "?q=1", "#top", "http://example.net/en/z",
+        "http://a.org/fr/q", "http://one.example.com/p1", "https://two.example.com/p2",
+    ]
+    urls = [f"http://{n}.example.com/p{i}" for i, n in enumerate(["zero", "one", "two", "three", "four", "five", "six", "seven"])]
+    urls += ["http://example.com/de/a", "http://EXAMPLE.com/en/b", "http://evil.net/a", "http://example.net/de/q", "http://example.net", None, "none"]
+    pages = [(k, url, form.format(target)) for k, (url, target, form) in enumerate(
+        (u, t, f) for i, u in enumerate(urls) for j, t in enumerate(targets) for f in (link, meta) if (i * 5 + j * 3) % 7 == 0)]
+    pages += [(10_000, "http://x.example.org/1", None), (10_001, "http://y.example.org/1", "<link href='http://evil.net/z' rel=\"canonical\">")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    columns = ["page_id", "host", "path", "rule", "verdict"]
+    got = sorted(tuple(r[c] for c in columns) for r in url_filter.op1_url_filter(spark, str(tmp_path)).collect())
+    base = duckdb.connect()
+    base.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted(base.sql(f"SELECT {', '.join(columns)} FROM ({url_filter._SQL})").fetchall())
+    assert got == want
+    inherited = {v for p, h, _, rule, v in got if rule is None and h}
+    assert inherited == {"allow", "block"} and dict((r[0], r[4]) for r in got)[10_001] == "block"
