@@ -1,20 +1,22 @@
 """Near-duplicate groups: improved consistent weighted sampling over TF-IDF shingles.
 
 1. A shingle is five folded words (a shorter text is one shingle); its weight is how often the
-   text has it, times ``1 + ln(N / df) / ln(N)``, which lies between 1 and 2.
-   Document frequencies are exact over all documents for every shingle in at least ``t`` of them;
-   rarer ones count as ``t``. ``t`` is the mean number of shingles of a document times N divided
-   by ``FREQUENT``, so that at most ``FREQUENT`` shingles are above it at any size of the corpus.
-   They are found by hashed counters of fixed size, which never miss one, and then counted.
+   text has it, times ``1 + ln(N / df) / ln(N)``, which lies between 1 and 2. Document frequencies
+   are exact for every shingle: hashes are dealt by ranges and counted there (``shingle_counts``),
+   and the texts that share a bucket with another get theirs back by blocks (``weigh``).
 2. Every text draws ``BANDS * ROWS`` consistent weighted samples; two texts draw the same sample
    with a probability equal to their weighted Jaccard similarity. The gamma variables come from
-   quantile tables by hash, so equal shingles get equal draws everywhere.
+   quantile tables by hash, so equal shingles get equal draws everywhere. For the draws alone, weights
+   must be at hand in every task: the at most ``FREQUENT`` shingles in ``t`` documents or more have
+   their own, others that of ``t``. That changes the chance to meet, never the similarity: weights are too
+   small by a factor of at most ``c = 2 / (1 + ln(N / t) / ln(N))``, and a pair of similarity 0.8 draws the
+   same sample with a probability of at least ``0.8 / (0.8 + 0.2 c)``. The bands are as many as it takes
+   to meet with 0.999 at ``c = 1.42`` (15 million texts of 480 shingles), and with 0.99 at ``c = 2``.
 3. Equal word sequences are one text. Texts that agree in all samples of a band are candidates.
    The head of a bucket is its text that shares most buckets. Every text is compared with the most central
    of its heads, then with those heads that are still of another class; components of the links
-   found so are classes. Buckets that still hold several classes have the texts of different
-   classes compared with each other, in the first bucket that two of them share. Of those only pairs go on to step 4 whose sketches of ``BITS``
-   further samples, one bit each, agree as often as those of similar texts do but for one in 30 000.
+   found so are classes. Buckets that still hold several classes have all their texts of different classes
+   compared, ``SLICE`` by ``SLICE``, by products of their shingles' weights (``close_pairs``).
 4. A candidate counts if the exact weighted Jaccard similarity is at least ``SIMILAR``.
 
 Defined cases: null, empty and wordless texts are classes of their own; repeated rows are copies;
@@ -24,30 +26,36 @@ ties go to the smaller hash; an empty table gives no rows. Texts are told apart
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayspark.llm import textblocks as tb
 from assayspark.llm.components import connected_components
 from assayspark.llm.shared import fresh, materialize, query, set_bits, table
 
-BANDS, ROWS = 10, 3
+BANDS, ROWS = 14, 3
 SIMILAR = 0.8
-BITS = 2048
-#: Most bits in which sketches of texts with the least similarity differ, at four deviations.
-DIFFER = int(BITS * (1 - SIMILAR) / 2 + 4 * (BITS * (1 - SIMILAR) / 2 * (1 + SIMILAR) / 2) ** 0.5)
 FREQUENT = 1 << 18
-COUNTERS = 20
-PIECE = 14
 BLOCK = 400_000
 _LEVELS = 1 << 16
-#: Texts that a task draws sketches for, and the most tasks.
-TEXTS, TASKS = 500, 20_000
+#: Bytes of text whose shingles are counted in one range of hashes, and shingles that a task deals at once.
+RANGE, HELD = 1 << 24, 1_000_000
+#: Bytes of text that get their document frequencies together.
+CHUNK = 4_000_000
+#: Texts, and weight of their shingles, in one slice of a bucket; shared shingles multiplied at once.
+SLICE, HEAVY, COLUMNS = 256, 1 << 20, 2048
+
+
+def idf(df: np.ndarray, n: int) -> np.ndarray:
+    """Inverse document frequency among n documents, between 1 and 2."""
+    return 1 + np.log(max(n, 1) / np.minimum(df, max(n, 1))) / np.log(max(n, 2))
 
 
 @dataclass
@@ -66,66 +74,165 @@ class Weights:
         return times * idf
 
 
-def _count_shingles(docs: DataFrame, text: str) -> tuple[np.ndarray, int, int]:
-    """Hashed counters of document frequencies, shingles over all documents, documents with words."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, n = np.zeros(1 << COUNTERS, dtype=np.uint32), 0
+@dataclass
+class Counts:
+    """Document frequencies of all shingles.
+
+    ``ranges`` (part, hashes, times, total, docs) has a row per range of hashes: those in two documents or
+    more, sorted, and their frequencies; any other shingle of the corpus is in one document.
+    """
+
+    ranges: DataFrame
+    bits: int
+    total: int
+    docs: int
+
+
+def _bytes(h: np.ndarray) -> bytes:
+    """Sorted hashes by planes of bytes; the upper ones hardly change, which compresses."""
+    return np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _hashes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
+def _edges(h: np.ndarray, bits: int) -> np.ndarray:
+    """Where the ranges of hashes begin among sorted ones."""
+    starts = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(0, dtype=np.uint64)
+    return np.concatenate([[0], np.searchsorted(h, starts), [len(h)]])
+
+
+def shingle_counts(docs: DataFrame, text: str = "text") -> Counts:
+    """Exact document frequencies: every task deals its hashes by range, a range is counted in one task.
+
+    There are as many ranges as the size of the text takes, so a range has a bounded size; a frequent
+    shingle comes once from ``HELD`` others, with its number.
+    """
+    size = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    bits = max(0, int(size) // RANGE).bit_length()
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, docs_seen = [], 0, 0
+
+        def flush() -> pa.RecordBatch:
+            h, times = np.unique(np.concatenate(held), return_counts=True)
+            times, at = times.astype(np.uint32), _edges(h, bits)
+            used = np.flatnonzero(np.diff(at))
+            seen = np.zeros(len(used), dtype=np.int64)
+            seen[:1] = docs_seen
+            return pa.RecordBatch.from_arrays(
+                [pa.array(used.astype(np.int32)), pa.array([_bytes(h[at[i] : at[i + 1]]) for i in used], pa.binary()),
+                 pa.array([times[at[i] : at[i + 1]].tobytes() for i in used], pa.binary()), pa.array(seen)],
+                names=["part", "hashes", "times", "docs"])
+
         for batch in batches:
             for b in tb.blocks(batch.column(0), BLOCK):
                 found = tb.words(b)
                 _, h, _ = tb.shingles(found)
-                own += np.bincount((h >> np.uint64(64 - COUNTERS)).astype(np.int64), minlength=len(own)).astype(np.uint32)
-                n += int((np.diff(found.first) > 0).sum())
-        parts = own.reshape(-1, 1 << PIECE)
-        used = np.union1d(np.flatnonzero(parts.any(axis=1)), [0])  # the first piece always: it carries n
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(used.astype(np.int32)), pa.array([zlib.compress(parts[i].tobytes(), 1) for i in used], pa.binary()),
-             pa.array([n] * len(used), pa.int64())], names=["part", "counts", "n"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, list] = {}
-        for batch in batches:
-            for part, counts, n in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
-                have = sums.setdefault(part, [np.zeros(1 << PIECE, dtype=np.uint64), 0])
-                have[0] += np.frombuffer(zlib.decompress(counts), dtype=np.uint32)
-                have[1] += n
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(sums), pa.int32()), pa.array([v[0].tobytes() for v in sums.values()], pa.binary()),
-             pa.array([v[1] for v in sums.values()], pa.int64())], names=["part", "counts", "n"])
-
-    schema = "part int, counts binary, n bigint"
-    pieces = 1 << (COUNTERS - PIECE)
-    rows = docs.select(text).mapInArrow(count, schema).repartition(pieces, "part").mapInArrow(add, schema).collect()
-    out = np.zeros((pieces, 1 << PIECE), dtype=np.uint64)
-    for r in rows:
-        out[r["part"]] = np.frombuffer(r["counts"], dtype=np.uint64)
-    return out.ravel(), int(out.sum()), next((r["n"] for r in rows if r["part"] == 0), 0)
-
-
-def fit_weights(docs: DataFrame, text: str = "text") -> Weights:
-    """Exact document frequencies of the frequent shingles; at most ``FREQUENT`` of them reach the driver."""
-    counters, total, n = _count_shingles(docs, text)
-    least = max(1, -(-total // FREQUENT))
-    maybe = docs.sparkSession.sparkContext.broadcast(np.packbits(counters >= least))
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passes = np.unpackbits(maybe.value).astype(bool)
+                held.append(h)
+                n, docs_seen = n + len(h), docs_seen + int((np.diff(found.first) > 0).sum())
+                if n >= HELD:
+                    yield flush()
+                    held, n, docs_seen = [], 0, 0
+        if n:
+            yield flush()
+
+    def add(group: pa.Table) -> pa.Table:
+        h = np.concatenate([_hashes(x) for x in group["hashes"].to_pylist()])
+        times = np.frombuffer(b"".join(group["times"].to_pylist()), dtype=np.uint32).astype(np.int64)
+        order = np.argsort(h)
+        h, times = h[order], times[order]
+        at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        sums = np.add.reduceat(times, at)
+        often = sums > 1
+        return pa.table({
+            "part": group["part"].slice(0, 1), "hashes": pa.array([_bytes(h[at[often]])], pa.binary()),
+            "times": pa.array([sums[often].tobytes()], pa.binary()), "total": pa.array([int(times.sum())], pa.int64()),
+            "docs": pa.array([sum(group["docs"].to_pylist())], pa.int64())})
+
+    dealt = docs.select(text).mapInArrow(deal, "part int, hashes binary, times binary, docs bigint")
+    ranges = dealt.groupBy("part").applyInArrow(add, "part int, hashes binary, times binary, total bigint, docs bigint")
+    ranges = materialize(ranges, "ranges")
+    sums = ranges.agg(F.sum("total"), F.sum("docs")).first()
+    return Counts(ranges, bits, sums[0] or 0, sums[1] or 0)
+
+
+def fit_weights(counts: Counts) -> Weights:
+    """Weights for the draws: exact for the frequent shingles, of which at most ``FREQUENT`` reach the driver."""
+    least = max(1, -(-counts.total // FREQUENT))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = []
-            for b in tb.blocks(batch.column(0), BLOCK):
-                _, h, _ = tb.shingles(tb.words(b))
-                kept.append(h[passes[(h >> np.uint64(64 - COUNTERS)).astype(np.int64)]])
-            if kept:
-                h, times = np.unique(np.concatenate(kept), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(tb.signed(h)), pa.array(times.astype(np.int64))], names=["h", "n"])
-
-    counted = docs.select(text).mapInArrow(gather, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
-    rows = counted.where(F.col("n") >= least).toPandas()
+            for hashes, times in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                h, n = _hashes(hashes), np.frombuffer(times, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(tb.signed(h[n >= least])), pa.array(n[n >= least])], names=["h", "n"])
+
+    rows = counts.ranges.select("hashes", "times").mapInArrow(pick, "h bigint, n bigint").toPandas()
     h = rows["h"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(h)
-    scale = np.log(max(n, 2))
-    idf = lambda df: 1 + np.log(np.maximum(n, 1) / np.minimum(df, max(n, 1))) / scale
-    return Weights(h[order], idf(rows["n"].to_numpy(dtype=np.float64)[order]), float(idf(np.float64(least))))
+    return Weights(h[order], idf(rows["n"].to_numpy(dtype=np.float64)[order], counts.docs), float(idf(np.float64(least), counts.docs)))
+
+
+def weigh(texts: DataFrame, counts: Counts) -> DataFrame:
+    """(h, text, dfs, total): each text with the document frequencies of its shingles, in their order, and its weight.
+
+    Blocks of texts ask the ranges for their hashes and get back those in two documents or more.
+    """
+    bits, n = counts.bits, counts.docs
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, size = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            ends = size + np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(block + ends // CHUNK), *batch.columns], names=["block", "h", "text"])
+            size = int(ends[-1]) if len(ends) else size
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks = batch.column(0).to_numpy()
+            first = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1])) if len(blocks) else []
+            for i, j in zip(first, [*first[1:], len(blocks)], strict=True):
+                h = np.unique(np.concatenate([tb.shingles(tb.words(b))[1] for b in tb.blocks(batch.column(1).slice(i, j - i), BLOCK)]))
+                at = _edges(h, bits)
+                used = np.flatnonzero(np.diff(at))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(used.astype(np.int32)), pa.array(np.full(len(used), blocks[i])),
+                     pa.array([_bytes(h[at[k] : at[k + 1]]) for k in used], pa.binary())], names=["part", "block", "hashes"])
+
+    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
+        h = np.concatenate([np.zeros(0, np.uint64), *[_hashes(x) for x in known["hashes"].to_pylist()]])
+        times = np.frombuffer(b"".join(known["times"].to_pylist()), dtype=np.int64)
+        got = []
+        for x in asked["hashes"].to_pylist():
+            wanted = _hashes(x)
+            at = np.minimum(np.searchsorted(h, wanted), max(len(h) - 1, 0))
+            at = at[h[at] == wanted] if len(h) else at[:0]
+            got.append((h[at].tobytes(), times[at].tobytes()))
+        return pa.table({"block": asked["block"], "hashes": pa.array([x for x, _ in got], pa.binary()), "times": pa.array([x for _, x in got], pa.binary())})
+
+    def fill(own: pa.Table, answers: pa.Table) -> pa.Table:
+        h = np.frombuffer(b"".join(answers["hashes"].to_pylist()), dtype=np.uint64)
+        times = np.frombuffer(b"".join(answers["times"].to_pylist()), dtype=np.int64)
+        order = np.argsort(h)
+        h, times = h[order], times[order]
+        dfs, totals = [], []
+        for b in tb.blocks(own["text"], BLOCK):
+            row, found, often = tb.shingles(tb.words(b))
+            df = np.ones(len(found), dtype=np.int64)
+            if len(h):
+                at = np.minimum(np.searchsorted(h, found), len(h) - 1)
+                df = np.where(h[at] == found, times[at], 1)
+            totals.append(np.bincount(row, weights=often * idf(df, n), minlength=b.rows))
+            bounds, small = np.searchsorted(row, np.arange(b.rows + 1)), df.astype(np.uint32)
+            dfs += [zlib.compress(small[i:j].tobytes(), 1) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+        return pa.table({"h": own["h"], "text": own["text"], "dfs": pa.array(dfs, pa.binary()), "total": pa.array(np.concatenate([np.zeros(0), *totals]))})
+
+    texts = materialize(texts.select("h", "text").mapInArrow(cut, "block bigint, h bigint, text string"), "bodies")
+    asked = texts.select("block", "text").mapInArrow(ask, "part int, block bigint, hashes binary")
+    answers = asked.groupBy("part").cogroup(counts.ranges.select("part", "hashes", "times").groupBy("part")).applyInArrow(
+        answer, "block bigint, hashes binary, times binary")
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(fill, "h bigint, text string, dfs binary, total double")
 
 
 def _gamma_levels() -> np.ndarray:
@@ -163,7 +270,7 @@ def sample(h: np.ndarray, weight: np.ndarray, bounds: np.ndarray, samples: int =
 
 
 def signatures(docs: DataFrame, weights: Weights, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: row key, hash of its words, total weight and one key per band; one pass, no shuffle."""
+    """Per document: row key, hash of its words and one key per band; one pass, no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,16 +286,15 @@ def signatures(docs: DataFrame, weights: Weights, doc_id: str = "doc_id", text:
                 for band in range(BANDS):
                     for j in range(ROWS):
                         keys[:, band] = tb.mix(keys[:, band] ^ drawn[:, band * ROWS + j], band * ROWS + j)
-                total = np.bincount(row, weights=w, minlength=b.rows)
                 lists = pa.ListArray.from_arrays(pa.array((np.arange(b.rows + 1) * BANDS).astype(np.int32)), pa.array(tb.signed(keys.ravel())))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(b.first, b.rows), batch.column(1).slice(b.first, b.rows),
-                     pa.array(tb.signed(tb.row_hash(found))), pa.array(np.diff(found.first) > 0), pa.array(total), lists],
-                    names=["doc_id", "key", "h", "has_words", "total", "bands"])
+                     pa.array(tb.signed(tb.row_hash(found))), pa.array(np.diff(found.first) > 0), lists],
+                    names=["doc_id", "key", "h", "has_words", "bands"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(doc_id, F.xxhash64(doc_id, text), text).mapInArrow(
-        run, f"doc_id {kind}, key bigint, h bigint, has_words boolean, total double, bands array<bigint>")
+        run, f"doc_id {kind}, key bigint, h bigint, has_words boolean, bands array<bigint>")
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
@@ -206,45 +312,83 @@ def texts_of(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFram
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(tb.signed(h[keep])), batch.column(0).take(pa.array(keep + b.first))], names=["h", "text"])
 
-    return docs.select(text).mapInArrow(run, "h bigint, text string").groupBy("h").agg(F.min("text").alias("text"))
+    return docs.select(text).mapInArrow(run, "h bigint, text string").groupBy("h").agg(F.min("text").alias("text")).join(wanted.select("h").distinct(), "h", "left_semi")
 
 
-def sketches(texts: DataFrame, weights: Weights) -> DataFrame:
-    """(h, bits): one bit of each of ``BITS`` samples that the bands do not use."""
-    shared = texts.sparkSession.sparkContext.broadcast(weights)
+def close_pairs(rows: DataFrame, weighted: DataFrame, n: int, least: float = SIMILAR) -> DataFrame:
+    """Pairs (a, b) of texts of different roots in a bucket (rows: bucket, h, total, root) that can be similar.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A bucket's texts are dealt into slices, and each two slices are compared in a group of their own. The
+    shared weight is the product of the texts' shingles, which travel as 32 bits each and only if another
+    document has them too. Shingles that fall together add to it, so no similar pair is lost.
+    """
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in tb.blocks(batch.column(1), BLOCK):
                 row, h, times = tb.shingles(tb.words(b))
-                drawn = sample(h, shared.value.of(h, times), np.searchsorted(row, np.arange(b.rows + 1)), BITS, BANDS * ROWS)
-                bits = np.packbits((drawn & np.uint64(1)).astype(bool), axis=1).view(np.int64)
-                bounds = pa.array((np.arange(b.rows + 1) * (BITS // 64)).astype(np.int32))
+                df = _frequencies(batch.column(2).slice(b.first, b.rows))
+                shared = df > 1
+                row, h, times, df = row[shared], h[shared], times[shared], df[shared]
+                at = np.repeat(np.arange(len(h)), times)  # the k-th of a repeated shingle is one of its own
+                copy = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+                names = (tb.mix(h[at] + tb.mix(copy.astype(np.uint64), 3), 31) >> np.uint64(32)).astype(np.uint32)
+                bounds, often = np.searchsorted(row[at], np.arange(b.rows + 1)), df[at].astype(np.uint32)
+                parts = list(zip(bounds[:-1], bounds[1:], strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(b.first, b.rows), pa.ListArray.from_arrays(bounds, pa.array(bits.ravel()))], names=["h", "bits"])
+                    [batch.column(0).slice(b.first, b.rows), pa.array([names[i:j].tobytes() for i, j in parts], pa.binary()),
+                     pa.array([zlib.compress(often[i:j].tobytes(), 1) for i, j in parts], pa.binary())], names=["h", "names", "dfs"])
 
-    return texts.select("h", "text").mapInArrow(run, "h bigint, bits array<bigint>")
+    def compare(group: pa.Table) -> pa.Table:
+        h, root, total, side = (group[c].to_numpy() for c in ("h", "root", "total", "side"))
+        both = shared_weight(group["names"].to_pylist(), _frequencies(group["dfs"]), n)
+        i, j = np.nonzero(both >= (least - 1e-4) * (total[:, None] + total[None, :] - both))
+        apart = (root[i] != root[j]) & (h[i] < h[j]) & ((side[i] != side[j]) | bool(group["i"][0].as_py() == group["j"][0].as_py()))
+        return pa.table({"a": h[i[apart]], "b": h[j[apart]]})
 
+    slices = rows.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / SLICE), F.ceil(F.sum("total") / HEAVY)).cast("int").alias("slices"))
+    dealt = rows.join(slices, "bucket").withColumn("side", F.pmod(F.xxhash64("h"), "slices").cast("int"))
+    dealt = dealt.select("bucket", "h", "total", "root", "side", F.explode(F.expr("sequence(0, slices - 1)")).alias("other"))
+    dealt = dealt.select("bucket", "h", "total", "root", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
+    packed = weighted.join(rows.select("h").distinct(), "h", "left_semi").select("h", "text", "dfs").mapInArrow(pack, "h bigint, names binary, dfs binary")
+    packed = materialize(packed, "packed")
+    return dealt.join(packed, "h").groupBy("bucket", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
 
-def differing(x: Column, y: Column) -> Column:
-    """Number of bits in which two sketches differ."""
-    return sum((F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(1, BITS // 64)), F.bit_count(x[0].bitwiseXOR(y[0])))
 
+def _frequencies(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The packed document frequencies of some texts, one after the other."""
+    return np.frombuffer(b"".join(zlib.decompress(x) for x in column.to_pylist()), dtype=np.uint32).astype(np.int64)
 
-def met_first(band: Column, x: Column, y: Column) -> Column:
-    """Whether two texts share no band before this one, so that a pair is made once."""
-    before = F.lit(False)
-    for j in range(BANDS - 1):
-        before = before | ((band > j) & (x[j] == y[j]))
-    return ~before
 
+def shared_weight(names: list[bytes], df: np.ndarray, n: int) -> np.ndarray:
+    """For each two texts the weight of the shingles they share, to single precision.
 
-def similarity(a: pa.Array, b: pa.Array, weights: Weights) -> np.ndarray:
-    """Weighted Jaccard similarity of the texts of two columns, row by row."""
+    A shingle is a column of a matrix that is multiplied with itself, some columns at a time.
+    """
+    texts = len(names)
+    row = np.repeat(np.arange(texts), [len(x) // 4 for x in names])
+    _, column, times = np.unique(np.frombuffer(b"".join(names), dtype=np.uint32), return_inverse=True, return_counts=True)
+    out = np.zeros((texts, texts), dtype=np.float32)
+    weight = np.sqrt(idf(df, n))
+    new = np.cumsum(times > 1) - 1  # what one text alone has is not shared
+    kept = times[column] > 1
+    row, column, weight = row[kept], new[column[kept]], weight[kept]
+    order = np.argsort(column, kind="stable")
+    row, column, weight = row[order], column[order], weight[order]
+    last = int(column[-1]) + 1 if len(column) else 0
+    for first in range(0, last, COLUMNS):
+        i, j = np.searchsorted(column, [first, first + COLUMNS])
+        flat = np.bincount(row[i:j] * COLUMNS + column[i:j] - first, weights=weight[i:j], minlength=texts * COLUMNS)
+        part = flat.astype(np.float32).reshape(texts, COLUMNS)
+        out += part @ part.T
+    return out
+
+
+def similarity(a: pa.Array, b: pa.Array, weights: Weights | Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Weighted Jaccard similarity of the texts of two columns, row by row; weights come from hashes and times."""
     n = len(a)
     block = next(tb.blocks(pa.concat_arrays([a.cast(pa.large_string()), b.cast(pa.large_string())]), 1 << 62, None))
     row, h, times = tb.shingles(tb.words(block))
-    w = weights.of(h, times)
+    w = weights.of(h, times) if isinstance(weights, Weights) else weights(h, times)
     total = np.bincount(row % n, weights=w, minlength=n)
     order = np.lexsort((h, row % n))
     row, h, w = row[order] % n, h[order], w[order]
@@ -253,10 +397,8 @@ def similarity(a: pa.Array, b: pa.Array, weights: Weights) -> np.ndarray:
     return shared / np.maximum(total - shared, 1e-300)
 
 
-def verify(pairs: DataFrame, texts: DataFrame, weights: Weights, least: float = SIMILAR) -> DataFrame:
-    """The pairs (a, b) whose similarity is at least ``least``."""
-    shared = pairs.sparkSession.sparkContext.broadcast(weights)
-
+def verify(pairs: DataFrame, weighted: DataFrame, n: int, least: float = SIMILAR) -> DataFrame:
+    """The pairs (a, b) whose similarity among n documents is at least ``least``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size = np.cumsum([len(x) + len(y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)])
@@ -265,15 +407,16 @@ def verify(pairs: DataFrame, texts: DataFrame, weights: Weights, least: float =
                 done = size[first - 1] if first else 0
                 last = max(first + 1, int(np.searchsorted(size, done + BLOCK)))
                 part = batch.slice(first, last - first)
-                s = similarity(part.column(2), part.column(3), shared.value)
+                df = np.concatenate([_frequencies(part.column(4)), _frequencies(part.column(5))])
+                s = similarity(part.column(2), part.column(3), lambda h, times, df=df: times * idf(df, n))
                 good = np.flatnonzero(s >= least - 1e-9)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array(good)), part.column(1).take(pa.array(good)), pa.array(s[good])], names=["a", "b", "similarity"])
                 first = last
 
-    left = texts.select(F.col("h").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("h").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    left = weighted.select(F.col("h").alias("a"), F.col("text").alias("text_a"), F.col("dfs").alias("dfs_a"))
+    right = weighted.select(F.col("h").alias("b"), F.col("text").alias("text_b"), F.col("dfs").alias("dfs_b"))
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b", "dfs_a", "dfs_b")
     return joined.mapInArrow(run, "a bigint, b bigint, similarity double")
 
 
@@ -282,14 +425,16 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
 
     ``class_id`` is the smallest id in the class, ``is_first`` marks the rows of that document.
     """
-    weights = fit_weights(docs, text)
-    signed = materialize(signatures(docs, weights, doc_id, text), "signatures")
-    texts = signed.where("has_words").groupBy("h").agg(F.first("total").alias("total"), F.first("bands").alias("bands"))
-    members = texts.select("h", "total", F.posexplode("bands").alias("band", "bucket"))
+    counts = shingle_counts(docs, text)
+    n = counts.docs
+    signed = materialize(signatures(docs, fit_weights(counts), doc_id, text), "signatures")
+    texts = signed.where("has_words").groupBy("h").agg(F.first("bands").alias("bands"))
+    members = texts.select("h", F.explode("bands").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(members.join(sizes, "bucket"), "members")
     central = members.groupBy("h").agg(F.sum("n").alias("central"))
-    members = materialize(members.join(central, "h"), "central")
+    weighted = materialize(weigh(texts_of(docs, central, text), counts), "weighted")
+    members = materialize(members.join(central, "h").join(weighted.select("h", "total"), "h"), "central")
     heads = members.groupBy("bucket").agg(F.max(F.struct("central", "h", "total")).alias("head"))
     fits = lambda x, y: F.least(x, y) >= (SIMILAR - 1e-9) * F.greatest(x, y)
 
@@ -300,12 +445,11 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
         roots = materialize(connected_components(links), "roots").withColumnRenamed("node", "h")
         return materialize(members.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h")), "placed")
 
-    bodies = materialize(texts_of(docs, members.select("h"), text), "bodies")
     heads = materialize(heads.select("bucket", "head"), "heads")
     offered = members.join(heads, "bucket").where((F.col("h") != F.col("head.h")) & fits(F.col("total"), F.col("head.total")))
     first = offered.groupBy("h").agg(F.max("head").alias("head")).select(*pair("h", "head.h")).distinct()
     first = materialize(first, "pairs")
-    links = materialize(verify(first, bodies, weights), "links")
+    links = materialize(verify(first, weighted, n), "links")
 
     # only where a text and a head are still of different classes
     placed = placed_by(links)
@@ -313,25 +457,14 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     rooted = heads.join(known, F.col("head.h") == F.col("of")).select("bucket", "head", "head_root")
     again = placed.join(rooted, "bucket").where((F.col("root") != F.col("head_root")) & fits(F.col("total"), F.col("head.total")))
     again = materialize(again.select(*pair("h", "head.h")).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(materialize(verify(again, bodies, weights), "links"))
+    links = links.unionByName(materialize(verify(again, weighted, n), "links"))
     compared = first.unionByName(again)
 
-    placed = placed_by(links).select("bucket", "band", "h", "total", "root")
+    placed = placed_by(links).select("bucket", "h", "total", "root")
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
     rest = materialize(placed.join(mixed, "bucket", "left_semi"), "mixed")
-    drawn = materialize(rest.select("h").distinct(), "drawn")
-    spread = bodies.join(drawn, "h", "left_semi").repartition(min(max(1, drawn.count() // TEXTS), TASKS), "h")
-    bits = materialize(sketches(spread, weights), "sketches")
-    rest = rest.join(bits.join(texts.select("h", "bands"), "h"), "h")
-    x, y = rest.alias("x"), rest.alias("y")
-    more = (
-        x.join(y, F.col("x.bucket") == F.col("y.bucket"))
-        .where((F.col("x.root") != F.col("y.root")) & (F.col("x.h") < F.col("y.h")) & fits(F.col("x.total"), F.col("y.total"))
-               & met_first(F.col("x.band"), F.col("x.bands"), F.col("y.bands"))
-               & (differing(F.col("x.bits"), F.col("y.bits")) <= DIFFER))
-        .select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct().join(compared, ["a", "b"], "left_anti")
-    )
-    links = links.unionByName(materialize(verify(materialize(more, "pairs"), bodies, weights), "links"))
+    more = close_pairs(rest, weighted, n).join(compared, ["a", "b"], "left_anti")
+    links = links.unionByName(materialize(verify(materialize(more, "pairs"), weighted, n), "links"))
     roots = materialize(connected_components(links), "roots").withColumnRenamed("node", "h")
 
     rows = signed.select("doc_id", "key", "h", "has_words").join(roots, "h", "left")

@@ -1,6 +1,8 @@
 """The whole job where a shortcut would pass on the ordinary tables."""
 
 import time
+import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -149,3 +151,54 @@ def test_url_query_and_sql_agree_on_declared_addresses(spark, tmp_path):
     assert got == want
     inherited = {v for p, h, _, rule, v in got if rule is None and h}
     assert inherited == {"allow", "block"} and dict((r[0], r[4]) for r in got)[10_001] == "block"
+
+
+def test_rare_shingles_have_their_own_document_frequency(spark, monkeypatch):
+    # what the two share stands in two documents, what sets them apart in 38: equal weights for both would part them
+    monkeypatch.setattr(near_duplicates, "FREQUENT", 16)
+    own, common = " ".join(f"own{i}" for i in range(44)), " ".join(f"common{i}" for i in range(11))
+    texts = [own, f"{own} {common}", *[f"{common} other{k} thing{k}" for k in range(38)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = near_duplicates.near_duplicate_classes(docs)[0].collect()
+    got = {r["doc_id"]: r["class_id"] for r in rows}
+    assert [got[i] for i in range(len(texts))] == brute.near_classes(range(len(texts)), texts, frequent=1 << 40)
+    assert got[1] == 0 and got[2] == 2
+
+
+def test_ranges_count_every_shingle(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "RANGE", 500)
+    monkeypatch.setattr(near_duplicates, "CHUNK", 700)
+    texts = [" ".join(f"w{(i * j) % 13}" for j in range(i % 29)) or None for i in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "h long, text string").repartition(3)
+    counts = near_duplicates.shingle_counts(docs)
+    bags = brute.shingle_bags(texts)
+    df = Counter(s for b in bags for s in b)
+    assert counts.bits > 2 and counts.total == sum(df.values()) and counts.docs == sum(1 for b in bags if b)
+    for r in near_duplicates.weigh(docs, counts).collect():
+        got = np.frombuffer(zlib.decompress(r["dfs"]), dtype=np.uint32)
+        assert sorted(got) == sorted(df[s] for s in bags[r["h"]])
+        heavy = sum(k * near_duplicates.idf(np.float64(df[s]), counts.docs) for s, k in bags[r["h"]].items())
+        assert r["total"] == pytest.approx(heavy)
+
+
+def test_texts_that_are_nearly_similar_are_not_all_joined(spark, monkeypatch):
+    # 120 texts of similarity 0.77 to each other, and near copies of some of them
+    monkeypatch.setattr(near_duplicates, "SLICE", 32)
+    base = [f"b{i}" for i in range(124)]
+    texts = [" ".join([*base, *[f"x{k}y{i}" for i in range(9)]]) for k in range(120)]
+    texts += [f"{t} tail{k}" for k, t in enumerate(texts[:15])]
+    seen, old = [], near_duplicates.verify
+    monkeypatch.setattr(near_duplicates, "verify", lambda pairs, *rest: seen.append(pairs.count()) or old(pairs, *rest))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates.near_duplicate_classes(docs)[0].collect()}
+    assert [got[i] for i in range(len(texts))] == brute.near_classes(range(len(texts)), texts, frequent=1 << 40)
+    assert len(set(got.values())) > 1 and sum(seen) <= near_duplicates.BANDS * len(texts)
+
+
+def test_shared_weights_of_a_group_are_those_of_its_pairs():
+    rng = np.random.default_rng(3)
+    bags = [rng.choice(400, 90, replace=False).astype(np.uint32) for _ in range(40)]
+    df = rng.integers(2, 50, 400)
+    both = near_duplicates.shared_weight([b.tobytes() for b in bags], np.concatenate([df[b] for b in bags]), 60)
+    want = [[near_duplicates.idf(df[np.intersect1d(a, b)], 60).sum() for b in bags] for a in bags]
+    assert np.allclose(both - np.diag(np.diag(both)), np.array(want) - np.diag(np.diag(want)), rtol=1e-5)
