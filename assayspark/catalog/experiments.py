@@ -276,6 +276,8 @@ def log_latest_n(spark: SparkSession, sf: str) -> DataFrame:
 
 BATCHES = 4
 STATE_PARTITIONS = 4
+#: Tasks whose state one partition holds; beyond that there are more partitions.
+TASKS_PER_PARTITION = 8_000
 DAY = 86_400_000_000
 
 
@@ -286,9 +288,15 @@ def _arriving(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.read_stream(spark, folder, files_per_batch=1)
 
 
-def _arriving_late(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
+def _state_partitions(spark: SparkSession, sf: str) -> int:
+    """State partitions for the tasks of the events, so that each has a bounded number of them."""
+    tasks = table(spark, sf, "events").agg(F.approx_count_distinct("user_id")).first()[0]
+    return max(STATE_PARTITIONS, -(-tasks // TASKS_PER_PARTITION))
+
+
+def _arriving_late(spark: SparkSession, sf: str, files: int = 1) -> tuple[DataFrame, int]:
     """The events as a stream in the order of their arrival, up to three days after their time; and the days by which any
-    event is behind the newest one before it. Each slice of arrival times is written after the one before."""
+    event is behind the newest one before it. Each slice of arrival times is written after the one before, in ``files`` files."""
     folder = fresh_path(spark, "late")
     events = table(spark, sf, "events")
     low, high = events.select(wall_micros("ts").alias("t")).agg(F.min("t"), F.max("t")).first()
@@ -296,8 +304,8 @@ def _arriving_late(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
     arrival = wall_micros("ts") + F.pmod(F.xxhash64("event_id"), F.lit(3 * DAY))
     dealt = events.withColumn("slice", F.floor((arrival - low) / width))
     for k in range(BATCHES):
-        dealt.where(F.col("slice") == k).drop("slice").coalesce(1).write.mode("append").parquet(folder)
-    return jobs.read_stream(spark, folder, files_per_batch=1), 3 + -(-width // DAY)
+        dealt.where(F.col("slice") == k).drop("slice").repartition(files).write.mode("append").parquet(folder)
+    return jobs.read_stream(spark, folder, files_per_batch=files), 3 + -(-width // DAY)
 
 
 @query("stm_latest_status", """
@@ -307,7 +315,7 @@ SELECT user_id, event_id, event_type, value FROM (
 def stm_latest_status(spark: SparkSession, sf: str) -> DataFrame:
     out, checkpoint = jobs.stream_paths(spark, "status")
     stream = _arriving(spark, sf).select("user_id", "event_id", "event_type", "value", "ts")
-    jobs.latest_status(stream, ["user_id"], "ts", ["ts", "event_id"], out, checkpoint, 6, STATE_PARTITIONS)
+    jobs.latest_status(stream, ["user_id"], "ts", ["ts", "event_id"], out, checkpoint, 6, _state_partitions(spark, sf))
     return jobs.read_latest(spark, checkpoint, stream.schema, "ts", 6).select("user_id", "event_id", "event_type", "value")
 
 
@@ -316,9 +324,10 @@ SELECT user_id, event_id, event_type FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE {_DONE_SQL}) WHERE rn = 1""")
 def stm_complete_once(spark: SparkSession, sf: str) -> DataFrame:
     out, checkpoint = jobs.stream_paths(spark, "complete")
-    stream, days = _arriving_late(spark, sf)
+    partitions = _state_partitions(spark, sf)
+    stream, days = _arriving_late(spark, sf, -(-partitions // BATCHES))
     stream = stream.select("user_id", "event_id", "event_type", "ts")
-    jobs.complete_once(stream, ["user_id"], "ts", ["ts", "event_id"], "event_type", out, checkpoint, f"{days} days", ("purchase", "signup"), STATE_PARTITIONS)
+    jobs.complete_once(stream, ["user_id"], "ts", ["ts", "event_id"], "event_type", out, checkpoint, f"{days} days", ("purchase", "signup"), partitions)
     return jobs.read_first(spark, checkpoint, stream.schema).select("user_id", "event_id", "event_type")
 
 

@@ -83,13 +83,9 @@ def complete_once(
     state without end, one row per finished task, so repeated and late ones change nothing. What comes
     later than ``lateness`` is dropped, and counted in the query's progress.
     """
-    rows = state.packed(stream, task, time, order, lateness)
-    # the watermark follows all events, the state holds completions only: a condition with the time in it
-    # is not pushed below the watermark
-    done = F.get_json_object(F.col(state.ROW), f"$['{status}']").isin(*states)
+    rows = state.packed(stream, task, time, order, lateness, F.col(status).cast("string").isin(*states))
     schema = state.state_schema(rows, order)
-    done = F.when(F.unix_micros(state.TIME) > F.lit(-(1 << 62)), done)
-    firsts = rows.where(done).groupBy(*task).transformWithState(
+    firsts = rows.groupBy(*task).transformWithState(
         state.FirstForGood(schema), T.StructType([T.StructField(state.ROW, T.StringType())]), "Append", "EventTime")
     return _run(firsts, out, checkpoint, partitions)
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from assayspark.catalog import experiments
 from assayspark.operators import experience, outliers, runlog
 from assayspark.plans import workspace
 from assayspark.streaming import jobs
@@ -251,3 +252,20 @@ def test_workspace_takes_the_folder_of_the_session(spark):
     first, second = workspace.fresh_path(spark, "x"), workspace.fresh_path(spark, "x")
     assert first != second and (named is None or first.startswith(named.rstrip("/")))
     assert workspace.materialize(spark.range(5)).count() == 5
+
+
+def test_state_partitions_follow_the_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(experiments, "TASKS_PER_PARTITION", 30)
+    monkeypatch.setattr(experiments, "BATCHES", 2)
+    place = str(tmp_path)
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("user_id", F.col("event_id") % 200)
+    events.write.parquet(f"{place}/events.parquet")
+    used = []
+    real = jobs.complete_once
+    monkeypatch.setattr(jobs, "complete_once", lambda *a: used.append((a[-1], real(*a))))
+    got = sorted(tuple(r) for r in experiments.stm_complete_once(spark, place).collect())
+    done = events.where("event_type in ('purchase', 'signup')").groupBy("user_id").agg(F.min(F.struct("ts", "event_id", "event_type")).alias("x"))
+    assert got == sorted(tuple(r) for r in done.select("user_id", "x.event_id", "x.event_type").collect())
+    ((partitions, query),) = used
+    assert 6 <= partitions <= 8
+    assert query.recentProgress[-1]["stateOperators"][0]["numShufflePartitions"] == partitions
