@@ -50,7 +50,7 @@ RANGE, HELD = 1 << 24, 1_000_000
 #: Bytes of text that get their document frequencies together.
 CHUNK = 4_000_000
 #: Texts, and weight of their shingles, in one slice of a bucket; shared shingles multiplied at once.
-SLICE, HEAVY, COLUMNS = 256, 1 << 20, 2048
+SLICE, HEAVY, COLUMNS = 512, 1 << 20, 2048
 
 
 def idf(df: np.ndarray, n: int) -> np.ndarray:
