@@ -158,15 +158,16 @@ class PrefixCounter:
                 steps = np.full(len(name), base)
                 steps[-1] = base + 1
             else:
-                steps = np.zeros(len(part), dtype=np.int64)
+                steps = np.zeros(len(part) + 1, dtype=np.int64)
+                set_at = np.zeros(len(part) + 1, dtype=np.int64)
                 offset = sum(len(x) for x in own[:k])
+                before = 0
                 for i in np.flatnonzero(found.row == k).tolist():
-                    a, b = found.start[i] - offset, found.end[i] - offset
-                    before = steps[a - 1] if a else 0
-                    if a and before == 0:
-                        before = steps[:a].max()
+                    a, b = found.start[i] - offset + 1, found.end[i] - offset + 1
                     steps[a:b] = before + self.book.gather(index[i : i + 1])[0].astype(np.int64)
-                steps = base + np.maximum.accumulate(steps)
+                    set_at[a:b] = np.arange(a, b)
+                    before = steps[b - 1]
+                steps = base + steps[np.maximum.accumulate(set_at)][1:]  # white space repeats the last count; a longer piece may have fewer tokens
             if len(steps):
                 base = int(steps[-1])
             out.append(steps)

@@ -49,6 +49,14 @@ def test_every_prefix_count_equals_the_library(text):
         assert got[n] <= budget and (n == len(plain) or got[n + 1 :].min(initial=budget + 1) > budget)
 
 
+def test_a_longer_prefix_may_have_fewer_tokens():
+    own = token_counts.counter(public_tokenizers.path("word_bpe_49k.json"))
+    assert own.prefixes("label").tolist() == [0, 1, 1, 1, 2, 1]  # la be, but label
+    for text in ("a label  b", " label\n", "label label", "labe", "label's"):
+        assert own.prefixes(text).tolist() == [len(WORDS.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)]
+    assert own.prefixes("label<|endoftext|> label")[-1] == 3
+
+
 def test_prefixes_with_special_strings():
     own = token_counts.counter(public_tokenizers.path("word_bpe_49k.json"))
     assert own.prefixes("ab<|endoftext|>c")[-1] == 3 and len(own.prefixes("ab<|endoftext|>c")) == 17
