@@ -116,8 +116,12 @@ def shingle_counts(docs: DataFrame, text: str = "text") -> Counts:
         held, n, docs_seen = [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            h, times = np.unique(np.concatenate(held), return_counts=True)
-            times, at = times.astype(np.uint32), _edges(h, bits)
+            h = np.concatenate(held)
+            held.clear()
+            h.sort()
+            first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            times, h = np.diff(np.append(first, len(h))).astype(np.uint32), h[first]
+            at = _edges(h, bits)
             used = np.flatnonzero(np.diff(at))
             seen = np.zeros(len(used), dtype=np.int64)
             seen[:1] = docs_seen
@@ -134,7 +138,7 @@ def shingle_counts(docs: DataFrame, text: str = "text") -> Counts:
                 n, docs_seen = n + len(h), docs_seen + int((np.diff(found.first) > 0).sum())
                 if n >= HELD:
                     yield flush()
-                    held, n, docs_seen = [], 0, 0
+                    n, docs_seen = 0, 0
         if n:
             yield flush()
 

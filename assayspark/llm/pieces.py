@@ -11,7 +11,7 @@ import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,9 +29,8 @@ CLITICS = ["s", "t", "re", "ve", "m", "ll", "d"]
 def classes() -> np.ndarray:
     """Class of every code point, from the character database."""
     out = np.full(0x110000, OTHER, dtype=np.uint8)
-    first = [unicodedata.category(chr(i))[0] for i in range(0x110000)]
-    letters = np.array(first)
-    out[letters == "L"], out[letters == "N"] = LETTER, NUMBER
+    first = np.fromiter((ord(unicodedata.category(chr(i))[0]) for i in range(0x110000)), dtype=np.uint8, count=0x110000)
+    out[first == ord("L")], out[first == ord("N")] = LETTER, NUMBER
     out[WHITE] = SPACE
     return out
 
@@ -108,15 +107,19 @@ def cut(texts: list[str], spaces: bool) -> Cut:
 class PieceBook:
     """Values of the pieces met so far, one after the other in one array; forgotten when there are many.
 
-    The value of piece i is ``flat[bounds[i] : bounds[i + 1]]``.
+    The value of piece i is ``flat[bounds[i] : bounds[i + 1]]``; ``places`` has the i of each of the sorted
+    ``keys``. A worker keeps its book between tasks, so it holds arrays, and new pieces are encoded ``AT_ONCE``.
     """
 
+    AT_ONCE = 8192
+
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 400_000):
         self.encode, self.most = encode, most
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.keys = np.zeros(0, dtype=np.uint64)
+        self.places = np.zeros(0, dtype=np.int64)
         self.flat = np.zeros(1 << 16, dtype=np.uint32)
         self.bounds = np.zeros(1, dtype=np.int64)
 
@@ -130,20 +133,26 @@ class PieceBook:
 
     def look_up(self, found: Cut) -> np.ndarray:
         """For each piece the number of its value."""
-        if len(self.known) > self.most:
+        if len(self.keys) > self.most:
             self.clear()
         codes, uniques = pd.factorize(found.hash)
-        names = uniques.tolist()
-        place = np.fromiter(map(self.known.get, names, repeat(-1)), dtype=np.int64, count=len(names))
+        place = np.full(len(uniques), -1, dtype=np.int64)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, uniques), len(self.keys) - 1)
+            place = np.where(self.keys[at] == uniques, self.places[at], -1)
         new = np.flatnonzero(place < 0)
         if len(new):
             first = np.zeros(len(uniques), dtype=np.int64)
             first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
             at = first[new]
-            cuts = zip(found.start[at].tolist(), found.end[at].tolist(), strict=True)
             place[new] = len(self.bounds) - 1 + np.arange(len(new))
-            self._add(self.encode([found.joined[a:b] for a, b in cuts]))
-            self.known.update(zip(uniques[new].tolist(), place[new].tolist(), strict=True))
+            for i in range(0, len(new), self.AT_ONCE):
+                some = at[i : i + self.AT_ONCE]
+                cuts = zip(found.start[some].tolist(), found.end[some].tolist(), strict=True)
+                self._add(self.encode([found.joined[a:b] for a, b in cuts]))
+            new = new[np.argsort(uniques[new])]
+            into = np.searchsorted(self.keys, uniques[new])
+            self.keys, self.places = np.insert(self.keys, into, uniques[new]), np.insert(self.places, into, place[new])
         return place[codes]
 
     def gather(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

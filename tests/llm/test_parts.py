@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import brute
 import numpy as np
@@ -169,3 +170,27 @@ def test_cut_tells_pieces_like_the_pattern():
         mine = [found.text(i) for i in np.flatnonzero(found.row == r)]
         assert mine == regex.findall(public_tokenizers.PATTERN, t)
     assert re.match("x", "x")
+
+
+def test_a_book_of_pieces_stays_small():
+    asked = []
+
+    def encode(texts):
+        asked.append(len(texts))
+        return [[int(t)] for t in texts]
+
+    def found(first, last):
+        texts = [str(i) for i in range(first, last)]
+        end = np.cumsum([len(t) for t in texts])
+        start = end - [len(t) for t in texts]
+        return pieces.Cut("".join(texts), start, end, np.zeros(len(texts), np.int64), tb.mix(np.arange(first, last, dtype=np.uint64), 3))
+
+    book = pieces.PieceBook(encode)
+    cuts = [found(a, a + 50_000) for a in (0, 30_000, 70_000, 0)]
+    tracemalloc.start()
+    for cut, first in zip(cuts, (0, 30_000, 70_000, 0), strict=True):
+        assert book.last(book.look_up(cut)).tolist() == list(range(first, first + 50_000))
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert sum(asked) == 120_000 and max(asked) <= pieces.PieceBook.AT_ONCE  # each piece once, some at a time
+    assert held < 50 * 120_000
